@@ -38,8 +38,9 @@ def running(
     tiers: list[list[str]],
     order: list[str],
     totals: dict[str, tuple[str, str]],
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add inclusive running totals per ``keys``.
+    """Add running totals per ``keys``, with or without the row itself.
 
     Rows are ordered by the tier columns, then by ``order``. ``totals`` maps a
     new column to ``("sum" | "max", source column)``.
@@ -74,7 +75,7 @@ def running(
     inside = (
         Window.partitionBy(*groups[-1])
         .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     rows = df.withColumns(
         {f"_{name}": _aggregate(how, F.col(source)).over(inside) for name, (how, source) in totals.items()}

@@ -69,3 +69,8 @@ LEDGER = {
     "sales": SALE,
     "quotes": QUOTE,
 }
+
+# Sums keep room for ten thousand billion rows and still multiply exactly.
+TOTAL_SHARES = T.DecimalType(24, 5)
+TOTAL_MONEY = T.DecimalType(28, 2)
+VALUE = T.DecimalType(31, 9)
