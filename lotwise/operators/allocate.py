@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, ratio, trunc5
-from lotwise.operators.running import id_block, running
+from lotwise.operators.running import id_block, needs_tiers, running
 from lotwise.schemas import SHARES, TOTAL_SHARES
 from lotwise.session import written
 
@@ -24,14 +24,19 @@ def _length(column: str):
     return F.col(column).cast(TOTAL_SHARES)
 
 
-def lot_line(lots: DataFrame) -> DataFrame:
+def lot_line(lots: DataFrame, tiered: bool) -> DataFrame:
     """Lots with the stretch [lo, hi) they cover; oldest investment first.
 
     ``lots`` has account_id, lot_id, invest_date, trade_date, size.
     """
     blocked = lots.withColumn("_block", id_block("lot_id"))
     line = running(
-        blocked, ["account_id"], [["invest_date"], ["_block"]], ["lot_id"], {"hi": ("sum", "size")}
+        blocked,
+        ["account_id"],
+        [["invest_date"], ["_block"]],
+        ["lot_id"],
+        {"hi": ("sum", "size")},
+        tiered=tiered,
     )
     return line.select(
         "account_id", "lot_id", (F.col("hi") - F.col("size")).cast(TOTAL_SHARES).alias("lo"), _length("hi").alias("hi")
@@ -56,7 +61,7 @@ def _with_visible(orders: DataFrame, lots: DataFrame) -> DataFrame:
     return orders.join(visible.select("account_id", "trade_date", "visible"), ["account_id", "trade_date"])
 
 
-def order_line(orders: DataFrame) -> DataFrame:
+def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
     """Orders with the stretch [lo, hi) they ask for, in date and id order.
 
     ``orders`` has account_id, order_id, trade_date, amount, visible; a NULL
@@ -66,7 +71,7 @@ def order_line(orders: DataFrame) -> DataFrame:
     blocked = orders.withColumns(
         {"_block": id_block("order_id"), "_amount": F.coalesce("amount", F.lit(0)).cast(TOTAL_SHARES)}
     )
-    summed = running(blocked, ["account_id"], tiers, order, {"_total": ("sum", "_amount")})
+    summed = running(blocked, ["account_id"], tiers, order, {"_total": ("sum", "_amount")}, tiered=tiered)
     everything = F.struct("trade_date", "order_id", "visible", _length("_total").alias("total"))
     reset = running(
         summed.withColumn("_reset", F.when(F.col("amount").isNull(), everything)),
@@ -75,6 +80,7 @@ def order_line(orders: DataFrame) -> DataFrame:
         order,
         {"_last": ("max", "_reset")},
         inclusive=False,
+        tiered=tiered,
     )
     base = F.coalesce(F.col("_last.visible") - F.col("_last.total"), F.lit(0))
     lo = base + F.col("_total") - F.col("_amount")
@@ -88,7 +94,7 @@ def order_line(orders: DataFrame) -> DataFrame:
     )
 
 
-def settle_orders(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle_orders(orders: DataFrame, lots: DataFrame, tiered: bool) -> tuple[DataFrame, DataFrame]:
     """Orders that can be served, as a line, and those that ask for too much.
 
     A refused order asks nothing of the lots, so the orders after it move up.
@@ -98,7 +104,7 @@ def settle_orders(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFr
     kept = _with_visible(orders, lots)
     refused = None
     while True:
-        line = written(order_line(kept), "orders")
+        line = written(order_line(kept, tiered), "orders")
         nothing = F.col("hi") <= F.col("lo")
         excess = (F.col("hi") > F.col("visible")) | nothing
         position = F.struct("trade_date", "order_id")
@@ -111,7 +117,7 @@ def settle_orders(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFr
             (position == F.col("_first"))
             | ((position > F.col("_first")) & (F.col("_fixed") + F.col("amount") > F.col("visible")))
         )
-        judged = written(judged.select("order_id", "account_id", "amount", "visible"), "refused")
+        judged = judged.select("order_id", "account_id")
         if judged.isEmpty():
             break
         refused = judged if refused is None else refused.unionByName(judged)
@@ -121,7 +127,7 @@ def settle_orders(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFr
     return line, refused
 
 
-def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame) -> DataFrame:
+def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame, tiered: bool) -> DataFrame:
     """Pieces of the line that lie in both an order and a lot.
 
     Starting points are sorted in tiers of the position's high bits, so one
@@ -147,14 +153,61 @@ def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame) -> DataFrame:
         [["_far"], ["_near"]],
         ["at"],
         {"in_lot": ("max", "lot"), "in_order": ("max", "order")},
+        tiered=tiered,
     )
     at = (F.col("at") / F.lit(100000).cast("decimal(6,0)")).cast(TOTAL_SHARES)
     end = F.least("in_lot.hi", "in_order.hi")
-    return swept.filter(end > at).select(
+    both = F.col("in_lot").isNotNull() & F.col("in_order").isNotNull()
+    return swept.filter(both & (end > at)).select(
         "account_id", "in_order.order_id", "in_lot.lot_id", (end - at).cast(SHARES).alias("taken")
     )
 
 
+def allocate(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Serve orders from lots; results are pieces of lots and refused orders.
+
+    ``orders`` has account_id, order_id, trade_date, amount; ``lots`` has
+    account_id, lot_id, invest_date, trade_date, size. A lot that arrives by
+    transfer may be an older investment than lots already there and so enters
+    the line at its front. Orders are served up to the account's next such
+    arrival, for all accounts at once; the rest wait for the next round. There
+    are at most as many rounds as days on which an account gets such lots.
+    """
+    older = F.col("invest_date") < F.col("trade_date")
+    lots = written(lots, "lots")
+    sized = lots.select("account_id").unionByName(orders.select("account_id"))
+    tiered = needs_tiers(sized, ["account_id"])
+    pieces = refusals = None
+    while True:
+        first = orders.groupBy("account_id").agg(F.min("trade_date").alias("_first"))
+        arrival = (
+            lots.filter(older)
+            .join(first, "account_id")
+            .filter(F.col("trade_date") > F.col("_first"))
+            .groupBy("account_id")
+            .agg(F.min("trade_date").alias("_arrival"))
+        )
+        waits = F.coalesce(F.col("trade_date") >= F.col("_arrival"), F.lit(False))
+        split = written(orders.join(arrival, "account_id", "left").withColumn("_waits", waits), "split")
+        reachable = lots.join(arrival, "account_id", "left").filter(~(older & waits)).drop("_arrival")
+        line, refused = settle_orders(
+            split.filter(~F.col("_waits")).select("account_id", "order_id", "trade_date", "amount"),
+            reachable,
+            tiered,
+        )
+        taken = written(overlaps(line, lot_line(reachable, tiered), tiered), "taken")
+        pieces = taken if pieces is None else pieces.unionByName(taken)
+        refusals = refused if refusals is None else refusals.unionByName(refused)
+        orders = split.filter("_waits").select("account_id", "order_id", "trade_date", "amount")
+        if orders.isEmpty():
+            return pieces, refusals
+        used = taken.groupBy("lot_id").agg(F.sum("taken").alias("_used"))
+        left = (F.col("size") - F.coalesce("_used", F.lit(0))).cast(TOTAL_SHARES)
+        lots = written(
+            lots.join(used, "lot_id", "left").withColumn("size", left).drop("_used").filter("size > 0"), "left"
+        )
+
+
 def _shared(pieces: DataFrame, orders: DataFrame) -> DataFrame:
     """Split each order's money and bought shares pro rata to the shares sold."""
     totals = pieces.groupBy("order_id").agg(F.sum("shares").cast(TOTAL_SHARES).alias("_total"))
@@ -171,32 +224,22 @@ def _shared(pieces: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def _live(open_lots: DataFrame) -> DataFrame:
-    return open_lots.filter(F.col("shares") > 0)
-
-
 def fifo_allocate_shares(orders: DataFrame, open_lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spread orders for a number of shares over an account's lots.
 
     ``orders`` has order_id, account_id, trade_date, shares, proceeds,
     bought_shares; NULL shares mean everything. Lots bought after the order's
-    date are out of reach. Lots that arrive between two orders of an account
-    must not be older investments than those already there; ``replay_ledger``
-    splits orders where they are. Results: sales per lot, and refused orders.
+    date are out of reach. Results: sales per lot, and refused orders.
     """
-    lots = _live(open_lots).select(
+    lots = open_lots.filter(F.col("shares") > 0).select(
         "account_id", "lot_id", "invest_date", "trade_date", _length("shares").alias("size")
     )
-    line, refused = settle_orders(
+    pieces, refused = allocate(
         orders.select("account_id", "order_id", "trade_date", _length("shares").alias("amount")), lots
     )
-    unserved = orders.join(line.select("order_id"), "order_id", "left_anti")
-    pieces = overlaps(line, lot_line(lots)).withColumnRenamed("taken", "shares")
-    empty = refused.select("order_id", F.when(F.col("visible") > 0, "too many shares").alias("_reason"))
-    refusals = unserved.join(empty, "order_id", "left").select(
-        "order_id", "account_id", F.coalesce("_reason", F.lit("no open lots")).alias("reason")
+    return _shared(pieces.withColumnRenamed("taken", "shares"), orders), refused.withColumn(
+        "reason", F.lit("too many shares")
     )
-    return _shared(pieces, orders), refusals
 
 
 def fifo_allocate_lots(orders: DataFrame, open_lots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,17 +248,12 @@ def fifo_allocate_lots(orders: DataFrame, open_lots: DataFrame) -> tuple[DataFra
     ``orders`` has order_id, account_id, trade_date, lots, proceeds,
     bought_shares. Results: sales per lot, and refused orders.
     """
-    live = _live(open_lots)
+    live = open_lots.filter(F.col("shares") > 0)
     lots = live.select(
         "account_id", "lot_id", "invest_date", "trade_date", F.lit(1).cast(TOTAL_SHARES).alias("size")
     )
-    line, refused = settle_orders(
+    pieces, refused = allocate(
         orders.select("account_id", "order_id", "trade_date", _length("lots").alias("amount")), lots
     )
-    unserved = orders.join(line.select("order_id"), "order_id", "left_anti")
-    pieces = overlaps(line, lot_line(lots)).drop("taken").join(live.select("lot_id", "shares"), "lot_id")
-    empty = refused.select("order_id", F.when(F.col("visible") > 0, "too many lots").alias("_reason"))
-    refusals = unserved.join(empty, "order_id", "left").select(
-        "order_id", "account_id", F.coalesce("_reason", F.lit("no open lots")).alias("reason")
-    )
-    return _shared(pieces, orders), refusals
+    sold = pieces.drop("taken").join(live.select("lot_id", "shares"), "lot_id")
+    return _shared(sold, orders), refused.withColumn("reason", F.lit("too many lots"))

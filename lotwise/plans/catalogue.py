@@ -10,12 +10,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators import allocate as al
 from lotwise.operators import evolution as ev
 from lotwise.operators import filters as fl
 from lotwise.operators import lineage as ln
 from lotwise.operators import lots as lt
 from lotwise.operators import quotes as qt
+from lotwise.operators import resolve as rs
 from lotwise.operators import valuation as vl
+from lotwise.operators.replay import replay_ledger
+from lotwise.operators.validate import validate_ledger, validate_orders
+from lotwise.plans import operations as op
 from lotwise.plans import oracle, reports
 from lotwise.session import configure, written
 from lotwise.sources.derived import stored_ledger
@@ -382,3 +387,273 @@ FROM (
         FROM evolution WHERE terminal_lot IS NOT NULL))""",
     EVOLUTION_VIEWS,
 )(lambda i: ev.axis_ticks(i.evolution))
+
+# --- operations ---------------------------------------------------------------
+
+query(
+    "resolve_subscriptions",
+    "lot_id:i account_id invest_date:d trade_date:d initial_shares:n cost:n origin_sale_id:i",
+    f"""SELECT o.lot_id, o.account_id, CASE WHEN o.origin_sale_id IS NULL THEN o.trade_date ELSE p.invest_date END AS invest_date,
+       o.trade_date, coalesce(CASE WHEN o.lot_id % 3 <> 0 THEN o.initial_shares END, {oracle.shares_for("o.cost", "q.nav")}) AS initial_shares,
+       coalesce(CASE WHEN o.lot_id % 3 <> 1 THEN o.cost END, {oracle.money(oracle.worth("o.initial_shares", "q.nav"))}) AS cost,
+       o.origin_sale_id
+FROM lot o JOIN account a ON a.account_id = o.account_id
+LEFT JOIN quote q ON q.isin = a.isin AND q.date = o.trade_date AND q.date <= DATE '{END}'
+LEFT JOIN sale s ON s.sale_id = o.origin_sale_id LEFT JOIN lot p ON p.lot_id = s.lot_id""",
+)(
+    lambda i: rs.resolve_subscriptions(
+        op.subscription_ops(i.ledger.lots),
+        i.ledger.accounts,
+        op.known_quotes(i.ledger.quotes, _date(END)),
+        i.ledger.sales,
+        i.ledger.lots,
+    )
+)
+
+RESOLVED_SALES = f"""
+gap_lot AS (
+  SELECT lot_id, account_id, invest_date, CASE WHEN lot_id % 7 <> 0 THEN initial_shares END AS left_shares FROM lot),
+resolved AS (
+  SELECT s.sale_id, s.order_id, s.lot_id, g.account_id, a.isin, s.trade_date, g.invest_date,
+         coalesce(CASE WHEN sale_id % 3 <> 0 THEN s.shares END, g.left_shares) AS shares,
+         coalesce(CASE WHEN sale_id % 3 = 2 THEN s.proceeds END,
+           {oracle.money(oracle.worth("coalesce(CASE WHEN sale_id % 3 <> 0 THEN s.shares END, g.left_shares)", "q.nav"))}) AS proceeds,
+         CASE WHEN g.left_shares IS NULL THEN 'lot shares unknown' END AS reason
+  FROM sale_view s JOIN gap_lot g USING (lot_id) JOIN account a ON a.account_id = g.account_id
+  LEFT JOIN quote q ON q.isin = a.isin AND q.date = s.trade_date)"""
+query(
+    "resolve_sales",
+    "sale_id:i order_id:i lot_id:i account_id isin trade_date:d shares:n proceeds:n reason",
+    "SELECT * FROM resolved",
+    RESOLVED_SALES,
+)(
+    lambda i: rs.resolve_sales(
+        op.sale_ops(i.ledger.sales, i.ledger.orders),
+        lt.open_lots(op.lots_with_gaps(i.ledger.lots), i.ledger.sales.limit(0)),
+        i.ledger.accounts,
+        i.ledger.quotes,
+    )
+)
+
+
+@query(
+    "resolve_transfers",
+    "sale_id:i shares:n proceeds:n reason account_id invest_date:d trade_date:d initial_shares:n cost:n",
+    f"""SELECT sale_id, shares, proceeds, reason,
+       CASE WHEN takes THEN destination END AS account_id, CASE WHEN takes THEN invest_date END AS invest_date,
+       CASE WHEN takes THEN buy_date END AS trade_date,
+       CASE WHEN takes THEN coalesce(bought, {oracle.shares_for("proceeds", "buy_nav")}) END AS initial_shares,
+       CASE WHEN takes THEN coalesce(proceeds, {oracle.money(oracle.worth("bought", "buy_nav"))}) END AS cost
+FROM (SELECT *, destination IS NOT NULL AND reason IS NULL AS takes FROM (
+  SELECT *, CASE WHEN destination IS NULL THEN NULL WHEN buy_date < sell_date THEN 'bought before sold'
+                 WHEN bought IS NULL AND proceeds IS NULL THEN 'no price for the sale' END AS reason FROM (
+    SELECT t.*, q2.nav AS buy_nav, l.invest_date,
+           coalesce(t.bought_shares, CASE WHEN NOT money_given AND buy_date = sell_date AND a2.isin = a1.isin THEN shares END) AS bought
+    FROM (SELECT v.sale_id, v.lot_id, v.sell_date, v.destination, sale_id % 4 = 0 AS money_given,
+                 coalesce(CASE WHEN sale_id % 2 = 0 THEN v.sold_shares END, g.initial_shares) AS shares,
+                 coalesce(CASE WHEN sale_id % 4 = 0 THEN v.proceeds END,
+                   {oracle.money(oracle.worth("coalesce(CASE WHEN sale_id % 2 = 0 THEN v.sold_shares END, g.initial_shares)", "q.nav"))}) AS proceeds,
+                 coalesce(CASE WHEN sale_id % 11 = 0 THEN v.buy_date - 1 WHEN sale_id % 3 = 0 THEN v.buy_date END, v.sell_date) AS buy_date,
+                 CASE WHEN sale_id % 5 = 0 THEN v.bought_shares END AS bought_shares
+          FROM transfer_view v JOIN lot g USING (lot_id) JOIN account a ON a.account_id = g.account_id
+          LEFT JOIN quote q ON q.isin = a.isin AND q.date = v.sell_date AND q.date <= DATE '{END}') t
+    JOIN lot l USING (lot_id) JOIN account a1 ON a1.account_id = l.account_id
+    LEFT JOIN account a2 ON a2.account_id = t.destination
+    LEFT JOIN quote q2 ON q2.isin = a2.isin AND q2.date = t.buy_date AND q2.date <= DATE '{END}')))""",
+)
+def _resolve_transfers(i: Inputs) -> DataFrame:
+    ledger = i.ledger
+    transfers = lt.transfer_view(ledger.sales, ledger.orders, ledger.lots)
+    sales, bought = rs.resolve_transfers(
+        op.transfer_ops(transfers),
+        ledger.lots,
+        lt.open_lots(ledger.lots, ledger.sales.limit(0)),
+        ledger.accounts,
+        op.known_quotes(ledger.quotes, _date(END)),
+    )
+    return sales.select("sale_id", "shares", "proceeds", "reason").join(
+        bought.withColumnRenamed("origin_sale_id", "sale_id"), "sale_id", "left"
+    )
+
+
+FILLED = "kind id:i shares:n amount:n"
+FILLED_SQL = f"""SELECT 'lot' AS kind, lot_id AS id,
+       CASE WHEN lot_id % 3 = 0 THEN {oracle.shares_for("cost", "nav")} ELSE initial_shares END AS shares,
+       CASE WHEN lot_id % 3 = 1 THEN {oracle.money(oracle.worth("initial_shares", "nav"))} ELSE cost END AS amount
+FROM lot JOIN account USING (account_id) JOIN quote q USING (isin)
+WHERE q.date = trade_date AND q.date > DATE '{START}' AND lot_id % 3 <> 2
+UNION ALL
+SELECT 'sale', sale_id, s.shares, {oracle.money(oracle.worth("s.shares", "nav"))}
+FROM sale_view s JOIN lot l USING (lot_id) JOIN account USING (account_id) JOIN quote q USING (isin)
+WHERE q.date = s.trade_date AND q.date > DATE '{START}' AND sale_id % 2 <> 0"""
+
+
+def filled_rows(lots: DataFrame, sales: DataFrame) -> DataFrame:
+    """Completed lots and sales as one list."""
+    return lots.select(
+        F.lit("lot").alias("kind"), F.col("lot_id").alias("id"), F.col("initial_shares").alias("shares"), F.col("cost").alias("amount")
+    ).unionByName(
+        sales.select(
+            F.lit("sale").alias("kind"), F.col("sale_id").alias("id"), "shares", F.col("proceeds").alias("amount")
+        )
+    )
+
+
+@query("backfill_on_quote", FILLED, FILLED_SQL)
+def _backfill(i: Inputs) -> DataFrame:
+    lots, sales = op.pending(i.ledger.lots, i.ledger.sales)
+    arriving = i.ledger.quotes.filter(F.col("date") > F.lit(_date(START)))
+    return filled_rows(
+        *rs.backfill_on_quote(arriving, lots, sales, i.ledger.orders, i.ledger.accounts)
+    )
+
+
+query(
+    "assign_order_ids",
+    "op_id:i trade_date:d order_id:i is_new:b",
+    f"""SELECT sale_id AS op_id, trade_date, order_id, false AS is_new FROM sale_view WHERE trade_date <= DATE '{END}'
+UNION ALL
+SELECT sale_id, trade_date, row_number() OVER (ORDER BY trade_date, sale_id)
+         + (SELECT max(order_id) FROM sale_order WHERE trade_date <= DATE '{END}'), true
+FROM sale_view WHERE trade_date > DATE '{END}'""",
+)(
+    lambda i: rs.assign_order_ids(
+        lt.sale_view(i.ledger.sales, i.ledger.orders).select(
+            F.col("sale_id").alias("op_id"),
+            "trade_date",
+            F.when(F.col("trade_date") <= F.lit(_date(END)), F.col("order_id")).alias("order_id"),
+        ),
+        i.ledger.orders.filter(F.col("trade_date") <= F.lit(_date(END))),
+    )
+)
+
+ALLOCATED = "order_id:i lot_id:i shares:n proceeds:n bought_shares:n reason"
+
+
+def _allocation_stages(by_shares: bool) -> str:
+    """Three orders per account one after the other, each from what is left."""
+    amounts = (
+        ("CAST(floor(total * 0.3 * 100000) / 100000 AS DECIMAL(18, 5))", "CAST(floor(total * 0.5 * 100000) / 100000 AS DECIMAL(18, 5))", "NULL")
+        if by_shares
+        else ("1", "2", "1")
+    )
+    views = ["""left0 AS (SELECT lot_id, account_id, invest_date, trade_date, shares FROM open_lot WHERE shares > 0),
+owner AS (SELECT account_id, min(lot_id) AS first, sum(initial_shares) AS total FROM lot GROUP BY account_id)"""]
+    for k, (date, amount) in enumerate(zip(op.ORDER_DATES, amounts)):
+        size = "shares" if by_shares else "1"
+        money = f"CAST({1000 + k} AS DECIMAL(18, 2))" if k < 2 else "CAST(NULL AS DECIMAL(18, 2))"
+        bought = "CAST(100 AS DECIMAL(18, 5))" if k == 0 else "CAST(NULL AS DECIMAL(18, 5))"
+        views.append(f"""reach{k} AS (
+  SELECT l.*, {size} AS size, sum({size}) OVER (PARTITION BY account_id ORDER BY invest_date, lot_id ROWS UNBOUNDED PRECEDING) AS hi,
+         sum({size}) OVER (PARTITION BY account_id) AS visible
+  FROM left{k} l WHERE trade_date <= DATE '{date}'),
+ask{k} AS (
+  SELECT account_id, first * 10 + {k} AS order_id, {amount} AS amount, coalesce(visible, 0) AS visible
+  FROM owner LEFT JOIN (SELECT DISTINCT account_id, visible FROM reach{k}) USING (account_id)),
+take{k} AS (
+  SELECT order_id, lot_id, CAST({"least(hi, coalesce(amount, a.visible)) - (hi - size)" if by_shares else "shares"} AS DECIMAL(18, 5)) AS shares
+  FROM reach{k} r JOIN ask{k} a USING (account_id)
+  WHERE coalesce(amount, a.visible) <= a.visible AND hi - size < coalesce(amount, a.visible)),
+sold{k} AS (SELECT *, sum(shares) OVER (PARTITION BY order_id) AS whole FROM take{k}),
+done{k} AS (
+  SELECT order_id, lot_id, shares, {oracle.money(oracle.scaled(money, oracle.ratio("shares", "whole")))} AS proceeds,
+         CAST(floor(({oracle.scaled(bought, oracle.ratio("shares", "whole")).replace("19, 2", "19, 5")}) * 100000) / 100000 AS DECIMAL(18, 5)) AS bought_shares,
+         CAST(NULL AS VARCHAR) AS reason
+  FROM sold{k}
+  UNION ALL
+  SELECT order_id, NULL, NULL, NULL, NULL,
+         '{"too many shares" if by_shares else "too many lots"}'
+  FROM ask{k} WHERE visible = 0 OR amount > visible),
+left{k + 1} AS (
+  SELECT lot_id, account_id, invest_date, trade_date, CAST(l.shares - coalesce(t.shares, 0) AS DECIMAL(18, 5)) AS shares
+  FROM left{k} l LEFT JOIN take{k} t USING (lot_id) WHERE l.shares - coalesce(t.shares, 0) > 0)""")
+    return ",\n".join(views)
+
+
+def _allocated(result: tuple[DataFrame, DataFrame]) -> DataFrame:
+    sales, refused = result
+    return sales.unionByName(refused, allowMissingColumns=True)
+
+
+ALLOCATED_SQL = "SELECT * FROM done0 UNION ALL SELECT * FROM done1 UNION ALL SELECT * FROM done2"
+query("fifo_allocate_shares", ALLOCATED, ALLOCATED_SQL, _allocation_stages(by_shares=True))(
+    lambda i: _allocated(al.fifo_allocate_shares(op.share_orders(i.ledger.lots), i.open_lots))
+)
+query("fifo_allocate_lots", ALLOCATED, ALLOCATED_SQL, _allocation_stages(by_shares=False))(
+    lambda i: _allocated(al.fifo_allocate_lots(op.lot_orders(i.ledger.lots), i.open_lots))
+)
+
+
+@query("replay_ledger", "kind id:i parent:i date:d shares:n amount:n reason")
+def _replay(i: Inputs) -> DataFrame:
+    ledger = i.ledger
+    lots, orders, sales, refused = replay_ledger(
+        op.operation_log(ledger.lots, i.account_transfers), ledger.accounts, ledger.quotes
+    )
+    listed = [
+        lots.select(F.lit("lot").alias("kind"), F.col("lot_id").alias("id"), F.col("origin_sale_id").alias("parent"),
+                    F.col("trade_date").alias("date"), F.col("initial_shares").alias("shares"), F.col("cost").alias("amount")),
+        orders.select(F.lit("order").alias("kind"), F.col("order_id").alias("id"), F.col("trade_date").alias("date")),
+        sales.select(F.lit("sale").alias("kind"), F.col("sale_id").alias("id"), F.col("lot_id").alias("parent"),
+                     "shares", F.col("proceeds").alias("amount")),
+        refused.select(F.lit("refused").alias("kind"), F.col("op_id").alias("id"), "reason"),
+    ]
+    result = listed[0].withColumn("reason", F.lit(None).cast("string"))
+    for table in listed[1:]:
+        result = result.unionByName(table, allowMissingColumns=True)
+    return result
+
+
+BROKEN = """
+blot0 AS (
+  SELECT lot_id, CASE WHEN lot_id % 109 = 0 THEN 'nobody' ELSE account_id END AS account_id, invest_date,
+         CASE WHEN lot_id % 113 = 0 THEN trade_date - 1 ELSE trade_date END AS trade_date,
+         CASE WHEN lot_id % 101 = 0 THEN 0 WHEN lot_id % 103 = 0 THEN NULL WHEN lot_id % 107 = 0 THEN 1
+              ELSE initial_shares END AS initial_shares,
+         CASE WHEN lot_id % 103 <> 0 OR lot_id % 2 = 0 THEN cost END AS cost, origin_sale_id FROM lot),
+blot AS (SELECT * FROM blot0 UNION ALL SELECT * FROM blot0 WHERE lot_id % 131 = 0),
+bsale0 AS (
+  SELECT sale_id, order_id, lot_id,
+         CASE WHEN sale_id % 101 = 1 THEN 0 WHEN sale_id % 103 = 1 THEN NULL ELSE shares END AS shares,
+         CASE WHEN sale_id % 107 = 1 THEN -1 WHEN sale_id % 103 <> 1 OR sale_id % 2 = 0 THEN proceeds END AS proceeds
+  FROM sale WHERE sale_id % 127 <> 0),
+bsale AS (SELECT * FROM bsale0 UNION ALL SELECT * FROM bsale0 WHERE sale_id % 131 = 0),
+border AS (SELECT * FROM sale_order WHERE order_id % 137 <> 0),
+bquote AS (SELECT * FROM quote UNION ALL SELECT * FROM quote WHERE day(date) = 31),
+bfund AS (SELECT * FROM fund WHERE active),
+bleft AS (
+  SELECT l.*, l.initial_shares - coalesce((SELECT sum(shares) FROM bsale s WHERE s.lot_id = l.lot_id), 0) AS left_shares
+  FROM blot l)"""
+BROKEN_SQL = """SELECT 'lots' AS table_name, CAST(lot_id AS VARCHAR) AS key, 'shares not positive' AS reason FROM blot WHERE initial_shares <= 0
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'neither shares nor cost' FROM blot WHERE initial_shares IS NULL AND cost IS NULL
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'shares not positive' FROM bsale WHERE shares <= 0
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'proceeds negative' FROM bsale WHERE proceeds < 0
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'neither shares nor proceeds' FROM bsale WHERE shares IS NULL AND proceeds IS NULL
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'repeated lot_id' FROM blot GROUP BY lot_id HAVING count(*) > 1
+UNION ALL SELECT 'lots', concat_ws('/', origin_sale_id, account_id, trade_date), 'repeated origin_sale_id/account_id/trade_date'
+  FROM blot WHERE origin_sale_id IS NOT NULL GROUP BY origin_sale_id, account_id, trade_date HAVING count(*) > 1
+UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), 'repeated order_id' FROM border GROUP BY order_id HAVING count(*) > 1
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'repeated sale_id' FROM bsale GROUP BY sale_id HAVING count(*) > 1
+UNION ALL SELECT 'sales', concat_ws('/', order_id, lot_id), 'repeated order_id/lot_id' FROM bsale GROUP BY order_id, lot_id HAVING count(*) > 1
+UNION ALL SELECT 'quotes', concat_ws('/', isin, date), 'repeated isin/date' FROM bquote GROUP BY isin, date HAVING count(*) > 1
+UNION ALL SELECT 'fund_feeds', concat_ws('/', feed, isin), 'unknown isin' FROM fund_feed WHERE isin NOT IN (SELECT isin FROM bfund)
+UNION ALL SELECT 'accounts', account_id, 'unknown isin' FROM account WHERE isin NOT IN (SELECT isin FROM bfund)
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'unknown account_id' FROM blot WHERE account_id NOT IN (SELECT account_id FROM account)
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'unknown origin_sale_id' FROM blot WHERE origin_sale_id NOT IN (SELECT sale_id FROM bsale)
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'unknown lot_id' FROM bsale WHERE lot_id NOT IN (SELECT lot_id FROM blot)
+UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'unknown order_id' FROM bsale WHERE order_id NOT IN (SELECT order_id FROM border)
+UNION ALL SELECT 'quotes', concat_ws('/', isin, date), 'unknown isin' FROM bquote WHERE isin NOT IN (SELECT isin FROM bfund)
+UNION ALL SELECT 'lots', CAST(l.lot_id AS VARCHAR), 'bought before sold' FROM blot l JOIN bsale s ON s.sale_id = l.origin_sale_id
+  JOIN border o USING (order_id) WHERE l.trade_date < o.trade_date
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'too many shares sold' FROM bleft WHERE left_shares < 0
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'sold with unknown shares' FROM bleft
+  WHERE initial_shares IS NULL AND lot_id IN (SELECT lot_id FROM bsale)
+UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), 'both lots and shares' FROM account_transfer WHERE order_id % 7 = 0"""
+
+
+@query("validate_ledger", "table_name key reason", BROKEN_SQL, BROKEN)
+def _validate(i: Inputs) -> DataFrame:
+    orders = i.account_transfers.select(
+        "order_id", "lots", F.when(F.col("order_id") % 7 == 0, F.col("sold_shares")).alias("shares")
+    )
+    return validate_ledger(op.broken_ledger(i.ledger)).unionByName(validate_orders(orders))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, price
-from lotwise.operators.running import id_block, row_numbers, running, with_neighbours
+from lotwise.operators.running import id_block, needs_tiers, row_numbers, running, with_neighbours
 from lotwise.schemas import MONEY, NAV, SHARES
 from lotwise.session import new_path, written
 from lotwise.sources.tables import Ledger, read_ledger, write_ledger
@@ -34,13 +34,13 @@ def _isin(number):
     return F.concat(F.lit("FX"), F.lpad((number % 10).cast("string"), 10, "0"))
 
 
-def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_lines(lineitem: DataFrame, sf_dir: str, tiered: bool) -> DataFrame:
     """Lines with owner, fund, price and their number within the order."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
+    spark = lineitem.sparkSession
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
     seq = row_numbers(
-        lineitem, ["l_orderkey"], [["l_shipdate", "l_linenumber"]], LINE_ORDER[2:], "seq"
+        lineitem, ["l_orderkey"], [["l_shipdate", "l_linenumber"]], LINE_ORDER[2:], "seq", tiered
     )
     distributor = F.when(F.col("l_suppkey") % 20 >= 10, "B1").otherwise("B0")
     return (
@@ -63,7 +63,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chained_lines(lines: DataFrame) -> DataFrame:
+def chained_lines(lines: DataFrame, tiered: bool) -> DataFrame:
     """Add the neighbours of each line and the first date of its chain."""
     linked = with_neighbours(
         lines,
@@ -82,7 +82,7 @@ def chained_lines(lines: DataFrame) -> DataFrame:
         }
     )
     return running(
-        started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")}
+        started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")}, tiered=tiered
     ).drop("_start", "_block")
 
 
@@ -108,7 +108,9 @@ def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     """All ledger tables of the given folder, computed by Spark."""
-    lines = written(chained_lines(numbered_lines(spark, sf_dir)), "lines")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
+    tiered = needs_tiers(lineitem, ["l_orderkey"])
+    lines = written(chained_lines(numbered_lines(lineitem, sf_dir, tiered), tiered), "lines")
     col = F.col
 
     sold = lines.filter(col("flag").isin("A", "R"))
