@@ -1,0 +1,127 @@
+"""The log of one investor, applied in memory; see ``replay`` for the rules.
+
+Amounts are whole numbers of their last decimal, so results are exact.
+"""
+
+from __future__ import annotations
+
+import bisect
+from collections import defaultdict
+from decimal import Decimal
+
+import pandas as pd
+
+EVENT = (
+    "investor_id string, kind string, id long, parent long, order_id long, account_id string,"
+    " invest_date date, trade_date date, shares decimal(18,5), amount decimal(18,2), reason string"
+)
+
+
+def _units(value, digits: int) -> int | None:
+    """A decimal as a whole number of its last digit; None if missing."""
+    return None if pd.isna(value) else int(Decimal(value).scaleb(digits))
+
+
+def _half_up(value: int, unit: int) -> int:
+    return (2 * value + unit) // (2 * unit)
+
+
+def apply_log(log: pd.DataFrame) -> pd.DataFrame:
+    """Events of one investor's log; new lots and sales get ids -1, -2, …"""
+    lines = defaultdict(list)  # account -> live lots [invest date, rank, id, shares], oldest first
+    arriving, today, events = defaultdict(list), defaultdict(list), []
+    created = 0
+
+    def emit(kind, **values):
+        events.append({"kind": kind, **values})
+
+    def arrive(account, lot):
+        bisect.insort(lines[account], lot)
+
+    def take(op):
+        """Lots and shares an order takes, or None if it asks for too much."""
+        line, wanted = lines[op.account_id], _units(op.shares, 5)
+        if not pd.isna(op.lots):
+            count = int(op.lots)
+            return [(lot, lot[3]) for lot in line[:count]] if len(line) >= count else None
+        whole = sum(lot[3] for lot in line)
+        wanted = whole if wanted is None else wanted
+        if wanted > whole or whole == 0:
+            return None
+        pieces = []
+        for lot in line:
+            if wanted == 0:
+                break
+            pieces.append((lot, min(lot[3], wanted)))
+            wanted -= pieces[-1][1]
+        return pieces
+
+    def serve(op, day):
+        nonlocal created
+        pieces = take(op)
+        if pieces is None:
+            reason = "too many shares" if pd.isna(op.lots) else "too many lots"
+            emit("refused", order_id=op.op_id, reason=reason)
+            return
+        total = sum(n for _, n in pieces)
+        money, bought, nav, buy_nav = (
+            _units(v, d) for v, d in ((op.money, 2), (op.bought_shares, 5), (op.nav, 4), (op.buy_nav, 4))
+        )
+        for lot, sold in pieces:
+            part = _half_up(sold * 10**12, total)
+            if money is not None:
+                proceeds = _half_up(money * part, 10**12)
+            else:
+                proceeds = None if nav is None else _half_up(sold * nav, 10**7)
+            created += 1
+            sale = -created
+            emit("sale", id=sale, parent=lot[2], order_id=op.op_id, trade_date=day, shares=sold, amount=proceeds)
+            lot[3] -= sold
+            if op.destination is None:
+                continue
+            shares = bought * part // 10**12 if bought is not None else sold if op.carried else None
+            cost = proceeds
+            if cost is None and buy_nav is not None:
+                cost = _half_up(shares * buy_nav, 10**7)
+            if shares is None and buy_nav is not None:
+                shares = proceeds * 10**7 // buy_nav
+            created += 1
+            emit("lot", id=-created, parent=sale, account_id=op.destination, invest_date=lot[0],
+                 trade_date=op.buy_date, shares=shares, amount=cost)
+            if shares:
+                child = [lot[0], (1, created), -created, shares]
+                if op.buy_date > day:
+                    arriving[op.buy_date].append((op.destination, child))
+                else:
+                    arrive(op.destination, child)
+        lines[op.account_id] = [lot for lot in lines[op.account_id] if lot[3] > 0]
+
+    for op in log.sort_values(["trade_date", "op_id"]).itertuples(index=False):
+        if op.kind != "subscription":
+            today[op.trade_date].append(op)
+        elif not pd.isna(op.shares):
+            shares = _units(op.shares, 5)
+            arriving[op.trade_date].append((op.account_id, [op.trade_date, (0, op.op_id), op.op_id, shares]))
+    for day in sorted(set(today) | set(arriving)):
+        # Days that transfers add are days of this set or have no sales after them.
+        for date in sorted(d for d in arriving if d <= day):
+            for account, lot in arriving.pop(date):
+                arrive(account, lot)
+        waiting = today.get(day, [])
+        while waiting:
+            inbound = {}
+            for op in waiting:
+                if op.destination not in (None, op.account_id) and op.buy_date == day:
+                    inbound[op.destination] = min(op.op_id, inbound.get(op.destination, op.op_id))
+            free = [op for op in waiting if op.account_id not in inbound]
+            free = free or [op for op in waiting if op.op_id < inbound[op.account_id]]
+            for op in free:
+                serve(op, day)
+            done = {op.op_id for op in free}
+            waiting = [op for op in waiting if op.op_id not in done]
+
+    frame = pd.DataFrame(events, columns=[c.split()[0] for c in EVENT.split(", ")], dtype=object)
+    frame["investor_id"] = log["investor_id"].iloc[0]
+    for column, digits in (("shares", 5), ("amount", 2)):
+        frame[column] = [None if pd.isna(v) else Decimal(v).scaleb(-digits) for v in frame[column]]
+    return frame
