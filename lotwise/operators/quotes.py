@@ -158,12 +158,12 @@ def append_quotes(
     """
     keys = ["isin", "date"]
     first = incoming.groupBy(*keys).agg(
-        F.min(F.struct(*arrival, price(F.col("nav")).alias("nav"))).alias("_first"),
+        F.min(F.struct(*arrival, price(F.col("nav")).alias("_nav"))).alias("_first"),
         F.count("*").alias("_arrivals"),
     )
     stored = existing.select(*keys, F.lit(True).alias("_stored"))
     judged = first.join(stored, keys, "left")
-    accepted = judged.filter(F.col("_stored").isNull()).select(*keys, "_first.nav")
+    accepted = judged.filter(F.col("_stored").isNull()).select(*keys, F.col("_first._nav").alias("nav"))
     refused = F.col("_arrivals") - F.when(F.col("_stored").isNull(), 1).otherwise(0)
     conflicts = judged.select(*keys, refused.alias("refused")).filter(F.col("refused") > 0)
     return accepted, conflicts

@@ -22,9 +22,15 @@ from lotwise.operators.replay import replay_ledger
 from lotwise.operators.validate import validate_ledger, validate_orders
 from lotwise.plans import operations as op
 from lotwise.plans import oracle, reports
-from lotwise.session import configure, written
+from lotwise.plans import files
+from lotwise.schemas import LOT, SALE
+from lotwise.schemas import QUOTE as QUOTE_TABLE
+from lotwise.session import configure, new_path, written
+from lotwise.sources import ledger_text as tx
+from lotwise.sources import quote_feeds, stores
 from lotwise.sources.derived import stored_ledger
 from lotwise.sources.tables import Ledger, scan_tables
+from lotwise.streaming import quotes as sq
 
 START, END = "1997-01-01", "1999-12-31"
 YEAR_START, YEAR_END = "1998-01-01", "1998-12-31"
@@ -657,3 +663,201 @@ def _validate(i: Inputs) -> DataFrame:
         "order_id", "lots", F.when(F.col("order_id") % 7 == 0, F.col("sold_shares")).alias("shares")
     )
     return validate_ledger(op.broken_ledger(i.ledger)).unionByName(validate_orders(orders))
+
+
+# --- text records and feeds ---------------------------------------------------
+
+query(
+    "read_ledger_file",
+    "isin date nav cells:i",
+    "SELECT isin, CAST(date AS VARCHAR) AS date, CAST(nav AS VARCHAR) AS nav, 3 AS cells FROM quote",
+)(
+    lambda i: tx.read_ledger_file(i.spark, files.quote_file(i.ledger.quotes)).select(
+        F.col("cells")[0].alias("isin"), F.col("cells")[1].alias("date"), F.col("cells")[2].alias("nav"),
+        F.size("cells").alias("cells"),
+    )
+)
+
+
+def _layout(i: Inputs, layout: str, path: str) -> DataFrame:
+    return tx.read_layout(i.spark, path, layout)[0]
+
+
+query(
+    "layout_fund",
+    FUND,
+    """SELECT isin, name, alias, manager, CASE WHEN active THEN 'EUR' ELSE 'USD' END AS currency, risk, feed,
+       (SELECT feed_key FROM fund_feed k WHERE k.feed = fund.feed AND k.isin = fund.isin) AS feed_key, active FROM fund""",
+)(lambda i: _layout(i, "fund", files.fund_file(i.ledger.funds, i.ledger.fund_feeds)))
+query("layout_account", "account_id isin distributor", "SELECT * FROM account")(
+    lambda i: _layout(i, "account", files.account_file(i.ledger.accounts))
+)
+query(
+    "layout_subscription",
+    "account_id trade_date:d cost:n shares:n",
+    """SELECT account_id, trade_date, CASE WHEN lot_id % 3 <> 1 THEN cost END AS cost,
+       CASE WHEN lot_id % 3 <> 0 THEN initial_shares END AS shares FROM lot""",
+)(lambda i: _layout(i, "subscription", files.subscription_file(op.subscription_ops(i.ledger.lots))))
+query(
+    "layout_redemption",
+    "account_id trade_date:d lots:i shares:n proceeds:n comment",
+    """SELECT account_id, trade_date, CASE WHEN order_id % 2 = 0 THEN lots END AS lots,
+       CASE WHEN order_id % 2 = 1 THEN shares END AS shares, proceeds, comment FROM account_sale""",
+)(lambda i: _layout(i, "redemption", files.redemption_file(i.account_sales)))
+query(
+    "layout_transfer",
+    "account_id sell_date:d destination buy_date:d lots:i shares:n proceeds:n bought_shares:n comment",
+    """SELECT source AS account_id, sell_date, destination, buy_date, CASE WHEN order_id % 2 = 0 THEN lots END AS lots,
+       CASE WHEN order_id % 2 = 1 THEN sold_shares END AS shares, proceeds, bought_shares, comment
+FROM account_transfer WHERE destination IS NOT NULL""",
+)(lambda i: _layout(i, "transfer", files.transfer_file(i.account_transfers)))
+query("layout_quote", QUOTE, "SELECT * FROM quote")(
+    lambda i: _layout(i, "quote", files.quote_file(i.ledger.quotes))
+)
+query(
+    "layout_quote_range",
+    "isin end_date:d days:i wanted:i",
+    """SELECT isin, max(date) AS end_date, max(date) - min(date) AS days, max(date) - min(date) + 1 AS wanted
+FROM quote GROUP BY isin, year(date)""",
+)(lambda i: _quote_ranges(i))
+
+
+def _quote_ranges(i: Inputs) -> DataFrame:
+    ranges = _layout(i, "quote_range", files.quote_range_file(i.ledger.quotes))
+    wanted = tx.wanted_quotes(ranges).groupBy("isin", F.year("date").alias("year")).agg(F.count("*").alias("wanted"))
+    return tx.range_requests(ranges).withColumn("year", F.year("end_date")).join(wanted, ["isin", "year"])
+
+
+query(
+    "rejected_rows",
+    "line reason",
+    """SELECT account_id || CASE WHEN lot_id % 3 = 0 THEN '' WHEN lot_id % 3 = 1 THEN '|1999-02-30|5.00' ELSE '|1999-02-03|5.00|1|x' END AS line,
+       CASE lot_id % 3 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'bad trade_date' ELSE 'too many fields' END AS reason FROM lot""",
+)(lambda i: tx.read_layout(i.spark, files.bad_subscription_file(i.ledger.lots), "subscription")[1])
+
+FEED_SQL = "SELECT * FROM quote"
+query("read_quote_csv_feed", QUOTE, FEED_SQL)(
+    lambda i: quote_feeds.read_quote_csv_feed(i.spark, files.csv_feed(i.ledger.quotes))
+)
+query("read_quote_json_feed", QUOTE, FEED_SQL)(
+    lambda i: quote_feeds.read_quote_json_feed(i.spark, files.json_feed(i.ledger.quotes))
+)
+
+query(
+    "append_quotes",
+    "isin date:d nav:n refused:i",
+    f"""SELECT isin, date, CASE WHEN date > DATE '{END}' THEN nav END AS nav,
+       arrivals - CASE WHEN date > DATE '{END}' THEN 1 ELSE 0 END AS refused
+FROM (SELECT isin, trade_date AS date, count(*) AS arrivals,
+        arg_min(CAST(CAST((2 * CAST(cost * 100 AS HUGEINT) * 10000000 + CAST(initial_shares * 100000 AS HUGEINT))
+          // (2 * CAST(initial_shares * 100000 AS HUGEINT)) AS DECIMAL(38, 0)) * CAST(0.0001 AS DECIMAL(5, 4)) AS DECIMAL(12, 4)), lot_id) AS nav
+      FROM lot JOIN account USING (account_id) GROUP BY isin, trade_date)""",
+)(lambda i: _append_quotes(i))
+
+
+def _append_quotes(i: Inputs) -> DataFrame:
+    paid = F.try_divide(F.col("cost"), F.col("initial_shares"))
+    incoming = i.ledger.lots.join(i.ledger.accounts, "account_id").select(
+        "isin", F.col("trade_date").alias("date"), paid.alias("nav"), "lot_id"
+    )
+    known = op.known_quotes(i.ledger.quotes, _date(END))
+    accepted, conflicts = qt.append_quotes(known, incoming, ["lot_id"])
+    return accepted.join(conflicts, ["isin", "date"], "full_outer").withColumn(
+        "refused", F.coalesce("refused", F.lit(0))
+    )
+
+
+UPSERT_VIEWS = """
+change AS (
+  SELECT isin, CASE risk % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'web' END AS feed,
+         CASE WHEN risk % 2 = 0 THEN 'N' || risk END AS feed_key, risk <> 3 AS sets_key FROM fund),
+judged AS (
+  SELECT v.isin, v.feed AS old_feed, v.feed_key AS old_key, coalesce(c.feed, v.feed) AS feed,
+         CASE WHEN c.sets_key THEN c.feed_key ELSE v.feed_key END AS feed_key
+  FROM fund_view v JOIN change c USING (isin))"""
+query(
+    "upsert_fund_feed",
+    "isin feed feed_key",
+    """SELECT f.isin, j.feed, k.feed_key
+FROM fund f JOIN (SELECT isin, CASE WHEN feed <> old_feed THEN feed ELSE old_feed END AS feed FROM judged) j USING (isin)
+LEFT JOIN (
+  SELECT feed, isin, feed_key FROM fund_feed k
+  WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.isin = k.isin AND j.feed = k.feed
+                    AND (j.feed_key <> j.old_key OR j.feed_key IS NULL))
+  UNION ALL SELECT feed, isin, feed_key FROM judged WHERE feed IS NOT NULL AND feed_key <> old_key) k
+  ON k.feed = j.feed AND k.isin = j.isin""",
+    UPSERT_VIEWS,
+)(lambda i: _upsert(i))
+
+
+def _upsert(i: Inputs) -> DataFrame:
+    risk = F.col("risk")
+    updates = i.ledger.funds.select(
+        "isin",
+        F.when(risk % 3 == 0, "csv").when(risk % 3 == 1, "web").alias("feed"),
+        F.when(risk % 2 == 0, F.concat(F.lit("N"), risk)).alias("feed_key"),
+        (risk != 3).alias("sets_key"),
+    )
+    funds, feeds = stores.upsert_fund_feed(i.ledger.funds, i.ledger.fund_feeds, updates)
+    return funds.select("isin", "feed").join(feeds, ["feed", "isin"], "left")
+
+
+# --- streams ------------------------------------------------------------------
+
+
+def _streamed(i: Inputs, batches: list[DataFrame], start) -> None:
+    """Write each batch as quote files and let the stream take what is new."""
+    folder, checkpoint = new_path(i.spark, "incoming"), new_path(i.spark, "stream")
+    for batch in batches:
+        files.append_lines(files.quote_lines(batch), folder)
+        start(sq.quote_stream(i.spark, folder), checkpoint).awaitTermination()
+
+
+@query("stream_backfill", FILLED, FILLED_SQL)
+def _stream_backfill(i: Inputs) -> DataFrame:
+    spark, quotes = i.spark, i.ledger.quotes.filter(F.col("date") > F.lit(_date(START)))
+    lots, sales = op.pending(i.ledger.lots, i.ledger.sales)
+    waiting = Ledger(**{**i.ledger.tables(), "lots": written(lots, "lots"), "sales": written(sales, "sales")})
+    done_lots = sq.empty_table(spark, new_path(spark, "done-lots"), LOT)
+    done_sales = sq.empty_table(spark, new_path(spark, "done-sales"), SALE)
+    early = F.col("date") <= F.lit(_date(END))
+    _streamed(
+        i,
+        [quotes.filter(~early), quotes.filter(early)],
+        lambda stream, checkpoint: sq.stream_backfill(stream, waiting, done_lots, done_sales, checkpoint),
+    )
+    return filled_rows(spark.read.schema(LOT).parquet(done_lots), spark.read.schema(SALE).parquet(done_sales))
+
+
+@query(
+    "stream_quote_ingest",
+    QUOTE,
+    f"""SELECT isin, date, nav + CASE WHEN date <= DATE '{END}' THEN 0 WHEN date <= DATE '2000-12-31' THEN 1 ELSE 2 END AS nav
+FROM quote""",
+)
+def _stream_ingest(i: Inputs) -> DataFrame:
+    quotes, store = i.ledger.quotes, new_path(i.spark, "store")
+    op.known_quotes(quotes, _date(END)).write.parquet(store)
+    later = [
+        quotes.filter(F.col("date") <= F.lit(_date("2000-12-31"))).withColumn("nav", F.col("nav") + 1),
+        quotes.withColumn("nav", F.col("nav") + 2),
+    ]
+    _streamed(i, later, lambda stream, checkpoint: sq.stream_quote_ingest(stream, store, checkpoint))
+    return i.spark.read.schema(QUOTE_TABLE).parquet(store)
+
+
+@query(
+    "stream_variation",
+    "isin date:d nav:n variation:n",
+    """SELECT isin, date, nav, round(CAST(nav AS DOUBLE) / CAST(previous AS DOUBLE) - 1, 4) * 100 AS variation
+FROM (SELECT *, lag(nav) OVER (PARTITION BY isin ORDER BY date) AS previous FROM quote) WHERE previous IS NOT NULL""",
+)
+def _stream_variation(i: Inputs) -> DataFrame:
+    quotes, output = i.ledger.quotes, new_path(i.spark, "variations")
+    early = F.col("date") <= F.lit(_date(END))
+    _streamed(
+        i,
+        [quotes.filter(early), quotes.filter(~early)],
+        lambda stream, checkpoint: sq.stream_variation(stream, output, checkpoint),
+    )
+    return i.spark.read.parquet(output)
