@@ -145,8 +145,8 @@ query("filter_funds", FUND, "SELECT * FROM fund_view WHERE active")(
 query(
     "filter_accounts",
     "account_id isin distributor",
-    "SELECT * FROM account WHERE account_id = '1-FX0000000002-B0'",
-)(lambda i: fl.filter_accounts(i.ledger.accounts, "1-FX0000000002-B0"))
+    "SELECT * FROM account WHERE account_id = '5-FX0000000001-B0'",
+)(lambda i: fl.filter_accounts(i.ledger.accounts, "5-FX0000000001-B0"))
 QUOTE = "isin date:d nav:n"
 query(
     "filter_quotes",
@@ -190,8 +190,8 @@ query("account_transfers", TRANSFER, "SELECT * FROM account_transfer")(lambda i:
 query(
     "filter_transfers",
     TRANSFER,
-    "SELECT * FROM account_transfer WHERE source = '1-FX0000000002-B0'",
-)(lambda i: fl.filter_transfers(i.account_transfers, source="1-FX0000000002-B0"))
+    "SELECT * FROM account_transfer WHERE source = '5-FX0000000001-B0'",
+)(lambda i: fl.filter_transfers(i.account_transfers, source="5-FX0000000001-B0"))
 query("distributor_switches", "lot_id:i buy_date:d isin", "SELECT * FROM switch")(
     lambda i: lt.distributor_switches(i.ledger.lots, i.ledger.sales, i.ledger.accounts)
 )

@@ -188,7 +188,7 @@ def between(start: str | None, end: str | None) -> str:
         cost = f"CAST({purchase}.cost AS DECIMAL(31, 9))"
         if not start:
             return cost
-        at_start = f"CAST({worth('o.shares', 'o.nav')} AS DECIMAL(31, 9))"
+        at_start = f"CAST({worth('o.shares', 'o.first_nav')} AS DECIMAL(31, 9))"
         return f"CASE WHEN {purchase}.trade_date < DATE '{start}' THEN {at_start} ELSE {cost} END"
 
     return f"""
@@ -196,16 +196,19 @@ held AS (
   SELECT terminal_lot, lot_id, account_id, isin, trade_date, shares, cost, {lo} AS lo, {hi} AS hi
   FROM lineage WHERE order_id = 0 AND end_date IS NOT NULL),
 progress AS (
-  SELECT h.*, q.date, q.nav, h.lot_id IN (SELECT lot_id FROM switch {switched}) AS switched
-  FROM held h JOIN quote q ON q.isin = h.isin AND q.date BETWEEN h.lo AND h.hi),
+  SELECT h.terminal_lot, h.lot_id, h.account_id, h.isin, h.trade_date, h.shares, h.cost,
+         min(q.date) AS first_date, arg_min(q.nav, q.date) AS first_nav,
+         max(q.date) AS date, arg_max(q.nav, q.date) AS nav
+  FROM held h JOIN quote q ON q.isin = h.isin AND q.date BETWEEN h.lo AND h.hi
+  GROUP BY h.terminal_lot, h.lot_id, h.account_id, h.isin, h.trade_date, h.shares, h.cost),
 opening AS (
   SELECT * FROM progress QUALIFY row_number() OVER (
-    PARTITION BY terminal_lot ORDER BY date, trade_date, lot_id) = 1),
+    PARTITION BY terminal_lot ORDER BY first_date, trade_date, lot_id) = 1),
 closing AS (
   SELECT * FROM progress QUALIFY row_number() OVER (
     PARTITION BY terminal_lot ORDER BY date DESC, trade_date DESC, lot_id DESC) = 1),
 bought AS (
-  SELECT * FROM progress WHERE NOT switched QUALIFY row_number() OVER (
+  SELECT * FROM progress WHERE lot_id NOT IN (SELECT lot_id FROM switch {switched}) QUALIFY row_number() OVER (
     PARTITION BY terminal_lot ORDER BY date DESC, trade_date DESC, lot_id DESC) = 1),
 chain_value AS (
   SELECT o.terminal_lot, c.account_id, c.date, c.nav, c.shares,
