@@ -9,6 +9,8 @@ it lies in, so the work is lots + orders, never lots x orders.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +45,28 @@ def lot_line(lots: DataFrame, tiered: bool) -> DataFrame:
     )
 
 
-def _with_visible(orders: DataFrame, lots: DataFrame) -> DataFrame:
+def _with_visible(orders: DataFrame, lots: DataFrame, tiered: bool) -> DataFrame:
     """Add how much the account's lots bought up to the order's date amount to."""
-    days = lots.groupBy("account_id", "trade_date").agg(F.sum("size").alias("size"))
-    asked = orders.select("account_id", "trade_date").distinct()
     until = (
         Window.partitionBy("account_id")
         .orderBy("trade_date")
         .rangeBetween(Window.unboundedPreceding, 0)
     )
-    visible = (
-        days.withColumn("_asked", F.lit(False))
-        .unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-        .withColumn("visible", F.coalesce(F.sum("size").over(until), F.lit(0)).cast(TOTAL_SHARES))
-        .filter("_asked")
+    visible = F.coalesce(F.sum("size").over(until), F.lit(0)).cast(TOTAL_SHARES).alias("visible")
+    supply = lots.select("account_id", "trade_date", "size")
+    if not tiered:
+        both = orders.unionByName(supply, allowMissingColumns=True)
+        return both.select(*orders.columns, visible).filter(F.col("order_id").isNotNull())
+    # A large account is reduced to its days first, so the window is bounded.
+    days = supply.groupBy("account_id", "trade_date").agg(F.sum("size").alias("size"))
+    asked = orders.select("account_id", "trade_date").distinct().withColumn("asked", F.lit(True))
+    found = (
+        days.unionByName(asked, allowMissingColumns=True)
+        .select("account_id", "trade_date", "asked", visible)
+        .filter("asked")
+        .drop("asked")
     )
-    return orders.join(visible.select("account_id", "trade_date", "visible"), ["account_id", "trade_date"])
+    return orders.join(found, ["account_id", "trade_date"])
 
 
 def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
@@ -98,33 +106,36 @@ def settle_orders(orders: DataFrame, lots: DataFrame, tiered: bool) -> tuple[Dat
     """Orders that can be served, as a line, and those that ask for too much.
 
     A refused order asks nothing of the lots, so the orders after it move up.
-    Each round fixes all orders before an account's first excess, and refuses
-    that order with all later ones that cannot fit whatever happens between.
+    Each round settles the accounts without excess. Of the others it fixes all
+    orders before the first excess, and refuses that order with all later ones
+    that cannot fit whatever happens between.
     """
-    kept = _with_visible(orders, lots)
-    refused = None
+    position = F.struct("trade_date", "order_id")
+    open_orders = _with_visible(orders, lots, tiered)
+    settled, refusals = [], []
     while True:
-        line = written(order_line(kept, tiered), "orders")
-        nothing = F.col("hi") <= F.col("lo")
-        excess = (F.col("hi") > F.col("visible")) | nothing
-        position = F.struct("trade_date", "order_id")
-        first = (
+        line = written(order_line(open_orders, tiered), "orders")
+        settled.append(line)
+        excess = (F.col("hi") > F.col("visible")) | (F.col("hi") <= F.col("lo"))
+        first = written(
             line.filter(excess)
             .groupBy("account_id")
-            .agg(F.min(position).alias("_first"), F.min_by("lo", position).alias("_fixed"))
+            .agg(F.min(position).alias("_first"), F.min_by("lo", position).alias("_fixed")),
+            "excess",
         )
-        judged = line.join(first, "account_id").filter(
+        unsettled = line.join(first, "account_id")
+        refused = unsettled.filter(
             (position == F.col("_first"))
             | ((position > F.col("_first")) & (F.col("_fixed") + F.col("amount") > F.col("visible")))
-        )
-        judged = judged.select("order_id", "account_id")
-        if judged.isEmpty():
+        ).select("order_id", "account_id")
+        refusals.append(refused)
+        if first.isEmpty():
             break
-        refused = judged if refused is None else refused.unionByName(judged)
-        kept = line.drop("lo", "hi").join(judged.select("order_id"), "order_id", "left_anti")
-    if refused is None:
-        refused = judged
-    return line, refused
+        settled[-1] = line.join(first.select("account_id"), "account_id", "left_anti")
+        open_orders = unsettled.select(*line.columns).drop("lo", "hi").join(
+            refused.select("order_id"), "order_id", "left_anti"
+        )
+    return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, refusals)
 
 
 def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame, tiered: bool) -> DataFrame:

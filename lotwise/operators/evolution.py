@@ -12,6 +12,7 @@ from lotwise.functions.numbers import value_of
 from lotwise.functions.returns import series_label
 from lotwise.operators.quotes import nearest_quotes
 from lotwise.schemas import VALUE
+from lotwise.session import written
 
 COLUMNS = [
     "period",
@@ -89,8 +90,11 @@ def evolution(
         sampled, value_of(F.col("shares"), F.col("sample_nav")).cast(VALUE)
     )
     first_date = F.when(bought, F.col("trade_date")).when(sampled, F.col("sample_date"))
-    hops = hops.join(opened, ["isin", "trade_date"], "left").withColumns(
-        {"bought": bought, "first_date": first_date, "first_value": first_value}
+    hops = written(
+        hops.join(opened, ["isin", "trade_date"], "left").withColumns(
+            {"bought": bought, "first_date": first_date, "first_value": first_value}
+        ),
+        "hops",
     )
     starts = hops.groupBy("terminal_lot", "order_id").agg(
         F.min_by(

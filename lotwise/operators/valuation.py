@@ -11,6 +11,7 @@ from lotwise.functions.numbers import growth, value_of
 from lotwise.operators.lots import distributor_switches, open_lots
 from lotwise.operators.quotes import last_quote, nearest_quotes
 from lotwise.schemas import TOTAL_MONEY, TOTAL_SHARES, VALUE
+from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
 PORTFOLIO = [
@@ -27,7 +28,12 @@ PORTFOLIO = [
 
 
 def _valued(positions: DataFrame) -> DataFrame:
-    """Add valuation, gain and the weight in the whole of all positions."""
+    """Add valuation, gain and the weight in the whole of all positions.
+
+    The positions are written first: they are few next to the lots behind them,
+    and the total would otherwise compute them a second time.
+    """
+    positions = written(positions, "positions")
     worth = value_of(F.col("shares"), F.col("nav"))
     total = positions.agg(F.sum(worth).cast("double")).scalar()
     return positions.withColumns(

@@ -10,6 +10,7 @@ from lotwise.operators.filters import filter_portfolio
 from lotwise.operators.lineage import gain_lines
 from lotwise.operators.quotes import fund_trend
 from lotwise.schemas import TOTAL_MONEY
+from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
 
@@ -62,6 +63,8 @@ def portfolio_report(positions: DataFrame, ledger: Ledger) -> DataFrame:
             (F.col("gain") * 100).alias("gain_percent"),
         )
     )
+    # Detail and total read the same written lines.
+    lines = written(lines, "report")
     sums = {name: F.sum(name).alias(name) for name in ("prior_gain", "capital", "gain")}
     total = lines.agg(*sums.values()).select(
         F.lit("TOTAL").alias("alias"),
@@ -92,7 +95,7 @@ def gain_report(
     gains: DataFrame, ledger: Ledger, redeemed: bool | None = None
 ) -> DataFrame:
     """Gain lines by account and investment date, followed by yearly totals."""
-    lines = gain_lines(gains, ledger.accounts, ledger.funds, redeemed)
+    lines = written(gain_lines(gains, ledger.accounts, ledger.funds, redeemed), "report")
     totals = yearly_totals(lines).withColumn("line", F.lit("TOTAL"))
     detail = lines.withColumn("line", F.concat_ws("/", "terminal_lot", "order_id"))
     columns = [
