@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.dates import expected_quote_date
 from lotwise.functions.numbers import growth, price
 from lotwise.functions.returns import percent_change, trend_sign
+from lotwise.session import written
 
 
 def last_quote(quotes: DataFrame, limit: dt.date | None = None) -> DataFrame:
@@ -162,7 +163,8 @@ def append_quotes(
         F.count("*").alias("_arrivals"),
     )
     stored = existing.select(*keys, F.lit(True).alias("_stored"))
-    judged = first.join(stored, keys, "left")
+    # Written, so that both results stay as judged when the store changes.
+    judged = written(first.join(stored, keys, "left"), "judged")
     accepted = judged.filter(F.col("_stored").isNull()).select(*keys, F.col("_first._nav").alias("nav"))
     refused = F.col("_arrivals") - F.when(F.col("_stored").isNull(), 1).otherwise(0)
     conflicts = judged.select(*keys, refused.alias("refused")).filter(F.col("refused") > 0)

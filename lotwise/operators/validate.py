@@ -17,6 +17,14 @@ def _broken(table: DataFrame, name: str, key: Column, condition: Column, reason:
     )
 
 
+def _rows(table: DataFrame, name: str, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break any of several rules, found in one pass over the table."""
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in rules.items()]))
+    return table.select(
+        F.lit(name).alias("table_name"), key.cast("string").alias("key"), F.explode(broken).alias("reason")
+    )
+
+
 def _repeated(table: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Key values used more than once; a NULL in a key never repeats."""
     known = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
@@ -58,11 +66,25 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         sales.select("lot_id").distinct(), "lot_id", "left_semi"
     )
     checks = [
-        _broken(lots, "lots", lot, F.col("initial_shares") <= 0, "shares not positive"),
-        _broken(lots, "lots", lot, F.col("initial_shares").isNull() & F.col("cost").isNull(), "neither shares nor cost"),
-        _broken(sales, "sales", sale, shares <= 0, "shares not positive"),
-        _broken(sales, "sales", sale, proceeds < 0, "proceeds negative"),
-        _broken(sales, "sales", sale, shares.isNull() & proceeds.isNull(), "neither shares nor proceeds"),
+        _rows(
+            lots,
+            "lots",
+            lot,
+            {
+                "shares not positive": F.col("initial_shares") <= 0,
+                "neither shares nor cost": F.col("initial_shares").isNull() & F.col("cost").isNull(),
+            },
+        ),
+        _rows(
+            sales,
+            "sales",
+            sale,
+            {
+                "shares not positive": shares <= 0,
+                "proceeds negative": proceeds < 0,
+                "neither shares nor proceeds": shares.isNull() & proceeds.isNull(),
+            },
+        ),
         _repeated(ledger.funds, "funds", ["isin"]),
         _repeated(ledger.fund_feeds, "fund_feeds", ["feed", "isin"]),
         _repeated(ledger.accounts, "accounts", ["account_id"]),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.quotes import append_quotes
 from lotwise.schemas import QUOTE
-from lotwise.session import written
 
 
 def store_quotes(path: str, incoming: DataFrame, arrival: list[str]) -> DataFrame:
@@ -18,8 +17,6 @@ def store_quotes(path: str, incoming: DataFrame, arrival: list[str]) -> DataFram
     """
     existing = incoming.sparkSession.read.schema(QUOTE).parquet(path)
     accepted, refused = append_quotes(existing, incoming, arrival)
-    # Both results are fixed before the table they were judged against changes.
-    accepted, refused = written(accepted, "accepted"), written(refused, "refused")
     accepted.write.mode("append").parquet(path)
     return refused
 
