@@ -255,12 +255,11 @@ def test_bucket_arithmetic_follows_the_steps(spark):
         ends = [one(spark, dates.bucket_end(F.lit(start), F.lit(k), period)) for k in range(6)]
         if period == dates.MONTHS:
             assert [str(e) for e in ends[:3]] == ["2020-01-31", "2020-02-29", "2020-03-31"]
-        for offset in range(0, 100):
-            date = start + dt.timedelta(days=offset)
-            expected = next(k for k in range(30) if k >= len(ends) or date <= ends[k])
-            if expected < len(ends):
-                found = spark.range(1).select(dates.bucket_number(F.lit(date), F.lit(start), period).alias("k")).first()["k"]
-                assert found == expected
+        days = spark.range(int((ends[-1] - start).days) + 1).select(
+            F.date_add(F.lit(start), F.col("id").cast("int")).alias("date")
+        )
+        for row in days.select("date", dates.bucket_number(F.col("date"), F.lit(start), period).alias("k")).collect():
+            assert row["k"] == next(k for k, closing in enumerate(ends) if row["date"] <= closing)
         end = dt.date(2020, 3, 31)
         steps = [start]
         while steps[-1] <= end:
