@@ -101,7 +101,7 @@ def _by_fund(quotes: DataFrame, row: Column) -> DataFrame:
 def csv_feed(quotes: DataFrame) -> str:
     folder = new_path(quotes.sparkSession, "csv")
     row = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" 00:00:00.0;"), F.regexp_replace(F.col("nav").cast("string"), r"\.", ","))
-    text = F.concat_ws("\n", F.lit("FECHA;VL"), F.array_join("rows", "\n"))
+    text = F.concat_ws("\n", F.lit("Date;Value"), F.array_join("rows", "\n"))
     _by_fund(quotes, row).select("isin", text.alias("value")).write.partitionBy("isin").text(folder)
     return folder
 

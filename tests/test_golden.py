@@ -99,8 +99,8 @@ def test_transfers(spark, bought):
 
 
 def test_feed_keys(spark):
-    funds = b.funds(spark, (ISIN, "Bond", None, "investing", True))
-    feeds = b.feeds(spark, ("investing", ISIN, "bond-data"))
+    funds = b.funds(spark, (ISIN, "Bond", None, "web", True))
+    feeds = b.feeds(spark, ("web", ISIN, "bond-data"))
 
     def update(feed, key, sets_key):
         return spark.createDataFrame([(ISIN, feed, key, sets_key)], "isin string, feed string, feed_key string, sets_key boolean")
@@ -109,16 +109,16 @@ def test_feed_keys(spark):
         return b.rows(lots.fund_view(*pair), "feed", "alias", "feed_key")
 
     cleared = stores.upsert_fund_feed(funds, feeds, update(None, None, True))
-    assert view(cleared) == [("investing", "Bond", ISIN)]
+    assert view(cleared) == [("web", "Bond", ISIN)]
     restored = stores.upsert_fund_feed(*cleared, update(None, "new-data", True))
-    assert view(restored) == [("investing", "Bond", "new-data")]
-    assert view(stores.upsert_fund_feed(*restored, update("vinea", None, False))) == [("vinea", "Bond", ISIN)]
+    assert view(restored) == [("web", "Bond", "new-data")]
+    assert view(stores.upsert_fund_feed(*restored, update("bank", None, False))) == [("bank", "Bond", ISIN)]
     keyed = T.StructType([*FUND.fields, T.StructField("feed_key", T.StringType())])
     added = spark.createDataFrame(
         [("N1", "New", None, None, "EUR", 2, "csv", True, "k1"), (ISIN, "Twice", None, None, "EUR", 2, "csv", True, "k2")], keyed
     )
     both = stores.insert_funds(funds, feeds, added)
-    assert view(both) == [("csv", "New", "k1"), ("investing", "Bond", "bond-data")]
+    assert view(both) == [("csv", "New", "k1"), ("web", "Bond", "bond-data")]
 
 
 @pytest.fixture
