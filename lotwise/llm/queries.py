@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import pieces, quality
+from lotwise.llm import decontaminate, near_dups, pieces, quality, toxicity
 from lotwise.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -21,8 +21,24 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted", "n_restored", "n_evidence")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.join(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_decontamination": op5_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
