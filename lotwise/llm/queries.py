@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from lotwise.llm import decontaminate, near_dups, pieces, quality, toxicity
+from pyspark.sql import functions as F
+
+from lotwise.llm import (
+    decontaminate,
+    licenses,
+    near_dups,
+    ordinal,
+    pieces,
+    preferences,
+    quality,
+    toxicity,
+    url_filter,
+    warc,
+)
 from lotwise.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -34,11 +46,124 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the URLs of pages in which at least one character in 50 is an asterisk, a mark of junk."""
+    pages = table(spark, sf_dir, "pages")
+    marks = F.length("html") - F.length(F.translate("html", "*", ""))
+    return url_filter.judge(pages, pages.filter(50 * marks > F.length("html")).select("url"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (good but toxic) and 2 (good)."""
+    labels = table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return ordinal.grade(table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")), 3)
+
+
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_pairs(*preferences.replaced_reply(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
+    "op7_url_filter": op7_url_filter,
+    "op8_warc": op8_warc,
+    "op9_quality_grades": op9_quality_grades,
+    "op10_preference_pairs": op10_preference_pairs,
+}
+
+_URL_SQL = """
+WITH cut AS (
+  SELECT page_id, html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, html,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(host, ':[0-9]*\\z', ''), '^(www|m)\\.', '') AS short,
+         regexp_replace(path, '(\\.html|/)\\z', '') AS tail
+  FROM parts
+), listed AS (
+  SELECT DISTINCT short || tail AS url FROM named
+  WHERE short <> '' AND 50 * (length(html) - length(replace(html, '*', ''))) > length(html)
+), rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+  SELECT n.page_id, n.host, n.path, n.short, n.tail, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS place
+  FROM named n LEFT JOIN rules r
+    ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+)
+SELECT f.page_id, f.host, f.path, f.rule,
+       coalesce(f.verdict, CASE WHEN l.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       l.url IS NOT NULL AS is_listed
+FROM fitting f LEFT JOIN listed l ON f.short <> '' AND l.url = f.short || f.tail
+WHERE f.place = 1
+"""
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4),
+           lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((('0x' || substr(hex, CAST(5 * k + 1 AS BIGINT), 5))::INTEGER >> CAST(15 - 5 * j AS INTEGER)) & 31), 1)), '')), '')
+         AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex) AS first
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+_PREFERENCE_SQL = """
+WITH last AS (
+  SELECT conv_id AS pair_id, max(turn) AS last, arg_max(text, turn) AS reply
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), known AS (
+  SELECT a.pair_id, a.last, b.reply AS other FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+), chosen AS (
+  SELECT k.pair_id, c.turn, c.role, c.text, k.last, k.other
+  FROM conversations c JOIN known k ON c.conv_id = k.pair_id WHERE c.turn <= k.last
+), both_sides AS (
+  SELECT *, turn < last OR text = other AS common FROM chosen
+), rows AS (
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM both_sides
+  UNION ALL
+  SELECT pair_id, 'rejected', turn, role, other FROM both_sides WHERE NOT common
+)
+SELECT pair_id, part, turn, role,
+       '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 END AS trained_from,
+       CASE WHEN part <> 'prompt' AND role = 'assistant'
+            THEN length('<|im_start|>' || role || text || '<|im_end|>') + 2 END AS trained_to
+FROM rows
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": _URL_SQL,
+    "op8_warc": _WARC_SQL,
+    "op10_preference_pairs": _PREFERENCE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
