@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,17 @@ ARROW_ROWS = "512"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session with the library's SQL options and small Arrow batches."""
+    """Session with the library's SQL options and small Arrow batches.
+
+    Python workers look for this package where the driver found it, if it isn't
+    installed for them.
+    """
     configure(spark)
+    workers = spark.sparkContext.environment
+    here = str(Path(__file__).parents[2])
+    paths = workers.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        workers["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), here])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
