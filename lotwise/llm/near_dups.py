@@ -4,7 +4,7 @@ Texts are sets of five-word shingles (all words together where there are fewer)
 are linked at a Jaccard similarity of 0.8 or more. The steps:
 
 1. Equal texts become one class; its member with the smallest doc_id represents it.
-2. A representative has one MinHash signature per tree. A tree is the sorted trie of
+2. A representative has one short MinHash signature per tree. A tree is the sorted trie of
    these signatures; texts below one node share a prefix of the node's depth.
 3. The join starts with the longest prefixes. Each round verifies all texts below
    the same node that no earlier round or tree has brought together, estimates the
@@ -38,11 +38,12 @@ from lotwise.llm.common import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 10
-DEPTH = 6  # MinHash values in a tree's signature, two bytes each
-TARGET = 0.995  # estimated share of all links that must be found
-AT_THRESHOLD = 0.98  # chance that a link just at the threshold must have
-BLOCK = 128  # texts of a node that one task compares with as many others
+TREES = 12
+DEPTH = 4  # MinHash values in a tree's signature, two bytes each
+TARGET = 0.999  # estimated share of all links that must be found
+AT_THRESHOLD = 0.998  # chance that a link just at the threshold must have
+BLOCK = 1024  # texts of a node that one task compares with as many others
+BLOCK_SHINGLES = 1 << 20  # shingles of such a block
 COLUMNS = 4096  # shingles per matrix product
 FILTER_BITS = 1 << 24  # of the fixed-size filter of candidate ids (2 MB)
 BINS = 20  # similarities of links, from the threshold to 1
@@ -114,19 +115,19 @@ def _each(texts: DataFrame, make, schema: str, wanted: np.ndarray | None = None)
                 edges = np.searchsorted(rows, np.arange(part.rows + 1))
                 some = np.diff(edges) > 0
                 chosen = batch.column("id").slice(part.first, part.rows).filter(pa.array(some))
-                yield pa.record_batch([chosen, make(windows, rows, edges, some)], [f.split()[0] for f in schema.split(", ")])
+                yield pa.record_batch([chosen, *make(windows, rows, edges, some)], [f.split()[0] for f in schema.split(", ")])
 
     one = texts.select("id", "text").mapInArrow(run, schema)
     return one.dropDuplicates(["id"])
 
 
-def _signature_column(windows, rows, edges, some) -> pa.Array:
+def _signature_columns(windows, rows, edges, some) -> list[pa.Array]:
     marks = signatures(windows, rows, len(some))[some]
-    return pa.array([m.tobytes() for m in marks], pa.binary())
+    return [pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(np.diff(edges)[some])]
 
 
-def _set_column(windows, rows, edges, some) -> pa.Array:
-    return pa.array([windows[a:b].tobytes() for a, b in zip(edges[:-1][some], edges[1:][some])], pa.binary())
+def _set_columns(windows, rows, edges, some) -> list[pa.Array]:
+    return [pa.array([windows[a:b].tobytes() for a, b in zip(edges[:-1][some], edges[1:][some])], pa.binary())]
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -140,7 +141,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 
 def _nodes(signed: DataFrame, depth: int) -> DataFrame:
-    """Members of the trie nodes of a depth that a round has to verify: tree, node, n, id.
+    """Members of the trie nodes of a depth that a round has to verify: tree, node, blocks, id.
 
     A node below which all texts went the same way, one level down, has nothing new.
     """
@@ -153,18 +154,21 @@ def _nodes(signed: DataFrame, depth: int) -> DataFrame:
         )
         for tree in range(TREES)
     ]
-    members = signed.select("id", F.explode(F.array(*at)).alias("at")).select("id", "at.*")
+    members = signed.select("id", "size", F.explode(F.array(*at)).alias("at")).select("id", "size", "at.*")
     mixed = F.xxhash64("id", F.lit(1))
     nodes = members.groupBy("tree", "node").agg(
         F.count("*").alias("n"),
+        F.sum("size").alias("size"),
         F.min("child").alias("low"),
         F.max("child").alias("high"),
         F.sum(F.shiftright(mixed, 24)).alias("sum"),
         F.bit_xor(mixed).alias("xor"),
     )
     nodes = nodes.filter("n > 1" if depth == DEPTH else "n > 1 AND low <> high")
-    same = nodes.groupBy("n", "sum", "xor").agg(F.min(F.struct("tree", "node")).alias("one"))
-    return written(members.drop("child").join(same.select("n", "one.*"), ["tree", "node"]), "lsh-nodes")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    blocks = F.least(blocks, "n").cast("int").alias("blocks")
+    same = nodes.groupBy("n", "sum", "xor").agg(F.min(F.struct("tree", "node", blocks)).alias("one"))
+    return written(members.drop("child", "size").join(same.select("one.*"), ["tree", "node"]), "lsh-nodes")
 
 
 VERIFIED = "id long, root long, n long, bins array<long>"
@@ -253,9 +257,8 @@ def _links(texts: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
     """One round: id, root, n, bins, written."""
     members = _nodes(signed, depth)
     candidates = written(members.select("id").distinct(), "lsh-candidates")
-    sets = _each(texts, _set_column, "id long, shingles binary", _filter(candidates)).join(candidates, "id")
-    full = written(sets.join(signed, "id"), "lsh-sets")
-    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sets = _each(texts, _set_columns, "id long, shingles binary", _filter(candidates)).join(candidates, "id")
+    full = written(sets.join(signed.drop("size"), "id"), "lsh-sets")
     members = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     # A block meets every other and itself; the lower number stands first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -306,7 +309,7 @@ def _classes(texts: DataFrame, target: float) -> DataFrame:
     """Every different text: id, least, class_id, n_links, n_copies, first (whether it stands for its class)."""
     classes = texts.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     classes = written(classes, "text-classes")
-    signed = written(_each(texts, _signature_column, "id long, signature binary"), "signatures")
+    signed = written(_each(texts, _signature_columns, "id long, signature binary, size long"), "signatures")
 
     links, bins = None, [0] * BINS
     for depth in range(DEPTH, 0, -1):
