@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, ratio, trunc5
-from lotwise.operators.running import id_block, needs_tiers, running
+from lotwise.operators.running import id_block, running
 from lotwise.schemas import SHARES, TOTAL_SHARES
 from lotwise.session import written
 
@@ -26,7 +26,7 @@ def _length(column: str):
     return F.col(column).cast(TOTAL_SHARES)
 
 
-def lot_line(lots: DataFrame, tiered: bool) -> DataFrame:
+def lot_line(lots: DataFrame) -> DataFrame:
     """Lots with the stretch [lo, hi) they cover; oldest investment first.
 
     ``lots`` has account_id, lot_id, invest_date, trade_date, size.
@@ -38,14 +38,13 @@ def lot_line(lots: DataFrame, tiered: bool) -> DataFrame:
         [["invest_date"], ["_block"]],
         ["lot_id"],
         {"hi": ("sum", "size")},
-        tiered=tiered,
     )
     return line.select(
         "account_id", "lot_id", (F.col("hi") - F.col("size")).cast(TOTAL_SHARES).alias("lo"), _length("hi").alias("hi")
     )
 
 
-def _with_visible(orders: DataFrame, lots: DataFrame, tiered: bool) -> DataFrame:
+def _with_visible(orders: DataFrame, lots: DataFrame) -> DataFrame:
     """Add how much the account's lots bought up to the order's date amount to."""
     until = (
         Window.partitionBy("account_id")
@@ -54,9 +53,6 @@ def _with_visible(orders: DataFrame, lots: DataFrame, tiered: bool) -> DataFrame
     )
     visible = F.coalesce(F.sum("size").over(until), F.lit(0)).cast(TOTAL_SHARES).alias("visible")
     supply = lots.select("account_id", "trade_date", "size")
-    if not tiered:
-        both = orders.unionByName(supply, allowMissingColumns=True)
-        return both.select(*orders.columns, visible).filter(F.col("order_id").isNotNull())
     # A large account is reduced to its days first, so the window is bounded.
     days = supply.groupBy("account_id", "trade_date").agg(F.sum("size").alias("size"))
     asked = orders.select("account_id", "trade_date").distinct().withColumn("asked", F.lit(True))
@@ -69,7 +65,7 @@ def _with_visible(orders: DataFrame, lots: DataFrame, tiered: bool) -> DataFrame
     return orders.join(found, ["account_id", "trade_date"])
 
 
-def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
+def order_line(orders: DataFrame) -> DataFrame:
     """Orders with the stretch [lo, hi) they ask for, in date and id order.
 
     ``orders`` has account_id, order_id, trade_date, amount, visible; a NULL
@@ -79,7 +75,7 @@ def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
     blocked = orders.withColumns(
         {"_block": id_block("order_id"), "_amount": F.coalesce("amount", F.lit(0)).cast(TOTAL_SHARES)}
     )
-    summed = running(blocked, ["account_id"], tiers, order, {"_total": ("sum", "_amount")}, tiered=tiered)
+    summed = running(blocked, ["account_id"], tiers, order, {"_total": ("sum", "_amount")})
     everything = F.struct("trade_date", "order_id", "visible", _length("_total").alias("total"))
     reset = running(
         summed.withColumn("_reset", F.when(F.col("amount").isNull(), everything)),
@@ -88,7 +84,6 @@ def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
         order,
         {"_last": ("max", "_reset")},
         inclusive=False,
-        tiered=tiered,
     )
     base = F.coalesce(F.col("_last.visible") - F.col("_last.total"), F.lit(0))
     lo = base + F.col("_total") - F.col("_amount")
@@ -102,7 +97,7 @@ def order_line(orders: DataFrame, tiered: bool) -> DataFrame:
     )
 
 
-def settle_orders(orders: DataFrame, lots: DataFrame, tiered: bool) -> tuple[DataFrame, DataFrame]:
+def settle_orders(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Orders that can be served, as a line, and those that ask for too much.
 
     A refused order asks nothing of the lots, so the orders after it move up.
@@ -111,10 +106,10 @@ def settle_orders(orders: DataFrame, lots: DataFrame, tiered: bool) -> tuple[Dat
     that cannot fit whatever happens between.
     """
     position = F.struct("trade_date", "order_id")
-    open_orders = _with_visible(orders, lots, tiered)
+    open_orders = _with_visible(orders, lots)
     settled, refusals = [], []
     while True:
-        line = written(order_line(open_orders, tiered), "orders")
+        line = written(order_line(open_orders), "orders")
         settled.append(line)
         excess = (F.col("hi") > F.col("visible")) | (F.col("hi") <= F.col("lo"))
         first = written(
@@ -138,7 +133,7 @@ def settle_orders(orders: DataFrame, lots: DataFrame, tiered: bool) -> tuple[Dat
     return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, refusals)
 
 
-def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame, tiered: bool) -> DataFrame:
+def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame) -> DataFrame:
     """Pieces of the line that lie in both an order and a lot.
 
     Starting points are sorted in tiers of the position's high bits, so one
@@ -164,7 +159,6 @@ def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame, tiered: bool)
         [["_far"], ["_near"]],
         ["at"],
         {"in_lot": ("max", "lot"), "in_order": ("max", "order")},
-        tiered=tiered,
     )
     at = (F.col("at") / F.lit(100000).cast("decimal(6,0)")).cast(TOTAL_SHARES)
     end = F.least("in_lot.hi", "in_order.hi")
@@ -186,8 +180,6 @@ def allocate(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     older = F.col("invest_date") < F.col("trade_date")
     lots = written(lots, "lots")
-    sized = lots.select("account_id").unionByName(orders.select("account_id"))
-    tiered = needs_tiers(sized, ["account_id"])
     pieces = refusals = None
     while True:
         first = orders.groupBy("account_id").agg(F.min("trade_date").alias("_first"))
@@ -204,9 +196,8 @@ def allocate(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
         line, refused = settle_orders(
             split.filter(~F.col("_waits")).select("account_id", "order_id", "trade_date", "amount"),
             reachable,
-            tiered,
         )
-        taken = written(overlaps(line, lot_line(reachable, tiered), tiered), "taken")
+        taken = written(overlaps(line, lot_line(reachable)), "taken")
         pieces = taken if pieces is None else pieces.unionByName(taken)
         refusals = refused if refusals is None else refusals.unionByName(refused)
         orders = split.filter("_waits").select("account_id", "order_id", "trade_date", "amount")

@@ -1,10 +1,9 @@
 """Running totals that hold when one key owns a large part of all rows.
 
-A plain window sorts a whole key in one task. That is the best plan while the
-largest key, which is measured, has up to a million rows. Beyond that every key
-is cut into tiers (say, account -> day -> block of ids): tier totals are
+Every key is cut into tiers (say, account -> day -> block of ids): tier totals are
 pre-aggregated map-side, windows run over the few totals of each tier, and the
-row-level window only sees one lowest-tier group. Both give the same result.
+row-level window only sees one lowest-tier group. NULL is a tier of its own and
+comes first.
 """
 
 from __future__ import annotations
@@ -16,14 +15,13 @@ from pyspark.sql import functions as F
 
 # Ids are grouped by 2**20, so a group of unique ids has at most a million rows.
 ID_BLOCK_BITS = 20
-# Largest key that a plain window may hold in one task.
-PLAIN_WINDOW_ROWS = 2**ID_BLOCK_BITS
 
 
-def needs_tiers(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some key has too many rows for a plain window."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > PLAIN_WINDOW_ROWS
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which NULLs are equal."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, "left").drop(*[f"_right_{k}" for k in keys])
 
 
 def id_block(column: str) -> Column:
@@ -48,26 +46,13 @@ def running(
     order: list[str],
     totals: dict[str, tuple[str, str]],
     inclusive: bool = True,
-    tiered: bool | None = None,
 ) -> DataFrame:
     """Add running totals per ``keys``, with or without the row itself.
 
     Rows are ordered by the tier columns, then by ``order``. ``totals`` maps a
-    new column to ``("sum" | "max", source column)``. ``tiered`` saves measuring
-    the largest key where the caller has done so.
+    new column to ``("sum" | "max", source column)``.
     """
     last = 0 if inclusive else -1
-    if not (needs_tiers(df, keys) if tiered is None else tiered):
-        whole = (
-            Window.partitionBy(*keys)
-            .orderBy(*[c for tier in tiers for c in tier], *order)
-            .rowsBetween(Window.unboundedPreceding, last)
-        )
-        plain = {name: _aggregate(how, F.col(source)).over(whole) for name, (how, source) in totals.items()}
-        return df.select(
-            *df.columns,
-            *[_combined(totals[name][0], [column]).alias(name) for name, column in plain.items()],
-        )
     groups = [keys + [c for tier in tiers[: i + 1] for c in tier] for i in range(len(tiers))]
     level = df.groupBy(*groups[-1]).agg(
         *[_aggregate(how, F.col(source)).alias(name) for name, (how, source) in totals.items()]
@@ -93,7 +78,7 @@ def running(
                 for name, (how, _) in totals.items()
             ],
         )
-        carried = level if carried is None else level.join(carried, groups[i - 1], "left")
+        carried = level if carried is None else _join(level, carried, groups[i - 1])
 
     inside = (
         Window.partitionBy(*groups[-1])
@@ -102,7 +87,8 @@ def running(
     )
     rows = df.withColumns(
         {f"_{name}": _aggregate(how, F.col(source)).over(inside) for name, (how, source) in totals.items()}
-    ).join(carried, groups[-1], "left")
+    )
+    rows = _join(rows, carried, groups[-1])
     result = {
         name: _combined(how, [F.col(f"_{name}")] + [F.col(f"_{name}_{i}") for i in range(len(tiers))])
         for name, (how, _) in totals.items()
@@ -116,11 +102,10 @@ def row_numbers(
     tiers: list[list[str]],
     order: list[str],
     name: str,
-    tiered: bool | None = None,
 ) -> DataFrame:
     """Number rows 1, 2, … per ``keys``, without holding a large key in one task."""
     counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return running(counted, keys, tiers, order, {name: ("sum", "_one")}, tiered=tiered).drop("_one")
+    return running(counted, keys, tiers, order, {name: ("sum", "_one")}).drop("_one")
 
 
 def with_neighbours(

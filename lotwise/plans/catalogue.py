@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from lotwise.operators import lots as lt
 from lotwise.operators import quotes as qt
 from lotwise.operators import resolve as rs
 from lotwise.operators import valuation as vl
-from lotwise.operators.replay import replay_ledger
+from lotwise.operators.replay import Replayed, next_id, replay_ledger
 from lotwise.operators.validate import validate_ledger, validate_orders
 from lotwise.plans import operations as op
 from lotwise.plans import oracle, reports
@@ -590,26 +590,47 @@ query("fifo_allocate_lots", ALLOCATED, ALLOCATED_SQL, _allocation_stages(by_shar
 )
 
 
-@query("replay_ledger", "kind id:i parent:i date:d shares:n amount:n reason")
-def _replay(i: Inputs) -> DataFrame:
-    ledger = i.ledger
-    lots, orders, sales, refused = replay_ledger(
-        op.operation_log(ledger.lots, i.account_transfers), ledger.accounts, ledger.quotes
-    )
-    listed = [
-        lots.select(F.lit("lot").alias("kind"), F.col("lot_id").alias("id"), F.col("origin_sale_id").alias("parent"),
-                    F.col("trade_date").alias("date"), F.col("initial_shares").alias("shares"), F.col("cost").alias("amount")),
-        orders.select(F.lit("order").alias("kind"), F.col("order_id").alias("id"), F.col("trade_date").alias("date")),
-        sales.select(F.lit("sale").alias("kind"), F.col("sale_id").alias("id"), F.col("lot_id").alias("parent"),
-                     "shares", F.col("proceeds").alias("amount")),
-        refused.select(F.lit("refused").alias("kind"), F.col("op_id").alias("id"), "reason"),
+REPLAYED = "kind id:i parent:i date:d shares:n amount:n reason"
+
+
+def _listed(done: Replayed) -> DataFrame:
+    """All results of a replay as one list."""
+    parts = [
+        done.lots.select(F.lit("lot").alias("kind"), F.col("lot_id").alias("id"), F.col("origin_sale_id").alias("parent"),
+                         F.col("trade_date").alias("date"), F.col("initial_shares").alias("shares"), F.col("cost").alias("amount")),
+        done.orders.select(F.lit("order").alias("kind"), F.col("order_id").alias("id"), F.col("trade_date").alias("date")),
+        done.sales.select(F.lit("sale").alias("kind"), F.col("sale_id").alias("id"), F.col("lot_id").alias("parent"),
+                          "shares", F.col("proceeds").alias("amount")),
+        done.refused.select(F.lit("refused").alias("kind"), F.col("op_id").alias("id"), "reason"),
     ]
-    result = listed[0].withColumn("reason", F.lit(None).cast("string"))
-    for table in listed[1:]:
+    result = parts[0].withColumn("reason", F.lit(None).cast("string"))
+    for table in parts[1:]:
         result = result.unionByName(table, allowMissingColumns=True)
     return result
 
 
+@query("replay_ledger", REPLAYED)
+def _replay(i: Inputs) -> DataFrame:
+    log = op.operation_log(i.ledger.lots, i.account_transfers)
+    return _listed(replay_ledger(log, i.ledger.accounts, i.ledger.quotes))
+
+
+@query("replay_increment", REPLAYED)
+def _replay_increment(i: Inputs) -> DataFrame:
+    """The log up to a day, then the rest on top of what it led to: the same rows as in one go."""
+    log = written(op.operation_log(i.ledger.lots, i.account_transfers), "log")
+    early = F.col("trade_date") <= F.lit(_date(END))
+    first_id = (log.agg(F.max("op_id")).first()[0] or 0) + 1
+    before = replay_ledger(log.filter(early), i.ledger.accounts, i.ledger.quotes, first_id=first_id)
+    stored = Ledger(
+        **{**i.ledger.tables(), "lots": written(before.lots, "lots"), "orders": before.orders, "sales": written(before.sales, "sales")}
+    )
+    after = replay_ledger(
+        log.filter(~early), i.ledger.accounts, i.ledger.quotes, stored, next_id(stored, first_id)
+    )
+    return _listed(replace(before, lots=stored.lots, sales=stored.sales)).unionByName(_listed(after))
+
+
 BROKEN = """
 blot0 AS (
   SELECT lot_id, CASE WHEN lot_id % 109 = 0 THEN 'nobody' ELSE account_id END AS account_id, invest_date,

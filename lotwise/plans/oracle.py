@@ -48,7 +48,7 @@ numbered AS (
            l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) AS seq
   FROM lineitem),
 line AS (
-  SELECT l_orderkey, seq, l_orderkey * 1000 + seq AS lot_id,
+  SELECT l_orderkey, seq, l_orderkey * 10000000 + seq AS lot_id,
          'FX' || lpad(CAST(l_suppkey % 10 AS VARCHAR), 10, '0') AS isin,
          CASE WHEN l_suppkey % 20 >= 10 THEN 'B1' ELSE 'B0' END AS distributor,
          o_custkey || '-FX' || lpad(CAST(l_suppkey % 10 AS VARCHAR), 10, '0') || '-'

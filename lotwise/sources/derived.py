@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, price
-from lotwise.operators.running import id_block, needs_tiers, row_numbers, running, with_neighbours
+from lotwise.operators.running import id_block, row_numbers, running, with_neighbours
 from lotwise.schemas import MONEY, NAV, SHARES
 from lotwise.session import new_path, written
 from lotwise.sources.tables import Ledger, read_ledger, write_ledger
@@ -27,6 +27,9 @@ LINE_ORDER = [
     "l_linestatus",
 ]
 
+# Lot ids hold the order and the line's number; a longer order stops the job.
+LINES_PER_ORDER = 10_000_000
+
 _stored: dict[tuple[str, str], Ledger] = {}
 
 
@@ -34,22 +37,24 @@ def _isin(number):
     return F.concat(F.lit("FX"), F.lpad((number % 10).cast("string"), 10, "0"))
 
 
-def numbered_lines(lineitem: DataFrame, sf_dir: str, tiered: bool) -> DataFrame:
+def numbered_lines(lineitem: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with owner, fund, price and their number within the order."""
     spark = lineitem.sparkSession
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
     seq = row_numbers(
-        lineitem, ["l_orderkey"], [["l_shipdate", "l_linenumber"]], LINE_ORDER[2:], "seq", tiered
+        lineitem, ["l_orderkey"], [["l_shipdate", "l_linenumber"]], LINE_ORDER[2:], "seq"
     )
     distributor = F.when(F.col("l_suppkey") % 20 >= 10, "B1").otherwise("B0")
+    too_long = F.raise_error("an order has more lines than lot ids have room for").cast("long")
+    checked = F.when(F.col("seq") < LINES_PER_ORDER, F.col("seq")).otherwise(too_long)
     return (
         seq.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "l_orderkey",
             "seq",
-            (F.col("l_orderkey") * 1000 + F.col("seq")).alias("lot_id"),
+            (F.col("l_orderkey") * LINES_PER_ORDER + checked).alias("lot_id"),
             F.concat_ws("-", F.col("o_custkey"), _isin(F.col("l_suppkey")), distributor).alias("account_id"),
             _isin(F.col("l_suppkey")).alias("isin"),
             distributor.alias("distributor"),
@@ -63,7 +68,7 @@ def numbered_lines(lineitem: DataFrame, sf_dir: str, tiered: bool) -> DataFrame:
     )
 
 
-def chained_lines(lines: DataFrame, tiered: bool) -> DataFrame:
+def chained_lines(lines: DataFrame) -> DataFrame:
     """Add the neighbours of each line and the first date of its chain."""
     linked = with_neighbours(
         lines,
@@ -82,7 +87,7 @@ def chained_lines(lines: DataFrame, tiered: bool) -> DataFrame:
         }
     )
     return running(
-        started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")}, tiered=tiered
+        started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")}
     ).drop("_start", "_block")
 
 
@@ -109,8 +114,7 @@ def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     """All ledger tables of the given folder, computed by Spark."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
-    tiered = needs_tiers(lineitem, ["l_orderkey"])
-    lines = written(chained_lines(numbered_lines(lineitem, sf_dir, tiered), tiered), "lines")
+    lines = written(chained_lines(numbered_lines(lineitem, sf_dir)), "lines")
     col = F.col
 
     sold = lines.filter(col("flag").isin("A", "R"))

@@ -11,33 +11,29 @@ from lotwise.operators import running as rn
 @pytest.fixture
 def skewed(spark):
     rng = random.Random(3)
-    data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.randrange(6), i, rng.randrange(-9, 99)) for i in range(600)]
+    data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.choice([None, *range(5)]), i, rng.randrange(-9, 99)) for i in range(600)]
     return spark.createDataFrame(data, "key string, day int, id long, value long")
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_tiers_change_nothing(skewed, inclusive, monkeypatch):
+def test_totals_equal_a_plain_loop(skewed, inclusive, monkeypatch):
     monkeypatch.setattr(rn, "ID_BLOCK_BITS", 4)
     blocked = skewed.withColumn("block", rn.id_block("id"))
     totals = {"total": ("sum", "value"), "top": ("max", "value")}
-
-    def result(tiered):
-        return rows(rn.running(blocked, ["key"], [["day"], ["block"]], ["id"], totals, inclusive, tiered))
-
-    assert result(True) == result(False)
+    found = rows(rn.running(blocked, ["key"], [["day"], ["block"]], ["id"], totals, inclusive))
+    expected, seen = [], {}
+    for key, day, i, value, block in sorted(blocked.collect(), key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2])):
+        before = seen.setdefault(key, [])
+        known = [*before, value] if inclusive else list(before)
+        expected.append((key, day, i, value, block, sum(known), max(known, default=None)))
+        before.append(value)
+    assert found == rows(skewed.sparkSession.createDataFrame(expected, "key string, day int, id long, value long, block long, total long, top long"))
 
 
 def test_dense_numbers_over_the_whole_table(skewed):
-    for tiered in (True, False):
-        numbered = rn.row_numbers(skewed, [], [["day"]], ["id"], "n", tiered)
-        found = [r["n"] for r in numbered.orderBy("day", "id").collect()]
-        assert found == list(range(1, 601))
-
-
-def test_size_is_measured(skewed, monkeypatch):
-    assert not rn.needs_tiers(skewed, ["key"])
-    monkeypatch.setattr(rn, "PLAIN_WINDOW_ROWS", 100)
-    assert rn.needs_tiers(skewed, ["key"])
+    numbered = rn.row_numbers(skewed, [], [["day"]], ["id"], "n")
+    found = [r["n"] for r in numbered.orderBy("day", "id").collect()]
+    assert found == list(range(1, 601))
 
 
 def test_neighbours_across_block_edges(spark, monkeypatch):
