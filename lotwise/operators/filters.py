@@ -61,7 +61,7 @@ def filter_lots(
     new_money: bool | None = None,
 ) -> DataFrame:
     """Lots by account, holding state and origin of the money; an id overrides all."""
-    if lot_id:
+    if lot_id is not None:
         return _where(open_lots, _equals("lot_id", lot_id))
     origin = F.col("origin_sale_id")
     funded = {None: None, True: origin.isNull(), False: origin.isNotNull()}[new_money]
@@ -77,7 +77,7 @@ def filter_sales(
     redeemed: bool | None = None,
 ) -> DataFrame:
     """Account sales; ``redeemed`` keeps those whose money was not reinvested."""
-    if order_id:
+    if order_id is not None:
         return _where(account_sales, _equals("order_id", order_id))
     found = _where(account_sales, _equals("account_id", account_id))
     if redeemed is None:
@@ -95,7 +95,7 @@ def filter_transfers(
     source: str | None = None,
     destination: str | None = None,
 ) -> DataFrame:
-    if order_id:
+    if order_id is not None:
         return _where(account_transfers, _equals("order_id", order_id))
     return _where(
         account_transfers, _equals("source", source), _equals("destination", destination)
@@ -139,7 +139,7 @@ def filter_gains(
     account_id: str | None = None,
 ) -> DataFrame:
     """Gains by order and account; the original lot overrides both."""
-    if origin_lot:
+    if origin_lot is not None:
         return _where(gains, _equals("origin_lot", origin_lot))
     return _where(gains, _equals("order_id", order_id), _equals("account_id", account_id))
 

@@ -33,7 +33,8 @@ from lotwise.sources.tables import Ledger, scan_tables
 from lotwise.streaming import quotes as sq
 
 START, END = "1997-01-01", "1999-12-31"
-YEAR_START, YEAR_END = "1998-01-01", "1998-12-31"
+# The last day with prices for operations that come after END.
+PRICED = "2000-12-31"
 AS_OF = dt.datetime(2001, 10, 21, 23, 0)
 
 _stored_lineage: dict[tuple[str, str], DataFrame] = {}
@@ -77,17 +78,9 @@ class Inputs:
     def between(self, start: str | None, end: str | None) -> DataFrame:
         return vl.portfolio_between(self.lineage, self.ledger, _date(start), _date(end))
 
-    @cached_property
-    def evolution(self) -> DataFrame:
-        return ev.evolution(
-            self.lineage,
-            self.ledger.lots,
-            self.ledger.quotes,
-            "months",
-            AS_OF.date(),
-            _date(YEAR_START),
-            _date(YEAR_END),
-        )
+    def evolution(self, period: str) -> DataFrame:
+        """All chains from the first purchase to the day of the report."""
+        return ev.evolution(self.lineage, self.ledger.lots, self.ledger.quotes, period, AS_OF.date())
 
 
 @dataclass(frozen=True)
@@ -306,7 +299,7 @@ query(
     " gain_percent:n annual_percent:n",
     """SELECT terminal_lot || '/' || order_id AS line, NULL AS year, alias, distributor, account_id, capital,
        invest_date, end_date, shares, proceeds, gain, (CAST(gain AS DOUBLE) / CAST(capital AS DOUBLE)) * 100 AS gain_percent,
-       CASE WHEN annual < 1e37 THEN CAST(annual AS FLOAT) END AS annual_percent
+       CAST(printf('%.8e', annual) AS DOUBLE) AS annual_percent
 FROM (SELECT *, CASE WHEN gain = 0 THEN 0 WHEN end_date = invest_date THEN NULL
       ELSE (pow(1 + CAST(gain AS DOUBLE) / CAST(capital AS DOUBLE), 365.0 / (end_date - invest_date)) - 1) * 100 END AS annual
       FROM gains) JOIN account a USING (account_id) JOIN fund_view f ON f.isin = a.isin WHERE order_id <> 0
@@ -315,10 +308,10 @@ SELECT 'TOTAL', year(end_date), NULL, NULL, NULL, sum(capital), NULL, NULL, NULL
        (CAST(sum(gain) AS DOUBLE) / CAST(sum(capital) AS DOUBLE)) * 100, NULL
 FROM gains WHERE order_id <> 0 AND end_date IS NOT NULL GROUP BY year(end_date)""",
 )(
-    # Power functions differ in the last bits, so yearly rates compare as floats.
+    # Power functions differ in the last bits, so yearly rates keep nine digits.
     lambda i: reports.gain_report(i.gains, i.ledger, redeemed=True).withColumn(
         "annual_percent",
-        F.when(F.col("annual_percent") < 1e37, F.col("annual_percent").cast("float")),
+        F.when(F.col("annual_percent").isNotNull(), F.format_string("%.8e", "annual_percent").cast("double")),
     )
 )
 query(
@@ -365,21 +358,22 @@ FROM portfolio_between WHERE shares > 0""",
 EVOLUTION = (
     "period terminal_lot:i order_id:i lot_id:i cost:n trade_date:d end_date:d shares:n isin date:d value:n"
 )
-EVOLUTION_VIEWS = oracle.monthly_evolution(YEAR_START, YEAR_END)
-query("evolution", EVOLUTION, "SELECT * FROM evolution", EVOLUTION_VIEWS)(lambda i: i.evolution)
+EVOLUTION_VIEWS = oracle.evolution("months")
+query("evolution", EVOLUTION, "SELECT * FROM evolution", EVOLUTION_VIEWS)(lambda i: i.evolution("months"))
+query("evolution_weeks", EVOLUTION, "SELECT * FROM evolution", oracle.evolution("weeks"))(lambda i: i.evolution("weeks"))
 query(
     "filter_evolution",
     EVOLUTION,
-    "SELECT * FROM evolution WHERE terminal_lot IS NULL",
+    "SELECT * FROM evolution WHERE terminal_lot IS NULL OR terminal_lot IN (SELECT max(terminal_lot) FROM evolution)",
     EVOLUTION_VIEWS,
-)(lambda i: fl.filter_evolution(i.evolution, axis=True, terminal_lot=False))
+)(lambda i: _filtered_evolution(i))
 query(
     "return_series",
     "series date:d return:n",
     """SELECT terminal_lot || '/' || order_id AS series, date, CAST(value AS DOUBLE) / CAST(cost AS DOUBLE) - 1 AS return
 FROM evolution WHERE terminal_lot IS NOT NULL""",
     EVOLUTION_VIEWS,
-)(lambda i: ev.return_series(i.evolution))
+)(lambda i: ev.return_series(i.evolution("months")))
 query(
     "axis_ticks",
     "tick:d label",
@@ -392,7 +386,15 @@ FROM (
   FROM (SELECT min(date) AS low, max(date) AS high, year(max(date)) - year(min(date)) <= 2 AS monthly
         FROM evolution WHERE terminal_lot IS NOT NULL))""",
     EVOLUTION_VIEWS,
-)(lambda i: ev.axis_ticks(i.evolution))
+)(lambda i: ev.axis_ticks(i.evolution("months")))
+
+
+def _filtered_evolution(i: Inputs) -> DataFrame:
+    """The series of the newest chain, with the axis."""
+    evolution = i.evolution("months")
+    newest = evolution.agg(F.max("terminal_lot")).first()[0]
+    return fl.filter_evolution(evolution, axis=True, terminal_lot=newest)
+
 
 # --- operations ---------------------------------------------------------------
 
@@ -418,15 +420,28 @@ LEFT JOIN sale s ON s.sale_id = o.origin_sale_id LEFT JOIN lot p ON p.lot_id = s
 
 RESOLVED_SALES = f"""
 gap_lot AS (
-  SELECT lot_id, account_id, invest_date, CASE WHEN lot_id % 7 <> 0 THEN initial_shares END AS left_shares FROM lot),
+  SELECT lot_id, account_id, CASE WHEN lot_id % 7 <> 0 THEN initial_shares END
+    - coalesce((SELECT sum(v.shares) FROM sale_view v WHERE v.lot_id = lot.lot_id AND v.trade_date <= DATE '{END}'), 0) AS left_shares
+  FROM lot),
+sale_op AS (
+  SELECT sale_id * 4 AS sale_id, order_id, lot_id, trade_date, CASE WHEN sale_id % 3 <> 0 THEN shares END AS shares,
+         CASE WHEN sale_id % 3 = 2 THEN proceeds END AS proceeds FROM sale_view WHERE trade_date > DATE '{END}'
+  UNION ALL SELECT sale_id * 4 + 1, order_id, lot_id, trade_date, NULL, NULL FROM sale_view WHERE trade_date > DATE '{END}'
+  UNION ALL SELECT sale_id * 4 + 2, order_id, lot_id, DATE '{END}' + 1, NULL, NULL FROM sale_view WHERE trade_date <= DATE '{END}'),
+sale_line AS (
+  SELECT o.*, g.account_id, g.left_shares,
+         CASE WHEN count(*) FILTER (shares IS NULL) OVER w = 0
+           THEN greatest(left_shares - coalesce(sum(shares) OVER w, 0), 0) ELSE 0 END AS rest
+  FROM sale_op o JOIN gap_lot g USING (lot_id)
+  WINDOW w AS (PARTITION BY lot_id ORDER BY trade_date, sale_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 resolved AS (
-  SELECT s.sale_id, s.order_id, s.lot_id, g.account_id, a.isin, s.trade_date, g.invest_date,
-         coalesce(CASE WHEN sale_id % 3 <> 0 THEN s.shares END, g.left_shares) AS shares,
-         coalesce(CASE WHEN sale_id % 3 = 2 THEN s.proceeds END,
-           {oracle.money(oracle.worth("coalesce(CASE WHEN sale_id % 3 <> 0 THEN s.shares END, g.left_shares)", "q.nav"))}) AS proceeds,
-         CASE WHEN g.left_shares IS NULL THEN 'lot shares unknown' END AS reason
-  FROM sale_view s JOIN gap_lot g USING (lot_id) JOIN account a ON a.account_id = g.account_id
-  LEFT JOIN quote q ON q.isin = a.isin AND q.date = s.trade_date)"""
+  SELECT sale_id, order_id, lot_id, account_id, isin, trade_date, sold AS shares,
+         coalesce(proceeds, {oracle.money(oracle.worth("sold", "nav"))}) AS proceeds,
+         CASE WHEN left_shares IS NULL THEN 'lot shares unknown' WHEN shares IS NULL AND sold = 0 THEN 'nothing left' END AS reason
+  FROM (SELECT s.*, a.isin, q.nav,
+               coalesce(s.shares, CASE WHEN left_shares IS NOT NULL THEN CAST(rest AS DECIMAL(18, 5)) END) AS sold
+        FROM sale_line s JOIN account a ON a.account_id = s.account_id
+        LEFT JOIN quote q ON q.isin = a.isin AND q.date = s.trade_date))"""
 query(
     "resolve_sales",
     "sale_id:i order_id:i lot_id:i account_id isin trade_date:d shares:n proceeds:n reason",
@@ -434,8 +449,10 @@ query(
     RESOLVED_SALES,
 )(
     lambda i: rs.resolve_sales(
-        op.sale_ops(i.ledger.sales, i.ledger.orders),
-        lt.open_lots(op.lots_with_gaps(i.ledger.lots), i.ledger.sales.limit(0)),
+        op.sale_ops(i.ledger.sales, i.ledger.orders, _date(END)),
+        lt.open_lots(
+            op.lots_with_gaps(i.ledger.lots), op.sales_until(i.ledger.sales, i.ledger.orders, _date(END))
+        ),
         i.ledger.accounts,
         i.ledger.quotes,
     )
@@ -451,31 +468,36 @@ query(
        CASE WHEN takes THEN coalesce(bought, {oracle.shares_for("proceeds", "buy_nav")}) END AS initial_shares,
        CASE WHEN takes THEN coalesce(proceeds, {oracle.money(oracle.worth("bought", "buy_nav"))}) END AS cost
 FROM (SELECT *, destination IS NOT NULL AND reason IS NULL AS takes FROM (
-  SELECT *, CASE WHEN destination IS NULL THEN NULL WHEN buy_date < sell_date THEN 'bought before sold'
+  SELECT *, CASE WHEN asked IS NULL AND shares = 0 THEN 'nothing left' WHEN destination IS NULL THEN NULL
+                 WHEN buy_date < sell_date THEN 'bought before sold'
                  WHEN bought IS NULL AND proceeds IS NULL THEN 'no price for the sale' END AS reason FROM (
     SELECT t.*, q2.nav AS buy_nav, l.invest_date,
-           coalesce(t.bought_shares, CASE WHEN NOT money_given AND buy_date = sell_date AND a2.isin = a1.isin THEN shares END) AS bought
-    FROM (SELECT v.sale_id, v.lot_id, v.sell_date, v.destination, sale_id % 4 = 0 AS money_given,
-                 coalesce(CASE WHEN sale_id % 2 = 0 THEN v.sold_shares END, g.initial_shares) AS shares,
-                 coalesce(CASE WHEN sale_id % 4 = 0 THEN v.proceeds END,
-                   {oracle.money(oracle.worth("coalesce(CASE WHEN sale_id % 2 = 0 THEN v.sold_shares END, g.initial_shares)", "q.nav"))}) AS proceeds,
-                 coalesce(CASE WHEN sale_id % 11 = 0 THEN v.buy_date - 1 WHEN sale_id % 3 = 0 THEN v.buy_date END, v.sell_date) AS buy_date,
-                 CASE WHEN sale_id % 5 = 0 THEN v.bought_shares END AS bought_shares
-          FROM transfer_view v JOIN lot g USING (lot_id) JOIN account a ON a.account_id = g.account_id
-          LEFT JOIN quote q ON q.isin = a.isin AND q.date = v.sell_date AND q.date <= DATE '{END}') t
+           coalesce(t.given_proceeds, {oracle.money(oracle.worth("t.shares", "q1.nav"))}) AS proceeds,
+           coalesce(t.bought_shares, CASE WHEN t.given_proceeds IS NULL AND buy_date = sell_date AND a2.isin = a1.isin THEN shares END) AS bought
+    FROM (SELECT o.*, coalesce(asked, CAST(CASE WHEN count(*) FILTER (asked IS NULL) OVER w = 0
+                        THEN greatest(initial_shares - coalesce(sum(asked) OVER w, 0), 0) ELSE 0 END AS DECIMAL(18, 5))) AS shares
+          FROM (SELECT sale_id * 2 AS sale_id, lot_id, sell_date, destination, CASE WHEN sale_id % 2 = 0 THEN sold_shares END AS asked,
+                       CASE WHEN sale_id % 4 = 0 THEN proceeds END AS given_proceeds,
+                       coalesce(CASE WHEN sale_id % 11 = 0 THEN buy_date - 1 WHEN sale_id % 3 = 0 THEN buy_date END, sell_date) AS buy_date,
+                       CASE WHEN sale_id % 5 = 0 THEN bought_shares END AS bought_shares
+                FROM transfer_view WHERE sell_date > DATE '{END}'
+                UNION ALL SELECT sale_id * 2 + 1, lot_id, sell_date, destination, NULL, NULL, sell_date, NULL
+                FROM transfer_view WHERE sell_date > DATE '{END}' AND sale_id % 7 = 0) o JOIN lot USING (lot_id)
+          WINDOW w AS (PARTITION BY lot_id ORDER BY sell_date, sale_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) t
     JOIN lot l USING (lot_id) JOIN account a1 ON a1.account_id = l.account_id
     LEFT JOIN account a2 ON a2.account_id = t.destination
-    LEFT JOIN quote q2 ON q2.isin = a2.isin AND q2.date = t.buy_date AND q2.date <= DATE '{END}')))""",
+    LEFT JOIN quote q1 ON q1.isin = a1.isin AND q1.date = t.sell_date AND q1.date <= DATE '{PRICED}'
+    LEFT JOIN quote q2 ON q2.isin = a2.isin AND q2.date = t.buy_date AND q2.date <= DATE '{PRICED}')))""",
 )
 def _resolve_transfers(i: Inputs) -> DataFrame:
     ledger = i.ledger
     transfers = lt.transfer_view(ledger.sales, ledger.orders, ledger.lots)
     sales, bought = rs.resolve_transfers(
-        op.transfer_ops(transfers),
+        op.transfer_ops(transfers, _date(END)),
         ledger.lots,
-        lt.open_lots(ledger.lots, ledger.sales.limit(0)),
+        lt.open_lots(ledger.lots, op.sales_until(ledger.sales, ledger.orders, _date(END))),
         ledger.accounts,
-        op.known_quotes(ledger.quotes, _date(END)),
+        op.known_quotes(ledger.quotes, _date(PRICED)),
     )
     return sales.select("sale_id", "shares", "proceeds", "reason").join(
         bought.withColumnRenamed("origin_sale_id", "sale_id"), "sale_id", "left"
@@ -756,6 +778,33 @@ query(
        CASE lot_id % 3 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'bad trade_date' ELSE 'too many fields' END AS reason FROM lot""",
 )(lambda i: tx.read_layout(i.spark, files.bad_subscription_file(i.ledger.lots), "subscription")[1])
 
+query(
+    "ingest_text_ledger",
+    "kind account_id trade_date:d lots:i shares:n money:n destination buy_date:d bought_shares:n comment",
+    """SELECT 'subscription' AS kind, account_id, trade_date, NULL AS lots, CASE WHEN lot_id % 3 <> 0 THEN initial_shares END AS shares,
+       CASE WHEN lot_id % 3 <> 1 THEN cost END AS money, NULL AS destination, NULL AS buy_date, NULL AS bought_shares, NULL AS comment
+FROM lot WHERE origin_sale_id IS NULL
+UNION ALL SELECT CASE WHEN destination IS NULL THEN 'redemption' ELSE 'transfer' END, source, sell_date,
+       CASE WHEN order_id % 2 = 0 THEN lots END, CASE WHEN order_id % 2 = 1 THEN sold_shares END, proceeds,
+       destination, buy_date, bought_shares, comment FROM account_transfer""",
+)(lambda i: _ingested(i))
+
+
+def _ingested(i: Inputs) -> DataFrame:
+    """Purchases and account orders written as text files and read back as a log."""
+    new_money = i.ledger.lots.filter(F.col("origin_sale_id").isNull())
+    redeemed = i.account_transfers.filter(F.col("destination").isNull()).select(
+        "order_id", F.col("source").alias("account_id"), F.col("sell_date").alias("trade_date"), "lots",
+        F.col("sold_shares").alias("shares"), "proceeds", "comment",
+    )
+    return tx.read_operations(
+        i.spark,
+        files.subscription_file(op.subscription_ops(new_money)),
+        files.redemption_file(redeemed),
+        files.transfer_file(i.account_transfers),
+    )[0]
+
+
 FEED_SQL = "SELECT * FROM quote"
 query("read_quote_csv_feed", QUOTE, FEED_SQL)(
     lambda i: quote_feeds.read_quote_csv_feed(i.spark, files.csv_feed(i.ledger.quotes))
@@ -764,6 +813,20 @@ query("read_quote_json_feed", QUOTE, FEED_SQL)(
     lambda i: quote_feeds.read_quote_json_feed(i.spark, files.json_feed(i.ledger.quotes))
 )
 
+query(
+    "rejected_quotes",
+    "feed isin line reason",
+    """SELECT DISTINCT feed, isin, line, reason FROM quote, (VALUES
+  ('csv', '1999-02-30 00:00:00.0;1,0', 'bad date'), ('csv', '1999-02-03 00:00:00.0;-', 'bad nav'),
+  ('json', '{"rowDateRaw":0}', 'bad nav'), ('json', NULL, 'no quotes in the response')) AS bad(feed, line, reason)""",
+)(
+    lambda i: quote_feeds.rejected_csv_quotes(i.spark, files.csv_feed(i.ledger.quotes))
+    .withColumn("feed", F.lit("csv"))
+    .unionByName(
+        quote_feeds.rejected_json_quotes(i.spark, files.json_feed(i.ledger.quotes)).withColumn("feed", F.lit("json"))
+    )
+)
+
 query(
     "append_quotes",
     "isin date:d nav:n refused:i",
@@ -811,6 +874,31 @@ LEFT JOIN (
 )(lambda i: _upsert(i))
 
 
+query(
+    "insert_funds",
+    "kind isin name feed_key reason",
+    """WITH added AS (SELECT 'N' || substr(isin, 2) AS isin, name || ' 1' AS name, feed, 'K' || risk AS feed_key FROM fund)
+SELECT 'fund' AS kind, f.isin, f.name, k.feed_key, NULL AS reason FROM fund f LEFT JOIN fund_feed k USING (feed, isin)
+UNION ALL SELECT 'fund', isin, name, CASE WHEN feed IS NOT NULL THEN feed_key END, NULL FROM added
+UNION ALL SELECT 'refused', 'N' || substr(isin, 2), name || ' 2', NULL, 'repeated fund' FROM fund
+UNION ALL SELECT 'refused', isin, name, NULL, 'known fund' FROM fund""",
+)(lambda i: _insert_funds(i))
+
+
+def _insert_funds(i: Inputs) -> DataFrame:
+    """Every fund again, and a new fund for each one, named twice."""
+    funds = i.ledger.funds.withColumn("feed_key", F.concat(F.lit("K"), "risk"))
+    renamed = funds.withColumn("isin", F.concat(F.lit("N"), F.substring("isin", 2, 20)))
+    new = funds.withColumn("turn", F.lit(0))
+    for turn in (2, 1):
+        new = new.unionByName(renamed.withColumns({"name": F.concat("name", F.lit(f" {turn}")), "turn": F.lit(turn)}))
+    after, feeds, refused = stores.insert_funds(i.ledger.funds, i.ledger.fund_feeds, new, order=["turn"])
+    kept = after.join(feeds, ["feed", "isin"], "left").select(F.lit("fund").alias("kind"), "isin", "name", "feed_key")
+    return kept.unionByName(
+        refused.select(F.lit("refused").alias("kind"), "isin", "name", "reason"), allowMissingColumns=True
+    )
+
+
 def _upsert(i: Inputs) -> DataFrame:
     risk = F.col("risk")
     updates = i.ledger.funds.select(
@@ -839,13 +927,14 @@ def _stream_backfill(i: Inputs) -> DataFrame:
     spark, quotes = i.spark, i.ledger.quotes.filter(F.col("date") > F.lit(_date(START)))
     lots, sales = op.pending(i.ledger.lots, i.ledger.sales)
     waiting = Ledger(**{**i.ledger.tables(), "lots": written(lots, "lots"), "sales": written(sales, "sales")})
+    pending = sq.write_pending(waiting, new_path(spark, "pending"))
     done_lots = sq.empty_table(spark, new_path(spark, "done-lots"), LOT)
     done_sales = sq.empty_table(spark, new_path(spark, "done-sales"), SALE)
     early = F.col("date") <= F.lit(_date(END))
     _streamed(
         i,
         [quotes.filter(~early), quotes.filter(early)],
-        lambda stream, checkpoint: sq.stream_backfill(stream, waiting, done_lots, done_sales, checkpoint),
+        lambda stream, checkpoint: sq.stream_backfill(stream, pending, done_lots, done_sales, checkpoint),
     )
     return filled_rows(spark.read.schema(LOT).parquet(done_lots), spark.read.schema(SALE).parquet(done_sales))
 

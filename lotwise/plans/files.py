@@ -99,19 +99,31 @@ def _by_fund(quotes: DataFrame, row: Column) -> DataFrame:
 
 
 def csv_feed(quotes: DataFrame) -> str:
+    """One response a fund, with one, three or six digits of a second and two lines that are no quotes."""
     folder = new_path(quotes.sparkSession, "csv")
-    row = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" 00:00:00.0;"), F.regexp_replace(F.col("nav").cast("string"), r"\.", ","))
-    text = F.concat_ws("\n", F.lit("Date;Value"), F.array_join("rows", "\n"))
+    zeros = F.element_at(F.array(F.lit("0"), F.lit("000"), F.lit("000000")), F.dayofmonth("date") % 3 + 1)
+    row = F.concat(
+        F.date_format("date", "yyyy-MM-dd"), F.lit(" 00:00:00."), zeros, F.lit(";"),
+        F.regexp_replace(F.col("nav").cast("string"), r"\.", ","),
+    )
+    text = F.concat_ws("\n", F.lit("Date;Value"), F.lit("1999-02-30 00:00:00.0;1,0"), F.lit("1999-02-03 00:00:00.0;-"), F.array_join("rows", "\n"))
     _by_fund(quotes, row).select("isin", text.alias("value")).write.partitionBy("isin").text(folder)
     return folder
 
 
 def json_feed(quotes: DataFrame) -> str:
+    """One response a fund with a row without a price, and one short response a fund."""
     folder = new_path(quotes.sparkSession, "json")
     seconds = F.unix_timestamp(F.col("date").cast("timestamp"))
     row = F.struct(seconds.alias("rowDateRaw"), F.col("nav").cast("double").alias("last_closeRaw"))
-    data = F.struct(F.struct(F.struct(F.struct(F.col("rows").alias("data")).alias("vars")).alias("body")).alias("nested"))
+    rows = F.concat("rows", F.array(F.struct(F.lit(0).cast("long").alias("rowDateRaw"), F.lit(None).cast("double").alias("last_closeRaw"))))
+    data = F.struct(F.struct(F.struct(F.struct(rows.alias("data")).alias("vars")).alias("body")).alias("nested"))
     blank = F.lit(None).cast("struct<nested: struct<body: struct<vars: struct<data: array<struct<rowDateRaw: bigint, last_closeRaw: double>>>>>>")
-    body = F.struct(F.struct(F.array(blank, data, blank).alias("_list")).alias("content")).alias("body")
-    _by_fund(quotes, row).select("isin", body).write.partitionBy("isin").json(folder)
+
+    def response(*blocks):
+        return F.struct(F.struct(F.array(*blocks).alias("_list")).alias("content")).alias("body")
+
+    funds = _by_fund(quotes, row)
+    funds.select("isin", response(blank, data, blank)).write.partitionBy("isin").json(folder)
+    funds.select("isin", response(blank)).write.mode("append").partitionBy("isin").json(folder)
     return folder

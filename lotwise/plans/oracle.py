@@ -67,7 +67,7 @@ grouped AS (
   SELECT *, sum(CASE WHEN moved_in THEN 0 ELSE 1 END)
            OVER (PARTITION BY l_orderkey ORDER BY seq ROWS UNBOUNDED PRECEDING) AS grp
   FROM linked),
-chained AS (
+chained AS MATERIALIZED (
   SELECT *, min(trade_date) OVER (PARTITION BY l_orderkey, grp) AS invest_date FROM grouped),
 sold AS (
   SELECT lot_id AS sale_id, lot_id, account_id,
@@ -89,7 +89,7 @@ fund_feed AS (
          'FX' || lpad(CAST(n AS VARCHAR), 10, '0') AS isin, 'K' || n AS feed_key
   FROM fund_number WHERE n % 3 <> 2 AND n % 2 = 0),
 account AS (SELECT DISTINCT account_id, isin, distributor FROM chained),
-lot AS (
+lot AS MATERIALIZED (
   SELECT lot_id, account_id, invest_date, trade_date, quantity AS initial_shares, cost,
          CASE WHEN moved_in THEN lot_id - 1 END AS origin_sale_id
   FROM chained),
@@ -97,7 +97,7 @@ sale_order AS (
   SELECT DISTINCT order_id, trade_date, CASE WHEN destination = '' THEN 'redemption' ELSE 'transfer' END AS comment
   FROM ordered),
 sale AS (SELECT sale_id, order_id, lot_id, shares, proceeds FROM ordered),
-quote AS (
+quote AS MATERIALIZED (
   SELECT isin, trade_date AS date, CAST(max(retail) AS DECIMAL(12, 4)) AS nav
   FROM chained GROUP BY isin, trade_date)"""
 
@@ -146,7 +146,7 @@ portfolio AS (
          date, nav, round(worth, 2) AS valuation,
          round(CAST(worth AS DOUBLE) / nullif(CAST(capital AS DOUBLE), 0) - 1, 4) AS gain
   FROM position),
-sold_lot AS (
+sold_lot AS MATERIALIZED (
   SELECT s.sale_id, s.order_id, s.trade_date AS end_date, s.shares, s.proceeds, l.lot_id, l.account_id, a.isin,
          l.invest_date, l.trade_date, l.cost, l.origin_sale_id,
          {ratio("s.shares", "l.initial_shares")} AS part
@@ -168,7 +168,7 @@ chain AS (
          NULL, CAST(round(CAST(s.shares AS DECIMAL(19, 5)) * c.fraction, 4) AS DECIMAL(18, 5)),
          {money(scaled("s.proceeds", "c.fraction"))}, s.origin_sale_id
   FROM chain c JOIN sold_lot s ON c.origin_sale_id = s.sale_id),
-lineage AS (
+lineage AS MATERIALIZED (
   SELECT *, first_value(lot_id) OVER w AS origin_lot, first_value(cost) OVER w AS capital
   FROM chain
   WINDOW w AS (PARTITION BY terminal_lot, order_id ORDER BY trade_date, hop DESC)),
@@ -226,19 +226,20 @@ portfolio_between AS (
   FROM account_value JOIN account USING (account_id))"""
 
 
-def monthly_evolution(start: str, end: str) -> str:
-    """Views behind the monthly evolution, by the plain bucket ranges."""
+def evolution(period: str) -> str:
+    """Views behind the evolution by weeks or months over the whole range, by the plain bucket ranges."""
+    step = {"months": "to_months(CAST({} AS INTEGER))", "weeks": "to_days(CAST(7 * ({}) AS INTEGER))"}[period]
+    before, after = step.format("k - 1"), step.format("k")
     return f"""
-begun AS (SELECT greatest(DATE '{start}', min(trade_date)) AS begin FROM lot),
-bucket AS (
-  SELECT k, CAST(begin + to_months(CAST(k - 1 AS INTEGER)) AS DATE) AS inf,
-         CAST(begin + to_months(CAST(k AS INTEGER)) AS DATE) AS sup
-  FROM begun, range(0, 1000) r(k)
-  WHERE k = 0 OR begin + to_months(CAST(k - 1 AS INTEGER)) <= DATE '{end}'),
-sample AS (
+begun AS (SELECT min(trade_date) AS begin FROM lot),
+bucket AS MATERIALIZED (
+  SELECT k, CAST(begin + {before} AS DATE) AS inf, CAST(begin + {after} AS DATE) AS sup
+  FROM begun, range(0, 10000) r(k)
+  WHERE k = 0 OR begin + {before} <= DATE '2001-10-21'),
+sample AS MATERIALIZED (
   SELECT isin, max(date) AS date, arg_max(nav, date) AS nav
   FROM quote JOIN bucket ON date > inf AND date <= sup GROUP BY isin, k),
-point AS (
+point AS MATERIALIZED (
   SELECT h.terminal_lot, h.order_id, h.lot_id, h.trade_date, h.end_date, h.shares, h.isin,
          h.trade_date AS date, CAST(h.cost AS DECIMAL(31, 9)) AS value
   FROM lineage h
@@ -249,14 +250,14 @@ point AS (
   SELECT h.terminal_lot, h.order_id, h.lot_id, h.trade_date, h.end_date, h.shares, h.isin, s.date,
          CAST({worth("h.shares", "s.nav")} AS DECIMAL(31, 9))
   FROM lineage h JOIN sample s ON s.isin = h.isin AND s.date BETWEEN h.trade_date AND h.end_date),
-start_point AS (
+start_point AS MATERIALIZED (
   SELECT terminal_lot, order_id, value AS cost FROM point QUALIFY row_number() OVER (
     PARTITION BY terminal_lot, order_id ORDER BY date, trade_date, lot_id) = 1),
 evolution AS (
-  SELECT 'months' AS period, terminal_lot, order_id, lot_id, s.cost, trade_date, end_date, shares, isin, date, value
+  SELECT '{period}' AS period, terminal_lot, order_id, lot_id, s.cost, trade_date, end_date, shares, isin, date, value
   FROM point JOIN start_point s USING (terminal_lot, order_id)
   UNION ALL
-  SELECT 'months', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, sup, NULL FROM bucket)"""
+  SELECT '{period}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, sup, NULL FROM bucket)"""
 
 
 # How a result column leaves either engine: number, date, whole number or as is.

@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.operators.running import row_numbers
+from lotwise.session import written
+
 # The words that mean yes and no.
 YES_WORDS = ("y", "yes", "t", "true", "on", "1")
 NO_WORDS = ("n", "no", "f", "false", "off", "0")
@@ -87,8 +90,9 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """Rows of a text column ``value`` as trimmed cells, without comments and blanks."""
     line = F.col("value")
     cells = F.transform(F.split(line, r"\|"), lambda cell: F.nullif(F.trim(cell), F.lit("")))
+    place = ["place"] if "place" in lines.columns else []
     return lines.filter(~line.startswith("#") & (F.trim(line) != "")).select(
-        line.alias("line"), cells.alias("cells")
+        line.alias("line"), cells.alias("cells"), *place
     )
 
 
@@ -97,6 +101,13 @@ def read_ledger_file(spark: SparkSession, path: str) -> DataFrame:
     return parse_records(spark.read.text(path))
 
 
+def _number(cell: Column, kind: str) -> Column:
+    """A decimal cell; shares with more decimals are cut, everything else is rounded."""
+    if kind != "decimal(18,5)":
+        return cell.try_cast(kind)
+    return F.floor(cell.try_cast("decimal(38,18)"), F.lit(5)).try_cast(kind)
+
+
 def _typed(field: Field, cell: Column) -> dict[str, Column]:
     if field.default is not None:
         cell = F.coalesce(cell, F.lit(field.default))
@@ -104,11 +115,13 @@ def _typed(field: Field, cell: Column) -> dict[str, Column]:
         whole = cell.rlike(WHOLE_NUMBER)
         return {
             "lots": F.when(whole, cell.try_cast("int")),
-            "shares": F.when(~whole, cell.try_cast("decimal(18,5)")),
+            "shares": F.when(~whole, _number(cell, "decimal(18,5)")),
         }
     if field.kind == "boolean":
         word = F.lower(cell)
         return {field.name: F.when(word.isin(*YES_WORDS), True).when(word.isin(*NO_WORDS), False)}
+    if field.kind.startswith("decimal"):
+        return {field.name: _number(cell, field.kind)}
     return {field.name: cell.try_cast(field.kind)}
 
 
@@ -129,7 +142,13 @@ def apply_layout(records: DataFrame, layout: str) -> tuple[DataFrame, DataFrame]
             problems.append(F.when(cell.isNull(), f"missing {field.name}"))
         unread = F.coalesce(*[value.cast("string") for value in typed.values()]).isNull()
         problems.append(F.when(cell.isNotNull() & unread, f"bad {field.name}"))
-    rows = records.select("line", F.coalesce(*problems).alias("reason"), *[v.alias(n) for n, v in values.items()])
+        if field.kind == "quantity":
+            amount = F.coalesce(typed["shares"], typed["lots"].cast("decimal(18,5)"))
+            problems.append(F.when(amount <= 0, f"{field.name} not positive"))
+    place = ["place"] if "place" in records.columns else []
+    rows = records.select(
+        "line", F.coalesce(*problems).alias("reason"), *[v.alias(n) for n, v in values.items()], *place
+    )
     if layout == "quote_range":
         reversed_range = F.col("last_date") < F.col("first_date")
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(reversed_range, "last date before first")))
@@ -137,6 +156,42 @@ def apply_layout(records: DataFrame, layout: str) -> tuple[DataFrame, DataFrame]
     return accepted, rows.filter(F.col("reason").isNotNull()).select("line", "reason")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, start of the part read by one task, line within it."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    place = F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", place.alias("place"))
+
+
+def read_operations(
+    spark: SparkSession, subscriptions: str, redemptions: str, transfers: str, first_id: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Operations of the three kinds of text files, and their rejected lines: file, line, reason.
+
+    Ids count from ``first_id`` through purchases, redemptions and transfers, each in
+    file order. The result is a log for ``replay_ledger``.
+    """
+    found, rejected = [], []
+    for number, (layout, path) in enumerate(
+        [("subscription", subscriptions), ("redemption", redemptions), ("transfer", transfers)]
+    ):
+        rows, refused = apply_layout(parse_records(_placed(spark, path)), layout)
+        names = {"sell_date": "trade_date", "cost": "money", "proceeds": "money"}
+        rows = rows.withColumnsRenamed({a: b for a, b in names.items() if a in rows.columns})
+        found.append(rows.withColumns({"kind": F.lit(layout), "_kind": F.lit(number)}))
+        rejected.append(refused.select(F.lit(layout).alias("file"), "line", "reason"))
+    # Written, so that ids are given once for lines that are read once.
+    rows = found[0].unionByName(found[1], allowMissingColumns=True).unionByName(found[2], allowMissingColumns=True)
+    rows = written(rows, "records").select("*", "place.*")
+    tiers = [["_kind"], ["file_path"], ["file_block_start"]]
+    numbered = row_numbers(rows, [], tiers, ["row"], "_number")
+    ops = numbered.select(
+        (F.col("_number") + (first_id - 1)).alias("op_id"),
+        *["kind", "account_id", "trade_date", "lots", "shares", "money", "destination", "buy_date", "bought_shares", "comment"],
+    )
+    return ops, rejected[0].unionByName(rejected[1]).unionByName(rejected[2])
+
+
 def read_layout(spark: SparkSession, path: str, layout: str) -> tuple[DataFrame, DataFrame]:
     """Typed rows of a file, and its rejected lines."""
     return apply_layout(read_ledger_file(spark, path), layout)

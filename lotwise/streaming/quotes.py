@@ -8,11 +8,12 @@ and each micro-batch is judged against them.
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lotwise.operators.resolve import backfill_on_quote
+from lotwise.operators.resolve import complete_pending
 from lotwise.schemas import LOT, SALE
 from lotwise.session import written
 from lotwise.sources.ledger_text import apply_layout, parse_records
@@ -23,57 +24,112 @@ from lotwise.streaming import variation_state
 # Workers get the helper's code with the task, so nothing has to be installed there.
 cloudpickle.register_pickle_by_value(variation_state)
 
+# Days of a batch that are named one by one when tables are filtered.
+LISTED_DAYS = 400
+_WAITS = [T.StructField("isin", T.StringType()), T.StructField("date", T.DateType())]
+PENDING_LOT = T.StructType([*LOT.fields, *_WAITS])
+PENDING_SALE = T.StructType([*SALE.fields, T.StructField("trade_date", T.DateType()), *_WAITS])
+
+
+# One run over what there is; any other trigger of a streaming query may be given instead.
+ONCE = {"availableNow": True}
+
 
 def quote_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Quotes from pipe-separated files as they appear in ``folder``."""
+    """Quotes from pipe-separated files as they appear in ``folder``, with the time and path of their file."""
     reader = spark.readStream
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return apply_layout(parse_records(reader.text(folder)), "quote")[0].filter(F.col("nav").isNotNull())
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path")
+    lines = reader.text(folder).select("value", arrival.alias("place"))
+    quotes = apply_layout(parse_records(lines), "quote")[0].filter(F.col("nav").isNotNull())
+    return quotes.withColumnRenamed("place", "arrival")
+
+
+def _arrival(quotes: DataFrame) -> list[str]:
+    """Order in which quotes arrived: by file if that is known, then by price."""
+    return [c for c in ("arrival",) if c in quotes.columns] + ["nav"]
 
 
-def _run(stream: DataFrame, checkpoint: str, each_batch) -> StreamingQuery:
+def _days(batch: DataFrame) -> Column:
+    """Condition on ``date`` that holds for the days of a batch; few days are listed."""
+    found = batch.select("date").distinct().limit(LISTED_DAYS + 1).collect()
+    if len(found) <= LISTED_DAYS:
+        return F.col("date").isin([r["date"] for r in found])
+    low, high = batch.agg(F.min("date"), F.max("date")).first()
+    return F.col("date").between(low, high)
+
+
+def _run(stream: DataFrame, checkpoint: str, each_batch, trigger: dict) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def stream_quote_ingest(quotes: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def stream_quote_ingest(
+    quotes: DataFrame, store: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Store the first quote per fund and day; later ones lose to the stored one.
 
-    Of several quotes for one day within a batch the lowest counts as the first.
+    Within a batch the quote of the older file comes first, then the lower price.
     """
+    arrival = _arrival(quotes)
 
     def ingest(batch: DataFrame, _: int) -> None:
-        store_quotes(store, batch, ["nav"])
-
-    return _run(quotes, checkpoint, ingest)
+        batch = batch.persist()
+        store_quotes(store, batch, arrival, _days(batch))
+        batch.unpersist()
+
+    return _run(quotes, checkpoint, ingest, trigger)
+
+
+def write_pending(ledger: Ledger, folder: str) -> str:
+    """Write lots and sales that wait for a price, by trade date, with the fund they wait for."""
+    funds = ledger.accounts.select("account_id", "isin")
+    lots = ledger.lots.filter(F.col("cost").isNull() | F.col("initial_shares").isNull()).join(funds, "account_id")
+    sales = (
+        ledger.sales.filter(F.col("proceeds").isNull())
+        .join(ledger.orders.select("order_id", "trade_date"), "order_id")
+        .join(ledger.lots.select("lot_id", "account_id"), "lot_id")
+        .join(funds, "account_id")
+    )
+    for name, table in (("lots", lots), ("sales", sales)):
+        table.withColumn("date", F.col("trade_date")).write.partitionBy("date").mode("append").parquet(f"{folder}/{name}")
+    return folder
 
 
 def stream_backfill(
-    quotes: DataFrame, ledger: Ledger, completed_lots: str, completed_sales: str, checkpoint: str
+    quotes: DataFrame, pending: str, completed_lots: str, completed_sales: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:
-    """Complete pending lots and sales of ``ledger`` whenever their price arrives.
+    """Complete pending lots and sales (``write_pending``) whenever their price arrives.
 
-    Completed rows are appended to two tables. Rows already there are not looked
-    at again, which also makes a repeated batch harmless.
+    Only the partitions of the batch's days are read, anew for every batch, so rows
+    may be added to the pending tables while the stream runs. Completed rows are
+    appended to two tables. Rows already there are not looked at again, which also
+    makes a repeated batch harmless.
     """
     spark = quotes.sparkSession
+    arrival = _arrival(quotes)
 
     def complete(batch: DataFrame, _: int) -> None:
-        done_lots = spark.read.schema(LOT).parquet(completed_lots).select("lot_id")
-        done_sales = spark.read.schema(SALE).parquet(completed_sales).select("sale_id")
-        first = batch.groupBy("isin", "date").agg(F.min("nav").alias("nav"))
-        lots, sales = backfill_on_quote(first, ledger.lots, ledger.sales, ledger.orders, ledger.accounts)
-        new_lots = written(lots.join(done_lots, "lot_id", "left_anti"), "lots")
-        new_sales = written(sales.join(done_sales, "sale_id", "left_anti"), "sales")
+        batch = batch.persist()
+        days = _days(batch)
+        first = batch.groupBy("isin", "date").agg(F.min_by("nav", F.struct(*arrival)).alias("nav"))
+        lots = spark.read.schema(PENDING_LOT).parquet(f"{pending}/lots").filter(days).drop("date")
+        sales = spark.read.schema(PENDING_SALE).parquet(f"{pending}/sales").filter(days).drop("date")
+        done_lots = spark.read.schema(LOT).parquet(completed_lots)
+        done_sales = spark.read.schema(SALE).parquet(completed_sales)
+        lots, sales = complete_pending(first, lots, sales)
+        new_lots = written(lots.join(done_lots.select("lot_id"), "lot_id", "left_anti"), "lots")
+        new_sales = written(sales.join(done_sales.select("sale_id"), "sale_id", "left_anti"), "sales")
         new_lots.select(*LOT.fieldNames()).write.mode("append").parquet(completed_lots)
         new_sales.select(*SALE.fieldNames()).write.mode("append").parquet(completed_sales)
+        batch.unpersist()
 
-    return _run(quotes, checkpoint, complete)
+    return _run(quotes, checkpoint, complete, trigger)
 
 
 def live_variation(quotes: DataFrame) -> DataFrame:
@@ -91,15 +147,15 @@ def live_variation(quotes: DataFrame) -> DataFrame:
     )
 
 
-def stream_variation(quotes: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+def stream_variation(quotes: DataFrame, output: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Append live variations to the table at ``output``."""
     return (
-        live_variation(quotes)
+        live_variation(quotes.select("isin", "date", "nav"))
         .writeStream.format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

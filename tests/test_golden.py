@@ -117,8 +117,37 @@ def test_feed_keys(spark):
     added = spark.createDataFrame(
         [("N1", "New", None, None, "EUR", 2, "csv", True, "k1"), (ISIN, "Twice", None, None, "EUR", 2, "csv", True, "k2")], keyed
     )
-    both = stores.insert_funds(funds, feeds, added)
+    *both, refused = stores.insert_funds(funds, feeds, added.unionByName(added.filter("isin = 'N1'")))
     assert view(both) == [("csv", "New", "k1"), ("web", "Bond", "bond-data")]
+    assert b.rows(refused, "isin", "reason") == [(ISIN, "known fund"), ("N1", "repeated fund")]
+
+
+def test_last_of_several_feed_updates_holds(spark):
+    funds = b.funds(spark, (ISIN, "Bond", None, "web", True))
+    feeds = b.feeds(spark, ("web", ISIN, "bond-data"))
+    updates = spark.createDataFrame(
+        [(ISIN, "bank", "b1", True, 2), (ISIN, "csv", "c1", True, 1)], "isin string, feed string, feed_key string, sets_key boolean, number int"
+    )
+    changed = stores.upsert_fund_feed(funds, feeds, updates, order=["number"])
+    assert b.rows(lots.fund_view(*changed), "feed", "feed_key") == [("bank", "b1")]
+    first = stores.upsert_fund_feed(funds, feeds, updates.filter("number = 1"), order=["number"])
+    assert b.rows(lots.fund_view(*first), "feed", "feed_key") == [("csv", "c1")]
+
+
+def test_sales_of_one_lot_share_what_is_left(spark):
+    accounts, quotes = b.accounts(spark, ("A", ISIN, "B0")), b.quotes(spark, (ISIN, "2020-01-02", 2))
+    bought = b.lots(spark, (1, "A", "2020-01-01", "2020-01-01", 10, 100, None), (2, "A", "2020-01-01", "2020-01-01", 0, 100, None))
+    ops = spark.createDataFrame(
+        [(5, 5, 1, b.day("2020-01-02"), None, None), (4, 4, 1, b.day("2020-01-02"), b.dec(4), None),
+         (6, 6, 1, b.day("2020-01-02"), None, None), (7, 7, 2, b.day("2020-01-02"), None, None),
+         (8, 8, 1, b.day("2020-01-03"), b.dec(0), None), (9, 9, 3, b.day("2020-01-03"), b.dec(1), None)],
+        "sale_id long, order_id long, lot_id long, trade_date date, shares decimal(18,5), proceeds decimal(18,2)",
+    )
+    open_lots = lots.open_lots(bought, b.sales(spark))
+    found = {r["sale_id"]: (r["shares"] and float(r["shares"]), r["reason"]) for r in resolve.resolve_sales(ops, open_lots, accounts, quotes).collect()}
+    assert found[4] == (4.0, None) and found[5] == (6.0, None)
+    assert found[6][1] == found[7][1] == "nothing left"
+    assert found[8][1] == "shares not positive" and found[9][1] == "unknown lot"
 
 
 @pytest.fixture

@@ -1,12 +1,14 @@
 """Text records, rejected rows, feeds and streams on small files."""
 
 import datetime as dt
+import os
 
 import builders as b
 
 from lotwise.schemas import LOT, QUOTE, SALE
 from lotwise.session import new_path
 from lotwise.sources import ledger_text as tx
+from lotwise.operators.replay import replay_ledger
 from lotwise.sources import quote_feeds
 from lotwise.streaming import quotes as sq
 
@@ -58,6 +60,40 @@ def test_csv_feed_drops_first_and_last_line(spark, tmp_path):
     ]
 
 
+def test_feeds_take_any_fraction_and_tell_what_they_refuse(spark, tmp_path):
+    csv, js = tmp_path / "csv", tmp_path / "json"
+    rows = "2020-01-02 00:00:00.0;1,5\n2020-01-03 00:00:00.000;1,6\n2020-01-04 00:00:00.000000;1,7\n2020-01-05 00:00:00;1,8\nsoon;2\n2020-01-06 00:00:00.0\n"
+    write(csv / "isin=X" / "a.csv", f"Date;Value\n{rows}")
+    assert [r[2] for r in b.rows(quote_feeds.read_quote_csv_feed(spark, str(csv)))] == [1.5, 1.6, 1.7, 1.8]
+    assert b.rows(quote_feeds.rejected_csv_quotes(spark, str(csv)), "line", "reason") == [
+        ("2020-01-06 00:00:00.0", "too few fields"), ("soon;2", "bad date")
+    ]
+    block = '{"nested": {"body": {"vars": {"data": [{"rowDateRaw": 86400, "last_closeRaw": "2.5"}]}}}}'
+    write(js / "isin=X" / "a.json", '{"body": {"content": {"_list": [%s, {}]}}}' % block)
+    write(js / "isin=Y" / "a.json", '{"body": {"content": {"_list": [{}]}}}')
+    assert b.rows(quote_feeds.read_quote_json_feed(spark, str(js))) == [("X", "1970-01-02", 2.5)]
+    assert b.rows(quote_feeds.rejected_json_quotes(spark, str(js)), "isin", "reason") == [("Y", "no quotes in the response")]
+
+
+def test_operations_follow_the_files(spark, tmp_path):
+    paths = [
+        write(tmp_path / "s.txt", "# c\nA|2020-01-02|100\nB|2020-01-01||5.123456\nC|bad\n"),
+        write(tmp_path / "r.txt", "A|2020-01-05|1|9.5|all\nA|2020-01-06|-1\nA|2020-01-06|-1.5\n"),
+        write(tmp_path / "t.txt", "A|2020-01-07|B||2.1234599\n"),
+    ]
+    ops, bad = tx.read_operations(spark, *paths, first_id=10)
+    assert [(r["op_id"], r["kind"], r["account_id"], r["lots"], r["shares"] and float(r["shares"])) for r in ops.orderBy("op_id").collect()] == [
+        (10, "subscription", "A", None, None), (11, "subscription", "B", None, 5.12345),
+        (12, "redemption", "A", 1, None), (13, "transfer", "A", None, 2.12345),
+    ]
+    assert b.rows(bad, "file", "reason") == [
+        ("redemption", "quantity not positive"), ("redemption", "quantity not positive"), ("subscription", "bad trade_date")
+    ]
+    done = replay_ledger(ops, b.accounts(spark, ("A", "X", "B0"), ("B", "X", "B1")), b.quotes(spark, ("X", "2020-01-02", 10)))
+    assert b.rows(done.refused, "op_id", "reason") == [(13, "too many shares")]
+    assert b.rows(done.sales, "order_id", "shares", "proceeds") == [(12, 10.0, 9.5)]
+
+
 def test_json_feed_reads_the_last_but_one_block(spark, tmp_path):
     block = '{"nested": {"body": {"vars": {"data": [{"rowDateRaw": %d, "last_closeRaw": %s}]}}}}'
     body = '{"body": {"content": {"_list": [%s, %s, {}]}}}' % (block % (0, 1), block % (86400 * 18263, '"12.34565"'))
@@ -74,6 +110,27 @@ def test_late_and_repeated_quotes_in_the_stream(spark, tmp_path):
     assert b.rows(spark.read.parquet(store)) == [("X", "2020-01-02", 2.0), ("X", "2020-01-05", 5.0), ("X", "2020-01-06", 6.0)]
 
 
+def test_the_older_file_of_a_batch_wins(spark, tmp_path):
+    folder, store = tmp_path / "in", new_path(spark, "store")
+    sq.empty_table(spark, store, QUOTE)
+    for name, text, moment in (("b.txt", "X|2020-01-05|9\n", 1000), ("a.txt", "X|2020-01-05|5\nX|2020-01-06|6\nX|2020-01-06|4\n", 2000)):
+        os.utime(write(folder / name, text), (moment, moment))
+    sq.stream_quote_ingest(sq.quote_stream(spark, str(folder)), store, new_path(spark, "cp")).awaitTermination()
+    assert b.rows(spark.read.parquet(store)) == [("X", "2020-01-05", 9.0), ("X", "2020-01-06", 4.0)]
+
+
+def test_a_batch_reads_only_its_days(spark, tmp_path):
+    tables = b.ledger(
+        spark,
+        accounts=b.accounts(spark, ("A", "X", "B0")),
+        lots=b.lots(spark, *[(k, "A", f"2020-01-{k:02}", f"2020-01-{k:02}", None, 100, None) for k in range(1, 20)]),
+    )
+    pending = sq.write_pending(tables, new_path(spark, "pending"))
+    days = sq._days(b.quotes(spark, ("X", "2020-01-05", 5)))
+    plan = spark.read.schema(sq.PENDING_LOT).parquet(f"{pending}/lots").filter(days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2020-01-05" in plan.split("PartitionFilters")[1]
+
+
 def test_stream_completes_pending_rows_once(spark, tmp_path):
     tables = b.ledger(
         spark,
@@ -83,12 +140,13 @@ def test_stream_completes_pending_rows_once(spark, tmp_path):
         sales=b.sales(spark, (1, 1, 2, 2, None)),
     )
     folder, checkpoint = tmp_path / "in", new_path(spark, "cp")
+    pending = sq.write_pending(tables, new_path(spark, "pending"))
     done_lots = sq.empty_table(spark, new_path(spark, "lots"), LOT)
     done_sales = sq.empty_table(spark, new_path(spark, "sales"), SALE)
     for number, text in enumerate(["X|2020-01-05|5\n", "X|2020-01-02|3\nX|2020-01-05|7\n"]):
         write(folder / f"{number}.txt", text)
         stream = sq.quote_stream(spark, str(folder))
-        sq.stream_backfill(stream, tables, done_lots, done_sales, checkpoint).awaitTermination()
+        sq.stream_backfill(stream, pending, done_lots, done_sales, checkpoint).awaitTermination()
     assert b.rows(spark.read.parquet(done_lots), "lot_id", "initial_shares", "cost") == [(1, 33.33333, 100.0), (2, 4.0, 20.0)]
     assert b.rows(spark.read.parquet(done_sales), "sale_id", "proceeds") == [(1, 10.0)]
 
