@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.numbers import money, ratio, value_of
 from lotwise.functions.returns import annualised
+from lotwise.operators import chain_fractions
 from lotwise.operators.filters import _where, lineage_condition
 from lotwise.operators.lots import open_lots, sale_view
 from lotwise.operators.quotes import last_quote
@@ -14,8 +17,8 @@ from lotwise.schemas import MONEY, NAV, RATIO, SHARES
 from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
-# A chain longer than this can only come from a circle in the data.
-MAX_HOPS = 10_000
+# Workers get the helper's code with the task, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(chain_fractions)
 
 _HOP = [
     "terminal_lot",
@@ -119,16 +122,51 @@ def _transfer_edges(ledger: Ledger) -> DataFrame:
     )
 
 
-def _parents(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    step = frontier.filter(F.col("origin_sale_id").isNotNull()).select(
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """From each sale to the one that funded its lot, over 1, 2, 4, … transfers.
+
+    A walk that is longer than there are sales goes round in a circle.
+    """
+    sales = edges.count()
+    jump = edges.filter(F.col("origin_sale_id").isNotNull()).select("_sale", F.col("origin_sale_id").alias("_to"))
+    jumps, jump = [], written(jump, "jumps")
+    while not jump.isEmpty():
+        if 2 ** len(jumps) > sales:
+            raise ValueError("transfers form a circle")
+        jumps.append(jump)
+        following = jump.select(F.col("_sale").alias("_to"), F.col("_to").alias("_next"))
+        jump = written(jump.join(following, "_to").select("_sale", F.col("_next").alias("_to")), "jumps")
+    return jumps
+
+
+def _ancestors(anchor: DataFrame, edges: DataFrame) -> DataFrame:
+    """All older hops of every chain: the walk doubles its reach each round."""
+    found = anchor.filter(F.col("origin_sale_id").isNotNull()).select(
         "terminal_lot",
         "order_id",
-        (F.col("hop") + 1).alias("hop"),
-        F.col("fraction").alias("_fraction"),
+        F.lit(1).alias("hop"),
+        F.col("fraction").alias("_last"),
         F.col("origin_sale_id").alias("_sale"),
     )
-    fraction = (F.col("_fraction") * F.col("part")).cast(RATIO)
-    return step.join(edges, "_sale").select(
+    found = written(found, "walk")
+    for reach, jump in enumerate(_jumps(edges)):
+        further = found.join(jump, "_sale").select(
+            "terminal_lot", "order_id", (F.col("hop") + 2**reach).alias("hop"), "_last", F.col("_to").alias("_sale")
+        )
+        found = written(found.unionByName(further), "walk")
+    return found.join(edges, "_sale").drop("_sale")
+
+
+def _with_fractions(hops: DataFrame) -> DataFrame:
+    """Add what part of each hop's lot ends up in the terminal lot, rounded from hop to hop."""
+    spread = hops.repartition("terminal_lot", "order_id").sortWithinPartitions("terminal_lot", "order_id", "hop")
+    schema = T.StructType([*hops.schema.fields, T.StructField("_fraction", RATIO), T.StructField("fraction", RATIO)])
+    return spread.mapInArrow(chain_fractions.add_fractions, schema)
+
+
+def _parents(hops: DataFrame) -> DataFrame:
+    fraction = F.col("fraction")
+    return hops.select(
         "terminal_lot",
         "order_id",
         "hop",
@@ -138,7 +176,7 @@ def _parents(frontier: DataFrame, edges: DataFrame) -> DataFrame:
         "invest_date",
         "trade_date",
         "end_date",
-        fraction.alias("fraction"),
+        "fraction",
         money(F.col("cost") * fraction).alias("cost"),
         F.lit(None).cast(NAV).alias("nav"),
         F.round(F.col("shares") * F.col("_fraction"), 4).cast(SHARES).alias("shares"),
@@ -155,38 +193,26 @@ def lineage(
 ) -> DataFrame:
     """All hops of every chain, with the chain's first lot and its capital.
 
-    Walks the frontier up one transfer per round. Each round is written to the
-    shared folder, so plans stay short, a lost executor costs one round, and a
-    small frontier is broadcast from its true size. The predicates are the same
-    for a whole chain and are applied where the walk starts.
+    The walk up the transfers doubles its reach each round and is written to the
+    shared folder, so plans stay short and a lost executor costs one round. The
+    predicates are the same for a whole chain and are applied where the walk starts.
     """
     anchor = _where(terminals(ledger), *lineage_condition(order_id, terminal_lot, redeemed))
-    frontier = written(anchor.select(*_HOP), "lineage")
-    levels = [frontier]
-    edges = None
-    while not frontier.filter(F.col("origin_sale_id").isNotNull()).isEmpty():
-        if len(levels) > MAX_HOPS:
-            raise ValueError("transfers form a circle")
-        if edges is None:
-            edges = written(_transfer_edges(ledger), "edges")
-        frontier = written(_parents(frontier, edges), "lineage")
-        levels.append(frontier)
-
+    anchor = written(anchor.select(*_HOP), "lineage")
     untouched = F.col("origin_sale_id").isNull()
-    result = _with_chain_start(levels)
-    single = levels[0].filter(untouched).select(
+    single = anchor.filter(untouched).select(
         *_HOP, F.col("lot_id").alias("origin_lot"), F.col("cost").alias("capital")
     )
-    return single if result is None else single.unionByName(result)
+    chains = anchor.filter(~untouched)
+    if chains.isEmpty():
+        return single
+    edges = written(_transfer_edges(ledger), "edges")
+    older = _parents(_with_fractions(_ancestors(anchor, edges)))
+    return single.unionByName(_with_chain_start(chains.unionByName(older)))
 
 
-def _with_chain_start(levels: list[DataFrame]) -> DataFrame | None:
+def _with_chain_start(chains: DataFrame) -> DataFrame:
     """Chains of two or more hops with the lot and cost they began with."""
-    if len(levels) == 1:
-        return None
-    chains = levels[0].filter(F.col("origin_sale_id").isNotNull())
-    for level in levels[1:]:
-        chains = chains.unionByName(level)
     oldest_first = Window.partitionBy("terminal_lot", "order_id").orderBy(
         "trade_date", F.desc("hop")
     )

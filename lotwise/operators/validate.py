@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.lots import open_lots
+from lotwise.schemas import LEDGER
 from lotwise.sources.tables import Ledger
 
 
@@ -49,11 +49,22 @@ def _orphans(
     )
 
 
+def _missing(name: str, keys: list[str]) -> dict[str, Column]:
+    """Rules for the columns of a table that must have a value, apart from its key."""
+    required = [f.name for f in LEDGER[name].fields if not f.nullable and f.name not in keys]
+    return {f"missing {column}": F.col(column).isNull() for column in required}
+
+
 def validate_ledger(ledger: Ledger) -> DataFrame:
-    """Broken value rules, repeated keys, dangling references and excess sales."""
+    """Missing values, broken value rules, repeated keys, dangling references and excess sales.
+
+    Row rules take one pass over a table; sales are summed per lot once, for all
+    rules that compare both.
+    """
     lots, sales, orders, quotes = ledger.lots, ledger.sales, ledger.orders, ledger.quotes
     lot, sale = F.col("lot_id"), F.col("sale_id")
     quote = F.concat_ws("/", "isin", "date")
+    feed = F.concat_ws("/", "feed", "isin")
     shares, proceeds = F.col("shares"), F.col("proceeds")
     sold_after = (
         lots.filter(F.col("origin_sale_id").isNotNull())
@@ -61,11 +72,11 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         .join(sales.select("sale_id", "order_id"), "sale_id")
         .join(orders.select("order_id", F.col("trade_date").alias("sell_date")), "order_id")
     )
-    left = open_lots(lots, sales)
-    sold_unknown = left.filter(F.col("initial_shares").isNull()).join(
-        sales.select("lot_id").distinct(), "lot_id", "left_semi"
-    )
+    sold = sales.groupBy("lot_id").agg(F.sum("shares").alias("_sold"), F.count("*").alias("_sales"))
+    with_sales = lots.select("lot_id", "initial_shares").join(sold, "lot_id")
     checks = [
+        _rows(ledger.funds, "funds", F.col("isin"), _missing("funds", ["isin"])),
+        _rows(ledger.accounts, "accounts", F.col("account_id"), _missing("accounts", ["account_id"])),
         _rows(
             lots,
             "lots",
@@ -73,8 +84,10 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
             {
                 "shares not positive": F.col("initial_shares") <= 0,
                 "neither shares nor cost": F.col("initial_shares").isNull() & F.col("cost").isNull(),
+                **_missing("lots", ["lot_id"]),
             },
         ),
+        _rows(orders, "orders", F.col("order_id"), _missing("orders", ["order_id"])),
         _rows(
             sales,
             "sales",
@@ -83,8 +96,11 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
                 "shares not positive": shares <= 0,
                 "proceeds negative": proceeds < 0,
                 "neither shares nor proceeds": shares.isNull() & proceeds.isNull(),
+                **_missing("sales", ["sale_id"]),
             },
         ),
+        _rows(quotes, "quotes", quote, _missing("quotes", ["isin", "date"])),
+        _repeated(ledger.feeds, "feeds", ["feed"]),
         _repeated(ledger.funds, "funds", ["isin"]),
         _repeated(ledger.fund_feeds, "fund_feeds", ["feed", "isin"]),
         _repeated(ledger.accounts, "accounts", ["account_id"]),
@@ -94,7 +110,9 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         _repeated(sales, "sales", ["sale_id"]),
         _repeated(sales, "sales", ["order_id", "lot_id"]),
         _repeated(quotes, "quotes", ["isin", "date"]),
-        _orphans(ledger.fund_feeds, "fund_feeds", F.concat_ws("/", "feed", "isin"), ["isin"], ledger.funds, ["isin"]),
+        _orphans(ledger.funds, "funds", F.col("isin"), ["feed"], ledger.feeds, ["feed"]),
+        _orphans(ledger.fund_feeds, "fund_feeds", feed, ["feed"], ledger.feeds, ["feed"]),
+        _orphans(ledger.fund_feeds, "fund_feeds", feed, ["isin"], ledger.funds, ["isin"]),
         _orphans(ledger.accounts, "accounts", F.col("account_id"), ["isin"], ledger.funds, ["isin"]),
         _orphans(lots, "lots", lot, ["account_id"], ledger.accounts, ["account_id"]),
         _orphans(lots, "lots", lot, ["origin_sale_id"], sales, ["sale_id"]),
@@ -102,8 +120,15 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         _orphans(sales, "sales", sale, ["order_id"], orders, ["order_id"]),
         _orphans(quotes, "quotes", quote, ["isin"], ledger.funds, ["isin"]),
         _broken(sold_after, "lots", lot, F.col("trade_date") < F.col("sell_date"), "bought before sold"),
-        _broken(left, "lots", lot, shares < 0, "too many shares sold"),
-        _broken(sold_unknown, "lots", lot, F.lit(True), "sold with unknown shares"),
+        _rows(
+            with_sales,
+            "lots",
+            lot,
+            {
+                "too many shares sold": F.col("_sold") > F.col("initial_shares"),
+                "sold with unknown shares": F.col("initial_shares").isNull(),
+            },
+        ),
     ]
     return reduce(DataFrame.unionByName, checks)
 

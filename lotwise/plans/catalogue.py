@@ -122,7 +122,7 @@ def query(name: str, columns: str, sql: str | None = None, *views: str):
 query(
     "scan_tables",
     "table_name rows:i",
-    """SELECT 'funds' AS table_name, count(*) AS rows FROM fund UNION ALL
+    """SELECT 'funds' AS table_name, count(*) AS rows FROM fund UNION ALL SELECT 'feeds', count(*) FROM feed UNION ALL
 SELECT 'fund_feeds', count(*) FROM fund_feed UNION ALL SELECT 'accounts', count(*) FROM account UNION ALL
 SELECT 'lots', count(*) FROM lot UNION ALL SELECT 'orders', count(*) FROM sale_order UNION ALL
 SELECT 'sales', count(*) FROM sale UNION ALL SELECT 'quotes', count(*) FROM quote""",
@@ -655,7 +655,8 @@ def _replay_increment(i: Inputs) -> DataFrame:
 
 BROKEN = """
 blot0 AS (
-  SELECT lot_id, CASE WHEN lot_id % 109 = 0 THEN 'nobody' ELSE account_id END AS account_id, invest_date,
+  SELECT lot_id, CASE WHEN lot_id % 109 = 0 THEN 'nobody' ELSE account_id END AS account_id,
+         CASE WHEN lot_id % 149 <> 0 THEN invest_date END AS invest_date,
          CASE WHEN lot_id % 113 = 0 THEN trade_date - 1 ELSE trade_date END AS trade_date,
          CASE WHEN lot_id % 101 = 0 THEN 0 WHEN lot_id % 103 = 0 THEN NULL WHEN lot_id % 107 = 0 THEN 1
               ELSE initial_shares END AS initial_shares,
@@ -667,7 +668,9 @@ bsale0 AS (
          CASE WHEN sale_id % 107 = 1 THEN -1 WHEN sale_id % 103 <> 1 OR sale_id % 2 = 0 THEN proceeds END AS proceeds
   FROM sale WHERE sale_id % 127 <> 0),
 bsale AS (SELECT * FROM bsale0 UNION ALL SELECT * FROM bsale0 WHERE sale_id % 131 = 0),
-border AS (SELECT * FROM sale_order WHERE order_id % 137 <> 0),
+border AS (SELECT order_id, CASE WHEN order_id % 151 <> 0 THEN trade_date END AS trade_date, comment
+  FROM sale_order WHERE order_id % 137 <> 0),
+bfeed AS (SELECT * FROM feed WHERE feed <> 'json'),
 bquote AS (SELECT * FROM quote UNION ALL SELECT * FROM quote WHERE day(date) = 31),
 bfund AS (SELECT * FROM fund WHERE active),
 bleft AS (
@@ -685,6 +688,10 @@ UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), 'repeated order_id' FROM b
 UNION ALL SELECT 'sales', CAST(sale_id AS VARCHAR), 'repeated sale_id' FROM bsale GROUP BY sale_id HAVING count(*) > 1
 UNION ALL SELECT 'sales', concat_ws('/', order_id, lot_id), 'repeated order_id/lot_id' FROM bsale GROUP BY order_id, lot_id HAVING count(*) > 1
 UNION ALL SELECT 'quotes', concat_ws('/', isin, date), 'repeated isin/date' FROM bquote GROUP BY isin, date HAVING count(*) > 1
+UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'missing invest_date' FROM blot WHERE invest_date IS NULL
+UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), 'missing trade_date' FROM border WHERE trade_date IS NULL
+UNION ALL SELECT 'funds', isin, 'unknown feed' FROM bfund WHERE feed NOT IN (SELECT feed FROM bfeed)
+UNION ALL SELECT 'fund_feeds', concat_ws('/', feed, isin), 'unknown feed' FROM fund_feed WHERE feed NOT IN (SELECT feed FROM bfeed)
 UNION ALL SELECT 'fund_feeds', concat_ws('/', feed, isin), 'unknown isin' FROM fund_feed WHERE isin NOT IN (SELECT isin FROM bfund)
 UNION ALL SELECT 'accounts', account_id, 'unknown isin' FROM account WHERE isin NOT IN (SELECT isin FROM bfund)
 UNION ALL SELECT 'lots', CAST(lot_id AS VARCHAR), 'unknown account_id' FROM blot WHERE account_id NOT IN (SELECT account_id FROM account)

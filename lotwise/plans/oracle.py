@@ -84,6 +84,7 @@ fund AS (
          CASE WHEN n % 2 = 0 THEN 'F' || n END AS alias, 'M' || (n % 3) AS manager, 'EUR' AS currency,
          1 + n % 7 AS risk, CASE n % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' END AS feed, n <> 9 AS active
   FROM fund_number),
+feed AS (SELECT DISTINCT feed FROM fund WHERE feed IS NOT NULL),
 fund_feed AS (
   SELECT CASE n % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' END AS feed,
          'FX' || lpad(CAST(n AS VARCHAR), 10, '0') AS isin, 'K' || n AS feed_key

@@ -23,6 +23,7 @@ FUND = _table(
     ("feed", T.StringType(), True),
     ("active", T.BooleanType(), True),
 )
+FEED = _table(("feed", T.StringType(), False))
 FUND_FEED = _table(
     ("feed", T.StringType(), False),
     ("isin", T.StringType(), False),
@@ -61,6 +62,7 @@ QUOTE = _table(
 )
 
 LEDGER = {
+    "feeds": FEED,
     "funds": FUND,
     "fund_feeds": FUND_FEED,
     "accounts": ACCOUNT,

@@ -133,6 +133,7 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     orders = sold.groupBy(*grouping).agg(F.min("sale_id").alias("order_id"))
     funds = _funds(spark, sf_dir)
     return Ledger(
+        feeds=funds.filter(col("feed").isNotNull()).select("feed").distinct(),
         funds=funds.drop("feed_key"),
         fund_feeds=funds.filter(col("feed").isNotNull() & col("alias").isNotNull()).select(
             "feed", "isin", "feed_key"

@@ -14,6 +14,7 @@ from lotwise.schemas import LEDGER
 class Ledger:
     """Base tables of one ledger; all operators work on these."""
 
+    feeds: DataFrame
     funds: DataFrame
     fund_feeds: DataFrame
     accounts: DataFrame
@@ -39,11 +40,13 @@ def read_ledger(spark: SparkSession, folder: str) -> Ledger:
 def write_ledger(ledger: Ledger, folder: str) -> None:
     """Write the ledger tables under ``folder``.
 
-    Quotes are range-sorted, so that a filter on fund and date skips row groups.
+    Quotes are range-sorted by fund and date, lots and accounts by account, so that
+    filters on those skip row groups.
     """
+    layout = {"quotes": ["isin", "date"], "lots": ["account_id", "trade_date", "lot_id"], "accounts": ["account_id"]}
     for name, table in ledger.tables().items():
-        if name == "quotes":
-            table = table.repartitionByRange("isin", "date").sortWithinPartitions("isin", "date")
+        if name in layout:
+            table = table.repartitionByRange(*layout[name]).sortWithinPartitions(*layout[name])
         typed = table.select(
             *[F.col(field.name).cast(field.dataType).alias(field.name) for field in LEDGER[name]]
         )

@@ -26,9 +26,10 @@ cloudpickle.register_pickle_by_value(variation_state)
 
 # Days of a batch that are named one by one when tables are filtered.
 LISTED_DAYS = 400
-_WAITS = [T.StructField("isin", T.StringType()), T.StructField("date", T.DateType())]
-PENDING_LOT = T.StructType([*LOT.fields, *_WAITS])
-PENDING_SALE = T.StructType([*SALE.fields, T.StructField("trade_date", T.DateType()), *_WAITS])
+PENDING_LOT = T.StructType([*LOT.fields, T.StructField("isin", T.StringType())])
+PENDING_SALE = T.StructType(
+    [*SALE.fields, T.StructField("trade_date", T.DateType()), T.StructField("isin", T.StringType())]
+)
 
 
 # One run over what there is; any other trigger of a streaming query may be given instead.
@@ -51,13 +52,13 @@ def _arrival(quotes: DataFrame) -> list[str]:
     return [c for c in ("arrival",) if c in quotes.columns] + ["nav"]
 
 
-def _days(batch: DataFrame) -> Column:
-    """Condition on ``date`` that holds for the days of a batch; few days are listed."""
+def _days(batch: DataFrame, column: str = "date") -> Column:
+    """Condition on a date column that holds for the days of a batch; few days are listed."""
     found = batch.select("date").distinct().limit(LISTED_DAYS + 1).collect()
     if len(found) <= LISTED_DAYS:
-        return F.col("date").isin([r["date"] for r in found])
+        return F.col(column).isin([r["date"] for r in found])
     low, high = batch.agg(F.min("date"), F.max("date")).first()
-    return F.col("date").between(low, high)
+    return F.col(column).between(low, high)
 
 
 def _run(stream: DataFrame, checkpoint: str, each_batch, trigger: dict) -> StreamingQuery:
@@ -87,7 +88,10 @@ def stream_quote_ingest(
 
 
 def write_pending(ledger: Ledger, folder: str) -> str:
-    """Write lots and sales that wait for a price, by trade date, with the fund they wait for."""
+    """Write lots and sales that wait for a price, sorted by trade date, with the fund they wait for.
+
+    Files and row groups hold ranges of days, so a filter on days skips the others.
+    """
     funds = ledger.accounts.select("account_id", "isin")
     lots = ledger.lots.filter(F.col("cost").isNull() | F.col("initial_shares").isNull()).join(funds, "account_id")
     sales = (
@@ -97,7 +101,8 @@ def write_pending(ledger: Ledger, folder: str) -> str:
         .join(funds, "account_id")
     )
     for name, table in (("lots", lots), ("sales", sales)):
-        table.withColumn("date", F.col("trade_date")).write.partitionBy("date").mode("append").parquet(f"{folder}/{name}")
+        days = table.repartitionByRange("trade_date").sortWithinPartitions("trade_date")
+        days.write.mode("append").parquet(f"{folder}/{name}")
     return folder
 
 
@@ -106,7 +111,7 @@ def stream_backfill(
 ) -> StreamingQuery:
     """Complete pending lots and sales (``write_pending``) whenever their price arrives.
 
-    Only the partitions of the batch's days are read, anew for every batch, so rows
+    Only row groups with the batch's days are read, anew for every batch, so rows
     may be added to the pending tables while the stream runs. Completed rows are
     appended to two tables. Rows already there are not looked at again, which also
     makes a repeated batch harmless.
@@ -116,10 +121,10 @@ def stream_backfill(
 
     def complete(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
-        days = _days(batch)
+        days = _days(batch, "trade_date")
         first = batch.groupBy("isin", "date").agg(F.min_by("nav", F.struct(*arrival)).alias("nav"))
-        lots = spark.read.schema(PENDING_LOT).parquet(f"{pending}/lots").filter(days).drop("date")
-        sales = spark.read.schema(PENDING_SALE).parquet(f"{pending}/sales").filter(days).drop("date")
+        lots = spark.read.schema(PENDING_LOT).parquet(f"{pending}/lots").filter(days)
+        sales = spark.read.schema(PENDING_SALE).parquet(f"{pending}/sales").filter(days)
         done_lots = spark.read.schema(LOT).parquet(completed_lots)
         done_sales = spark.read.schema(SALE).parquet(completed_sales)
         lots, sales = complete_pending(first, lots, sales)

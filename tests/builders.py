@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from lotwise.schemas import ACCOUNT, FUND, FUND_FEED, LOT, QUOTE, SALE, SALE_ORDER
+from lotwise.schemas import ACCOUNT, FEED, FUND, FUND_FEED, LOT, QUOTE, SALE, SALE_ORDER
 from lotwise.sources.tables import Ledger
 
 
@@ -52,6 +52,7 @@ def sales(spark, *rows):
 
 def ledger(spark, **tables) -> Ledger:
     empty = {
+        "feeds": FEED,
         "funds": FUND,
         "fund_feeds": FUND_FEED,
         "accounts": ACCOUNT,

@@ -1,6 +1,7 @@
 """Worked examples and corner cases, by hand."""
 
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 import builders as b
@@ -190,8 +191,7 @@ def test_lineage_scales_every_hop(chain):
     assert b.rows(lineage.fiscal_gains(only), "gain", "origin_lot") == [(175.0, 1)]
 
 
-def test_circle_of_transfers_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(lineage, "MAX_HOPS", 5)
+def test_circle_of_transfers_is_an_error(spark):
     tables = b.ledger(
         spark,
         accounts=b.accounts(spark, ("A", "X", "B0")),
@@ -322,3 +322,38 @@ def test_short_history_compares_with_itself(spark):
         ("2020-01-01", 0.0, "+"), ("2020-01-02", -10.0, "-")
     ]
     assert b.rows(quotes.quote_history(known, "X", 1), "date") == [("2020-01-02",)]
+
+
+def long_chain(spark, hops, circle=False):
+    """Lot k is sold whole to buy lot k + 1."""
+    first = None if not circle else hops - 1
+    return b.ledger(
+        spark,
+        accounts=b.accounts(spark, ("A", ISIN, "B0")),
+        quotes=b.quotes(spark, (ISIN, "2020-01-02", 2)),
+        lots=b.lots(spark, *[(k, "A", "2020-01-01", "2020-01-01", 3, 100, k - 1 if k else first) for k in range(hops)]),
+        orders=b.orders(spark, (1, "2020-01-01")),
+        sales=b.sales(spark, *[(k, 1, k, 3 if k % 2 else 1, 100) for k in range(hops if circle else hops - 1)]),
+    )
+
+
+def test_a_chain_of_many_thousand_hops(spark):
+    found = lineage.lineage(long_chain(spark, 11_000))
+    assert found.filter("terminal_lot = 10999").count() == 11_000
+    assert found.filter("terminal_lot = 10999").agg(F.max("hop"), F.max("origin_lot"), F.min("origin_lot")).first()[:] == (10_999, 0, 0)
+
+
+def test_fractions_are_rounded_from_hop_to_hop(spark):
+    hops = [r["fraction"] for r in lineage.lineage(long_chain(spark, 6)).filter("terminal_lot = 5").orderBy("hop").collect()]
+    expected = [Decimal(1)]
+    for k in range(4, -1, -1):
+        part = Decimal(1) if k % 2 else Decimal("0.333333333333")
+        expected.append((expected[-1] * part).quantize(Decimal("0.000000000001")))
+    assert hops == expected
+
+
+def test_a_circle_of_transfers_is_told(spark):
+    ledger = long_chain(spark, 5, circle=True)
+    ledger = replace(ledger, lots=ledger.lots.unionByName(b.lots(spark, (9, "A", "2020-01-01", "2020-01-01", 3, 100, 2))))
+    with pytest.raises(ValueError, match="circle"):
+        lineage.lineage(ledger)

@@ -126,9 +126,9 @@ def test_a_batch_reads_only_its_days(spark, tmp_path):
         lots=b.lots(spark, *[(k, "A", f"2020-01-{k:02}", f"2020-01-{k:02}", None, 100, None) for k in range(1, 20)]),
     )
     pending = sq.write_pending(tables, new_path(spark, "pending"))
-    days = sq._days(b.quotes(spark, ("X", "2020-01-05", 5)))
+    days = sq._days(b.quotes(spark, ("X", "2020-01-05", 5)), "trade_date")
     plan = spark.read.schema(sq.PENDING_LOT).parquet(f"{pending}/lots").filter(days)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan and "2020-01-05" in plan.split("PartitionFilters")[1]
+    assert "EqualTo(trade_date,2020-01-05)" in plan.split("PushedFilters")[1]
 
 
 def test_stream_completes_pending_rows_once(spark, tmp_path):
