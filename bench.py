@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).parent))
 
 from lotwise.plans.catalogue import QUERIES, Inputs  # noqa: E402
-from lotwise.session import configure  # noqa: E402
+from lotwise.session import configure, release  # noqa: E402
 
 HEADLINE = [
     "open_lots",
@@ -32,6 +32,7 @@ HEADLINE = [
     "portfolio_between",
     "portfolio_report",
     "evolution",
+    "evolution_weeks",
     "return_series",
     "resolve_subscriptions",
     "resolve_transfers",
@@ -90,6 +91,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -28,7 +28,7 @@ from lotwise.schemas import QUOTE as QUOTE_TABLE
 from lotwise.session import configure, new_path, written
 from lotwise.sources import ledger_text as tx
 from lotwise.sources import quote_feeds, stores
-from lotwise.sources.derived import stored_ledger
+from lotwise.sources.derived import input_stamp, stored_ledger
 from lotwise.sources.tables import Ledger, scan_tables
 from lotwise.streaming import quotes as sq
 
@@ -37,7 +37,7 @@ START, END = "1997-01-01", "1999-12-31"
 PRICED = "2000-12-31"
 AS_OF = dt.datetime(2001, 10, 21, 23, 0)
 
-_stored_lineage: dict[tuple[str, str], DataFrame] = {}
+_stored_lineage: dict[tuple, DataFrame] = {}
 
 
 @dataclass
@@ -54,7 +54,7 @@ class Inputs:
     @cached_property
     def lineage(self) -> DataFrame:
         """Lineage as a table, written once per application."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = input_stamp(self.spark, self.sf_dir)
         if key not in _stored_lineage:
             _stored_lineage[key] = written(ln.lineage(self.ledger), "lineage-all")
         return _stored_lineage[key]

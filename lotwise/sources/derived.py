@@ -30,7 +30,7 @@ LINE_ORDER = [
 # Lot ids hold the order and the line's number; a longer order stops the job.
 LINES_PER_ORDER = 10_000_000
 
-_stored: dict[tuple[str, str], Ledger] = {}
+_stored: dict[tuple, Ledger] = {}
 
 
 def _isin(number):
@@ -160,9 +160,19 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     )
 
 
+def input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the input files, which tell whether a stored result still holds."""
+    stamp = [spark.sparkContext.applicationId, sf_dir]
+    for name in ("lineitem", "orders", "part", "supplier"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        stamp += [files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()]
+    return tuple(stamp)
+
+
 def stored_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The derived ledger as Parquet tables, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The derived ledger as Parquet tables, written once per application and input."""
+    key = input_stamp(spark, sf_dir)
     if key not in _stored:
         folder = new_path(spark, "ledger")
         write_ledger(derive_ledger(spark, sf_dir), folder)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from lotwise.functions.numbers import growth
 from lotwise.operators.resolve import complete_pending
 from lotwise.schemas import LOT, SALE
 from lotwise.session import written
@@ -143,13 +144,15 @@ def live_variation(quotes: DataFrame) -> DataFrame:
     The state of a fund is its newest quote. A quote older than that is ignored;
     the batch view is the truth for late ones.
     """
-    return quotes.groupBy("isin").applyInPandasWithState(
+    pairs = quotes.groupBy("isin").applyInPandasWithState(
         variation_state.variations,
-        outputStructType="isin string, date date, nav decimal(12,4), variation double",
+        outputStructType="isin string, date date, nav decimal(12,4), previous decimal(12,4)",
         stateStructType="date date, nav decimal(12,4)",
         outputMode="append",
         timeoutConf="NoTimeout",
     )
+    change = growth(F.col("nav"), F.col("previous")) * 100
+    return pairs.select("isin", "date", "nav", change.alias("variation"))
 
 
 def stream_variation(quotes: DataFrame, output: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 import pandas as pd
 
-COLUMNS = ["isin", "date", "nav", "variation"]
+COLUMNS = ["isin", "date", "nav", "previous"]
+
+
+def first_of_days(batches) -> pd.DataFrame:
+    """One quote per day, the lowest where several came; never more rows than days and one batch."""
+    kept = pd.DataFrame(columns=["date", "nav"], dtype=object)
+    for batch in batches:
+        both = pd.concat([kept, batch[["date", "nav"]].astype(object)], ignore_index=True)
+        kept = both.sort_values(["date", "nav"]).drop_duplicates("date")
+    return kept
 
 
 def advance(isin, batches, last):
-    """Changes that new quotes of a fund bring, and its newest quote after them.
+    """New quotes of a fund with the quote before each, and the fund's newest quote after them.
 
-    A fund has one quote per day, so its part of a batch is bounded by the
-    calendar. The first of several quotes for one day counts.
+    A quote that is older than the state is ignored.
     """
-    quotes = pd.concat(list(batches), ignore_index=True)
-    quotes = quotes.sort_values(["date", "nav"]).drop_duplicates("date")
-    rows = []
-    for date, nav in zip(quotes["date"], quotes["nav"]):
-        if last is not None and date <= last[0]:
-            continue
-        if last is not None:
-            change = Decimal(float(nav) / float(last[1]) - 1)
-            percent = float(change.quantize(Decimal("0.0001"), ROUND_HALF_UP)) * 100
-            rows.append((isin, date, nav, percent))
-        last = (date, nav)
-    return pd.DataFrame(rows, columns=COLUMNS), last
+    quotes = first_of_days(batches)
+    if last is not None:
+        quotes = quotes[quotes["date"] > last[0]]
+    if quotes.empty:
+        return pd.DataFrame(columns=COLUMNS), last
+    newest = (quotes["date"].iloc[-1], quotes["nav"].iloc[-1])
+    rows = quotes.assign(isin=isin, previous=quotes["nav"].shift(1))
+    if last is None:
+        rows = rows.iloc[1:]
+    else:
+        rows.iloc[0, rows.columns.get_loc("previous")] = last[1]
+    return rows[COLUMNS], newest
 
 
 def variations(key, batches, state):

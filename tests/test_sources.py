@@ -8,9 +8,11 @@ import builders as b
 from lotwise.schemas import LOT, QUOTE, SALE
 from lotwise.session import new_path
 from lotwise.sources import ledger_text as tx
+from lotwise import session
 from lotwise.operators.replay import replay_ledger
 from lotwise.sources import quote_feeds
 from lotwise.streaming import quotes as sq
+from lotwise.streaming import variation_state
 
 
 def write(path, text):
@@ -159,3 +161,25 @@ def test_live_variation_ignores_older_quotes(spark, tmp_path):
     found = [(str(r["date"]), round(r["variation"], 6)) for r in spark.read.parquet(output).orderBy("date").collect()]
     assert found == [("2020-01-06", 10.0), ("2020-01-07", 100.0)]
     assert dt.date(2020, 1, 2) not in {r["date"] for r in spark.read.parquet(output).collect()}
+
+
+def test_variation_state_steps():
+    import pandas as pd
+
+    def batch(*rows):
+        return pd.DataFrame([(b.day(d), b.dec(n)) for d, n in rows], columns=["date", "nav"])
+
+    first, last = variation_state.advance("X", [batch(("2020-01-03", 3), ("2020-01-02", 2)), batch(("2020-01-03", 1))], None)
+    assert first.values.tolist() == [["X", b.day("2020-01-03"), b.dec(1), b.dec(2)]] and last == (b.day("2020-01-03"), b.dec(1))
+    later, last = variation_state.advance("X", [batch(("2020-01-01", 9), ("2020-01-06", 4), ("2020-01-05", 2))], last)
+    assert later["previous"].tolist() == [b.dec(1), b.dec(2)] and last == (b.day("2020-01-06"), b.dec(4))
+    none, last = variation_state.advance("X", [batch(("2020-01-01", 9))], last)
+    assert none.empty and last == (b.day("2020-01-06"), b.dec(4))
+
+
+def test_release_empties_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path / "shared"))
+    assert session.written(spark.range(5), "numbers").count() == 5
+    assert list((tmp_path / "shared").rglob("*.parquet"))
+    session.release(spark)
+    assert not (tmp_path / "shared").exists()
