@@ -168,7 +168,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = BUDGET) -> DataFrame:
     """Every document and item that occurs in it within its budget: the smallest distance and its place.
 
-    Places count characters of the normal text. ``docs`` needs doc_id and text,
+    Places count characters of the normal text: ``end`` is where the closest passage
+    ends, ``begin`` lies the item's length before it. ``docs`` needs doc_id and text,
     ``benchmark`` item_id and text.
     """
     context = docs.sparkSession.sparkContext
