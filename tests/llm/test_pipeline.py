@@ -58,10 +58,11 @@ def test_decontamination_stage(spark, stages):
     gone = set(ids(before)) - set(ids(after))
     docs = [(r["doc_id"], r["text"]) for r in before.collect()]
     for doc_id, text in docs:
+        normal = " ".join(text.lower().split())
         if doc_id in gone:
-            assert leaks([(doc_id, text)], items)
+            likely = sorted(items, key=lambda i: " ".join(i[1].lower().split()) not in normal)
+            assert any(leaks([(doc_id, text)], [item]) for item in likely)
         else:
-            normal = " ".join(text.lower().split())
             assert not any(" ".join(i.lower().split()) in normal for _, i in items)
 
 
