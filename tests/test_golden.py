@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lotwise.functions import dates, numbers, returns
 from lotwise.operators import allocate, evolution, filters, lineage, lots, quotes, resolve, valuation
 from lotwise.schemas import FUND
+from lotwise.session import written
 from lotwise.sources import stores
 
 ISIN = "LU0113257694"
@@ -324,8 +325,8 @@ def test_short_history_compares_with_itself(spark):
     assert b.rows(quotes.quote_history(known, "X", 1), "date") == [("2020-01-02",)]
 
 
-def long_chain(spark, hops, circle=False):
-    """Lot k is sold whole to buy lot k + 1."""
+def long_chain(spark, hops, circle=False, whole=False):
+    """Lot k is sold, whole or every other time a third of it, to buy lot k + 1."""
     first = None if not circle else hops - 1
     return b.ledger(
         spark,
@@ -333,12 +334,12 @@ def long_chain(spark, hops, circle=False):
         quotes=b.quotes(spark, (ISIN, "2020-01-02", 2)),
         lots=b.lots(spark, *[(k, "A", "2020-01-01", "2020-01-01", 3, 100, k - 1 if k else first) for k in range(hops)]),
         orders=b.orders(spark, (1, "2020-01-01")),
-        sales=b.sales(spark, *[(k, 1, k, 3 if k % 2 else 1, 100) for k in range(hops if circle else hops - 1)]),
+        sales=b.sales(spark, *[(k, 1, k, 3 if whole or k % 2 else 1, 100) for k in range(hops if circle else hops - 1)]),
     )
 
 
 def test_a_chain_of_many_thousand_hops(spark):
-    found = lineage.lineage(long_chain(spark, 11_000))
+    found = written(lineage.lineage(long_chain(spark, 11_000, whole=True)), "chain")
     assert found.filter("terminal_lot = 10999").count() == 11_000
     assert found.filter("terminal_lot = 10999").agg(F.max("hop"), F.max("origin_lot"), F.min("origin_lot")).first()[:] == (10_999, 0, 0)
 
