@@ -11,6 +11,13 @@ rarest first. Then, for a template of t words that needs r of them:
   (from 0), at most t - p words can be shared, so t - p must be at least r.
 
 What passes is counted exactly, so every block that meets a template is found.
+
+A notice can be wrapped over lines. With ``wrapped``, passages count as well: windows
+of successive words across line ends, a little longer than the template (its words
+over ``CONTAINMENT``). Only windows around a prefix word are looked at, by the same
+three filters. Of overlapping windows that meet a template the best is reported, with
+the line it begins on, unless a line within them meets the template by itself.
+
 Templates go to the tasks in batches of at most ``BATCH_WORDS`` words.
 
 Defined cases: a null text is empty and has no blocks; templates without words meet
@@ -119,11 +126,15 @@ class Templates:
         self.words = words
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort([words, counts])] = np.arange(len(words))
-        self.labels, self.ordered, self.needed = [], [], []
+        self.labels, self.ordered, self.needed, self.length = [], [], [], []
+        self.own = []  # by template, which of the known words are its own
         for label, text in templates:
-            own = np.unique(_place(words, hashes_of(text)))
+            hashes = hashes_of(text)
+            own = np.unique(_place(words, hashes))
             if not len(own):
                 continue
+            self.length.append(ceil(len(hashes) / share - 1e-9))
+            self.own.append(np.isin(np.arange(len(words)), own))
             self.labels.append(label)
             self.ordered.append(own[np.argsort(rank[own])].tolist())
             self.needed.append(ceil(share * len(own) - 1e-9))
@@ -148,6 +159,54 @@ class Templates:
             if shared >= needed:
                 yield self.labels[t], shared / len(own)
 
+    def passages(self, at: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """First word, label and containment of passages of one text that meet a template across lines.
+
+        ``at`` has the known word at each place of the text or -1, ``line`` its line.
+        """
+        near: dict[int, list[int]] = {}
+        for place in np.flatnonzero((at >= 0) & self.is_prefix[at]).tolist():
+            for t, _ in self.index[int(at[place])]:
+                near.setdefault(t, []).append(place)
+        for t, places in sorted(near.items()):
+            width, begin = self.length[t], 0
+            for k, place in enumerate(places):
+                if k + 1 == len(places) or places[k + 1] - place >= 2 * width - 1:
+                    low, high = max(0, places[begin] - width + 1), place + width
+                    begin = k + 1
+                    if line[low] != line[min(high, len(line)) - 1]:
+                        yield from self._windows(t, at[low:high], line[low:high], low)
+
+    def _windows(self, t: int, at: np.ndarray, line: np.ndarray, low: int) -> Iterator[tuple[int, str, float]]:
+        """Best window of each run of overlapping windows that meet template ``t``."""
+        needed, width, total = self.needed[t], self.length[t], len(self.ordered[t])
+        places = np.flatnonzero((at >= 0) & self.own[t][at])
+        if len(np.unique(at[places])) < needed:
+            return
+        words, places = at[places].tolist(), places.tolist()
+        held: dict[int, int] = {}
+        first, best, reach, alone = 0, None, -1, False
+        for k, (word, place) in enumerate(zip(words, places)):
+            held[word] = held.get(word, 0) + 1
+            while place - places[first] >= width:
+                held[words[first]] -= 1
+                if not held[words[first]]:
+                    del held[words[first]]
+                first += 1
+            if len(held) < needed:
+                continue
+            if best is not None and places[first] > reach:
+                if not alone:
+                    yield low + best[1], self.labels[t], best[0] / total
+                best, alone = None, False
+            reach = place
+            if best is None or len(held) > best[0]:
+                best = (len(held), places[first])
+            same = {w for w, p in zip(words[first : k + 1], places[first : k + 1]) if line[p] == line[place]}
+            alone = alone or len(same) >= needed
+        if best is not None and not alone:
+            yield low + best[1], self.labels[t], best[0] / total
+
 
 def _phrase_places(hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
     """Indexes of the words where a phrase begins, by phrase."""
@@ -162,7 +221,7 @@ def _phrase_places(hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[str,
         yield label, np.flatnonzero(match)
 
 
-def scan_slice(part: vec.Slice, batches: list[Templates]) -> list[tuple]:
+def scan_slice(part: vec.Slice, batches: list[Templates], wrapped: bool = False) -> list[tuple]:
     """n_words, n_base, first_word, last_word, base labels, blocks met, for each text."""
     words, hashes = _words(part)
     begin = np.searchsorted(words.rows, np.arange(part.rows + 1))
@@ -192,6 +251,10 @@ def scan_slice(part: vec.Slice, batches: list[Templates]) -> list[tuple]:
                 number = int(line[a] - row - breaks[part.offsets[row]])
                 size = len(np.unique(hashes[a:b]))
                 blocks[row] += [(number, label, share) for label, share in templates.meets(held, size)]
+            for row in np.unique(words.rows[hit]).tolist() if wrapped else ():
+                a, b = int(begin[row]), int(begin[row + 1])
+                for place, label, share in templates.passages(at[a:b], line[a:b]):
+                    blocks[row].append((int(line[a + place] - row - breaks[part.offsets[row]]), label, share))
     out = []
     for row in range(part.rows):
         own = places[row]
@@ -200,9 +263,15 @@ def scan_slice(part: vec.Slice, batches: list[Templates]) -> list[tuple]:
     return out
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, share: float = CONTAINMENT) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    templates: list[tuple[str, str]] | None = None,
+    share: float = CONTAINMENT,
+    wrapped: bool = False,
+) -> DataFrame:
     """License evidence in every document (doc_id, text): phrases, and blocks that meet a template.
 
+    Blocks are lines, with ``wrapped`` also passages across lines.
     ``score`` is 1 with a phrase, else the largest containment met, else 0.
     """
     templates = TEMPLATES if templates is None else templates
@@ -227,7 +296,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, share:
             ids = batch.column("doc_id").to_pylist()
             for part in vec.slices(batch.column("text")):
                 made = []
-                for row, (n, n_base, first, last, base, met) in enumerate(scan_slice(part, sent.value)):
+                for row, (n, n_base, first, last, base, met) in enumerate(scan_slice(part, sent.value, wrapped)):
                     labels = ",".join(sorted(base | {label for _, label, _ in met}))
                     score = 1.0 if base else max([s for _, _, s in met], default=0.0)
                     found = [{"line": a, "label": b, "containment": c} for a, b, c in met]

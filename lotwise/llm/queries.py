@@ -47,7 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

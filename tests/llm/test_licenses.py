@@ -75,3 +75,74 @@ def test_awkward_rows(spark):
     check(spark, spark.createDataFrame(more, "doc_id long, text string"))
     assert licenses.scan(cases.empty(spark)).count() == 0
     assert licenses.scan(cases.awkward(spark), []).filter("labels <> base_labels").count() == 0
+
+
+def brute_passages(text, templates, share=licenses.CONTAINMENT):
+    """Labels of templates that any window of words meets."""
+    own, out = words(text), set()
+    for label, template in templates:
+        wanted = set(words(template))
+        width = -int(-(len(words(template)) / share - 1e-9) // 1)
+        for i in range(len(own)):
+            if wanted and len(wanted & set(own[i : i + width])) >= share * len(wanted) - 1e-9:
+                out.add(label)
+    return out
+
+
+def labels_of(row):
+    return set(filter(None, row["labels"].split(",")))
+
+
+def test_wrapped_notices_are_found(spark):
+    ready(spark)
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy"
+    bsd = (
+        "# Redistribution and use in source and binary forms, with or without\n"
+        "# modification, are permitted provided that the following conditions\n# are met:\n# 1."
+    )
+    filler = cases.text_of(60)
+    rows = [(1, mpl), (2, f"{filler}\n{bsd}\n{filler}"), (3, f"{bsd}\n\n{mpl}"), (4, licenses.TEMPLATES[9][1]),
+            (5, "Mozilla Public\n" + filler + "\nLicense"), (6, None)]
+    rows += [(10 + k, filler + "\n" + t.replace(" ", "\n")) for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, wrapped=True).collect()}
+    assert labels_of(got[1]) == {"mpl-2.0"} and got[1]["score"] == 1 and [b["line"] for b in got[1]["blocks"]] == [0]
+    assert labels_of(got[2]) == {"bsd"} and [b["line"] for b in got[2]["blocks"]] == [1]
+    assert labels_of(got[3]) == {"bsd", "mpl-2.0"}
+    assert len(got[4]["blocks"]) == 1 and not got[5]["labels"] and not got[6]["blocks"]
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in labels_of(got[10 + k])
+
+
+def test_passages_match_brute_force(spark):
+    """Notices in damaged words and random line breaks, between words of the templates."""
+    import random
+
+    ready(spark)
+    rng = random.Random(3)
+    pool = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    rows = []
+    for k in range(150):
+        notice = [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() > 0.04]
+        for _ in range(rng.randrange(3)):
+            notice.insert(rng.randrange(len(notice) + 1), "more")
+        around = [rng.choice(pool) for _ in range(60)]
+        rows.append((k, "".join(w + rng.choice(" \n  ") for w in around[:30] + notice + around[30:])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), wrapped=True).collect()
+    missed = 0
+    for r in found:
+        text = rows[r["doc_id"]][1]
+        by_line = brute(text, licenses.TEMPLATES)[5].split(",")
+        want = brute_passages(text, licenses.TEMPLATES) | set(filter(None, by_line))
+        assert labels_of(r) == want
+        missed += want != set(filter(None, by_line))
+    assert missed > 30
+
+
+def test_query_scans_across_lines(spark, tmp_path):
+    from lotwise.llm import queries
+
+    text = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.op6_license_scan(spark, str(tmp_path)).collect()
+    assert row["labels"] == "mpl-2.0"
