@@ -1,7 +1,8 @@
 """Noisy-channel restoration of disguised words.
 
 The channel swaps letters for look-alikes, puts marks or spaces between letters and
-repeats letters. A disguised word becomes a lattice of readings; the Viterbi path
+repeats letters. A look-alike at an end of a word may be a letter or a mark, and two
+letters alike may be one. A disguised word becomes a lattice of readings; the Viterbi path
 under channel costs and the character language model is the restored word.
 """
 
@@ -23,11 +24,14 @@ LOOK_ALIKES = {
 SWAP = -2.5  # log-probabilities of the channel
 DROP = -1.5
 MASK = -3.5
+SINGLE = -6.5  # of two letters as one: most doubled letters are meant, and the model likes short words
 
 _ENDS = re.compile(r"^[^\w$@]+|[^\w$@]+$|([$@])\1{2,}$|_+$|^_+")
 _LETTER = re.compile(r"[^\W\d_]")
 _SUSPECT = re.compile(r"[\d@$!|+(€£*]|[^\w]|_|([^\W\d_])\1\1")
 _RUNS = re.compile(r"(.)\1*", re.S)
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_END_MARKS = "!|+(€£*"  # look-alikes that ``core`` takes off
 
 
 def core(word: str) -> str:
@@ -46,6 +50,22 @@ def is_disguised(word: str) -> bool:
     return _SUSPECT.search(word) is not None and _LETTER.search(word) is not None
 
 
+def with_end_marks(word: str) -> str:
+    """The core of a word with the look-alikes right before and after it."""
+    word, inner = word.lower(), core(word)
+    if len(inner) == len(word):
+        return inner
+    at = word.find(inner)
+    before, after = word[:at], word[at + len(inner) :]
+    return before[len(before.rstrip(_END_MARKS)) :] + inner + after[: len(after) - len(after.lstrip(_END_MARKS))]
+
+
+def is_doubtful(text: str) -> bool:
+    """Whether a word that isn't disguised otherwise has look-alikes at its ends or two letters alike."""
+    ends = text[:1] in _END_MARKS or text[-1:] in _END_MARKS
+    return (ends or _DOUBLE.search(text) is not None) and _LETTER.search(text) is not None
+
+
 def readings(text: str) -> list[list[tuple[str, float]]]:
     """Lattice: for each run of one character what it may stand for and the cost."""
     out = []
@@ -54,11 +74,15 @@ def readings(text: str) -> list[list[tuple[str, float]]]:
         if mark == " ":
             out.append([(" ", 0.0), ("", DROP)])
         elif _LETTER.match(mark):
-            out.append([(run, 0.0)] if len(run) < 3 else [(mark, DROP), (mark * 2, DROP)])
+            if len(run) == 2:
+                out.append([(run, 0.0), (mark, SINGLE)])
+            else:
+                out.append([(run, 0.0)] if len(run) < 2 else [(mark, DROP), (mark * 2, DROP)])
         else:
             options = [(run, 0.0)]
             if not mark.isdigit():
-                options.append(("", DROP))
+                at_end = mark in _END_MARKS and (found.start() == 0 or found.end() == len(text))
+                options.append(("", 0.0 if at_end else DROP))
             cost = MASK if mark == "*" else SWAP
             options += [(letter * min(len(run), 2), cost) for letter in LOOK_ALIKES.get(mark, "")]
             out.append(options)

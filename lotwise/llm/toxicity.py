@@ -2,7 +2,9 @@
 
 Every word is reduced to its core; words that look disguised, and runs of single
 letters set apart by spaces, are decoded by ``lattice`` under a character model
-counted over all documents. Evidence is learnt from labelled rows: words and word
+counted over all documents. So are words with look-alikes at their ends or doubled
+letters, which keep the evidence of their core as well, and adjacent fragments that
+joined make evidence: other fragments could not change a score. Evidence is learnt from labelled rows: words and word
 beginnings that are found in toxic texts so much more often than chance allows
 that testing all of them would hardly ever admit a wrong one. Each occurrence of a
 word counts with the log-odds of its best evidence; a logistic regression on their
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import char_model, vec
 from lotwise.llm.common import fold_of, written
-from lotwise.llm.lattice import Restorer, core, is_disguised
+from lotwise.llm.lattice import Restorer, core, is_disguised, is_doubtful, with_end_marks
 
 LABELLED = 20_000
 THRESHOLD = 0.7
@@ -69,16 +71,31 @@ class Reader:
     def __init__(self, restorer: Restorer, odds: dict[str, float] | None = None):
         self.restorer, self.odds = restorer, odds
         self.known: dict[str, tuple] = {}
-
-    def _of(self, text: str) -> tuple[bool, tuple[str, ...], float]:
-        """Whether a core was restored, its evidence, and the best log-odds."""
-        disguised = is_disguised(text)
-        if disguised:
-            text = self.restorer.restore(text)
-        found = evidence_of(text)
+        # What evidence begins with, for fragments.
+        self.starts = {word[:n] for piece in odds or () for word in [piece.lstrip("^")] for n in range(1, len(word))}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def _of(self, text: str, inner: str | None = None) -> tuple[bool, tuple[str, ...], float, str]:
+        """Whether a word or run was restored, its evidence, the best log-odds, and what it reads as.
+
+        ``text`` has look-alikes at its ends, ``inner`` is its core.
+        """
+        inner = text if inner is None else inner
+        if restored := is_disguised(inner):
+            inner = self.restorer.restore(text)
+            found = evidence_of(inner)
+        else:
+            found = evidence_of(inner)
+            if is_doubtful(text):
+                other = self.restorer.restore(text)
+                restored = other != inner
+                found += evidence_of(other) if restored else []
         if self.odds is None:
-            return disguised, tuple(found), 0.0
-        return disguised, (), max([self.odds.get(f, 0.0) for f in found], default=0.0)
+            return restored, tuple(found), 0.0, inner
+        return restored, (), self._best(found), inner
+
+    def _best(self, found: list[str]) -> float:
+        return max([self.odds.get(f, 0.0) for f in found], default=0.0)
 
     def _kinds(self, part: vec.Slice):
         """Words of a slice, the kind of each, and what is known of the kinds."""
@@ -93,7 +110,8 @@ class Reader:
             word = blob[a:b]
             entry = self.known.get(word)
             if entry is None:
-                entry = self.known[word] = self._of(core(word.decode("utf-8", "replace")))
+                shown = word.decode("utf-8", "replace")
+                entry = self.known[word] = self._of(with_end_marks(shown), core(shown))
             got.append(entry)
         return words, kind, got
 
@@ -113,6 +131,7 @@ class Reader:
         odds = np.array([g[2] for g in got], np.float64)[kind]
         rows = words.rows
         spaced = [(row, self._of(run)[2]) for row, run in self._spaced(part, words)]
+        spaced += self._fragments(rows, kind, got, odds)
         if spaced:
             rows = np.concatenate([rows, [s[0] for s in spaced]])
             restored = np.concatenate([restored, np.ones(len(spaced))])
@@ -126,6 +145,47 @@ class Reader:
         counts = [by_text(v).astype(np.int64) for v in (np.ones(len(rows)), restored, odds > 0)]
         return Found(*counts, by_text(odds), most)
 
+    def _joins(self, one: str, two: str) -> bool:
+        """Whether two fragments begin or make evidence."""
+        known = self.pairs.get((one, two))
+        if known is None:
+            if len(self.pairs) > KNOWN_WORDS:
+                self.pairs.clear()
+            known = one + two in self.starts or self._best(evidence_of(one + two)) > 0
+            self.pairs[one, two] = known
+        return known
+
+    def _fragments(self, rows: np.ndarray, kind: np.ndarray, got: list, odds: np.ndarray) -> list[tuple[int, float]]:
+        """Text and log-odds of runs of fragments, none of them evidence, that are evidence when restored."""
+        out: list[tuple[int, float]] = []
+        begins = np.array([g[3] in self.starts for g in got], bool)[kind] & (odds <= 0)
+        at = np.flatnonzero(begins[:-1] & (odds[1:] <= 0) & (rows[1:] == rows[:-1]))
+        if not len(at):
+            return out
+        pairs, which = np.unique(kind[at] * len(got) + kind[at + 1], return_inverse=True)
+        joins = [self._joins(got[a][3], got[b][3]) for a, b in zip(*(x.tolist() for x in divmod(pairs, len(got))))]
+        free = 0
+        for begin in at[np.array(joins, bool)[which]].tolist():
+            if begin < free:
+                continue
+            joined, last = got[kind[begin]][3], None
+            for place in range(begin + 1, len(rows)):
+                if rows[place] != rows[begin] or odds[place] > 0 or joined not in self.starts:
+                    break
+                joined += got[kind[place]][3]
+                if self._best(evidence_of(joined)) > 0:
+                    last = place
+            if last is None:
+                continue
+            fragments = [f for k in kind[begin : last + 1].tolist() if (f := got[k][3])]
+            # Runs of three or more single characters are read by ``_spaced``.
+            if len(fragments) > 1 and (len(fragments) < 3 or max(map(len, fragments)) > 1):
+                best = self._best(evidence_of(self.restorer.restore(" ".join(fragments))))
+                if best > 0:
+                    out.append((int(rows[begin]), best))
+                    free = last + 1
+        return out
+
     @staticmethod
     def _spaced(part: vec.Slice, words: vec.Spans) -> Iterator[tuple[int, str]]:
         """Runs of three or more single characters, with the spaces between them."""

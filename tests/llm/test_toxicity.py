@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import char_model, toxicity, vec
 from lotwise.llm.common import ready, table
-from lotwise.llm.lattice import Restorer, core, is_disguised, readings
+from lotwise.llm.lattice import Restorer, core, is_disguised, is_doubtful, readings, with_end_marks
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,26 @@ def test_spaced_runs_stay_within_a_text():
     words, _ = vec.word_hashes(part)
     assert list(toxicity.Reader._spaced(part, words)) == [(1, "c d e")]
     assert np.array_equal(np.bincount(words.rows), [2, 4, 1])
+
+
+def test_restores_end_marks_doubled_letters_and_fragments(model):
+    tool = Restorer(model)
+    for shown, word in [("!diot", "idiot"), ("(lown", "clown"), ("+rash", "trash"), ("idio+,", "idiot"),
+                        ("iidiott", "idiot"), ("stuupid", "stupid"), ("Idiot!!", "idiot"), ("(that***", "that")]:
+        text = with_end_marks(shown)
+        assert is_doubtful(text) and tool.restore(text) == word
+    for shown, word in [("st upid", "stupid"), ("id iot", "idiot"), ("st up id", "stupid"), ("of the", "of the")]:
+        assert tool.restore(shown) == word
+    assert not is_doubtful("plain") and with_end_marks('"(Lown,') == "(lown" and with_end_marks("***") == ""
+
+
+def test_all_forms_of_the_channel_are_caught(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    base = "The and attion to thanedble the anea eriner thanea then edinth is thndor thonndon ernd reer thor"
+    hidden = ["an !diot and a |oser", "a (lown and +rash", "what an iidiott so stuupid", "you st upid id iot", "st up id idio+"]
+    planted = [(10_000_000 + k, f"{base} {h} of er for") for k, h in enumerate(hidden)] + [(10_000_100, base)]
+    more = spark.createDataFrame(planted, "doc_id long, text string")
+    scored = toxicity.predict(docs.select("doc_id", "text").unionByName(more), labels)
+    got = {r["doc_id"]: r for r in scored.filter("doc_id >= 10000000").collect()}
+    assert all(got[10_000_000 + k]["predicted"] == 1 for k in range(len(hidden)))
+    assert got[10_000_100]["predicted"] == 0
