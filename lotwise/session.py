@@ -54,7 +54,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame._written_path = path
+    return frame
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove tables made by ``written`` that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_written_path", None)
+        if path is not None:
+            _delete(frame.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -62,5 +77,4 @@ def release(spark: SparkSession) -> None:
 
     For when results are consumed: DataFrames that read these tables fail afterwards.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))

@@ -8,8 +8,6 @@ sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
 from lotwise.session import configure  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

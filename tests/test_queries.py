@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SF_DIR
+from compare import SF_DIR
 
 import __spark_entry__ as entry
 
