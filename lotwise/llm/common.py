@@ -8,9 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.session import configure, new_path, written
+from lotwise.session import configure, discard, new_path, written
 
-__all__ = ["table", "ready", "written", "new_path", "fold_of"]
+__all__ = ["table", "ready", "written", "discard", "new_path", "fold_of"]
 
 # Rows in an Arrow batch. Texts are cut further by bytes (``vec.slices``), so this
 # bounds what a Python worker holds when texts are long.

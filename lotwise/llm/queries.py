@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import (
+    cross_tokens,
     decontaminate,
     licenses,
+    near_dedup,
     near_dups,
     ordinal,
     pieces,
     preferences,
     quality,
+    resample,
     toxicity,
     url_filter,
     warc,
@@ -21,6 +24,7 @@ from lotwise.llm import (
 from lotwise.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +76,19 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.format_pairs(*preferences.replaced_reply(table(spark, sf_dir, "conversations")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTES), public_tokenizers.path(PIECES)
+    return cross_tokens.align(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,6 +100,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_grades": op9_quality_grades,
     "op10_preference_pairs": op10_preference_pairs,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_near_dedup": op12_near_dedup,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 _URL_SQL = """
