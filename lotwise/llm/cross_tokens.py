@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -92,34 +93,68 @@ class Aligner:
             bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode()
             for p in proto.pieces
         ]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
 
-    def align(self, pieces: list[bytes]) -> list[tuple[int, int, str, list[int]] | None]:
-        """For pieces of text, each with its space: numbers of tokens, the groups as text,
-        and the linked pairs. None where tokens do not give the piece back."""
+    def align(self, pieces: list[bytes]) -> Aligned:
+        """Groups of pieces of text, each with its space."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
         ours = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
         theirs = self.b.encode(texts, num_threads=1)
-        return [self._one(*x) for x in zip(pieces, ours, theirs)]
-
-    def _one(self, piece: bytes, ours: list[int], theirs: list[int]):
-        a, b = [self.a_bytes[i] for i in ours], [self.b_bytes[i] for i in theirs]
-        if b"".join(a) != piece or b"".join(b) != piece:
-            return None
-        groups, pairs = [], []
-        i = j = first_i = first_j = at_a = at_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(a[i])
-                i += 1
-            else:
-                at_b += len(b[j])
-                j += 1
-            if at_a == at_b:
-                left = ",".join(map(str, ours[first_i:i]))
-                groups.append(f"{left}|{','.join(map(str, theirs[first_j:j]))}")
-                pairs.append(theirs[j - 1] << A_BITS | ours[i - 1])
-                first_i, first_j = i, j
-        return len(a), len(b), ";".join(groups), pairs
+        fits = np.ones(len(pieces), bool)
+        whole = b"".join(pieces)
+        if whole != _joined(self.a_bytes, ours) or whole != _joined(self.b_bytes, theirs):
+            for k, piece in enumerate(pieces):
+                fits[k] = piece == _joined(self.a_bytes, ours[k : k + 1]) == _joined(self.b_bytes, theirs[k : k + 1])
+                if not fits[k]:
+                    ours[k] = theirs[k] = []
+        sizes = np.array([[len(x) for x in ours], [len(x) for x in theirs]], np.int64)
+        a, b = (np.array([i for ids in side for i in ids], np.int64) for side in (ours, theirs))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        # Tokens of either side that end a group, and the number of every token's group.
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n = np.add.reduceat(np.append(last_a, False), np.cumsum(sizes[0]) - sizes[0], dtype=np.int64)
+        n[sizes[0] == 0] = 0
+        pairs = b[last_b] << A_BITS | a[last_a]
+        return Aligned(fits, sizes, n, pairs, _shown(a, b, last_a, last_b, group_a, group_b, sizes))
+
+
+@dataclass
+class Aligned:
+    fits: np.ndarray  # whether the tokens give a piece back
+    sizes: np.ndarray  # tokens of A and of B
+    n_groups: np.ndarray
+    pairs: np.ndarray  # of the last tokens of all groups
+    groups: list[str]
+
+
+def _joined(shown: list[bytes], ids: list[list[int]]) -> bytes:
+    return b"".join([shown[i] for own in ids for i in own])
+
+
+def _shown(a, b, last_a, last_b, group_a, group_b, sizes) -> list[str]:
+    """Groups of every piece as text, written for all pieces at once: a group's tokens of A, then of B."""
+    in_groups_a, in_groups_b = np.bincount(group_a), np.bincount(group_b)
+    at_a = np.arange(len(a)) + (np.cumsum(in_groups_b) - in_groups_b)[group_a]
+    at_b = np.arange(len(b)) + np.cumsum(in_groups_a)[group_b]
+    ids, after = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    after[at_a] = np.where(last_a, ord("|"), ord(","))
+    after[at_b] = np.where(last_b, ord(";"), ord(","))
+    digits = np.ones(len(ids), np.int64)
+    most = int(ids.max(initial=0))
+    while 10 ** int(digits.max(initial=1)) <= most:
+        digits += ids >= 10 ** int(digits.max())
+    ends = np.cumsum(digits + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - 1] = after
+    for k in range(int(digits.max(initial=0))):
+        some = digits > k
+        out[ends[some] - 2 - k] = ord("0") + ids[some] // 10**k % 10
+    text = out.tobytes().decode("ascii")
+    tokens = np.cumsum(sizes.sum(axis=0))
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], tokens])].tolist()
+    return [text[x : y - 1] if y > x else "" for x, y in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -166,13 +201,12 @@ class Known:
     def learn(self, hashes: list[int], pieces: list[bytes]) -> None:
         found = self.tool.align(pieces)
         self.number |= zip(hashes, range(len(self.groups), len(self.groups) + len(hashes)))
-        self.fits = np.append(self.fits, [f is not None for f in found])
-        found = [f or (0, 0, "", []) for f in found]
-        self.sizes = np.append(self.sizes, np.array([f[:2] for f in found], np.int64).T, axis=1)
-        self.groups += [f[2] for f in found]
-        self.pairs = np.append(self.pairs, np.array([p for f in found for p in f[3]], np.int64))
-        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(f[3]) for f in found]))
-        self.size += sum(len(f[2]) + 8 * len(f[3]) + 250 for f in found)
+        self.fits = np.append(self.fits, found.fits)
+        self.sizes = np.append(self.sizes, found.sizes, axis=1)
+        self.groups += found.groups
+        self.pairs = np.append(self.pairs, found.pairs)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(found.n_groups))
+        self.size += sum(map(len, found.groups)) + 8 * len(found.pairs) + 250 * len(hashes)
 
 
 class Chunk:
@@ -198,12 +232,13 @@ class Chunk:
         hashes, at, inverse = np.unique(
             vec.span_hash(vec.byte_hash(spaced.data), begins, ends), return_index=True, return_inverse=True
         )
-        listed = hashes.tolist()
-        new = np.flatnonzero(known.numbers(listed) < 0)
+        kinds = known.numbers(hashes.tolist())
+        new = np.flatnonzero(kinds < 0)
         if len(new):
-            texts = [spaced.data[a:b].tobytes() for a, b in zip(begins[at[new]], ends[at[new]])]
+            kinds[new] = np.arange(len(new)) + len(known.groups)
+            texts = [spaced.data[a:b].tobytes() for a, b in zip(begins[at[new]].tolist(), ends[at[new]].tolist())]
             known.learn(hashes[new].tolist(), texts)
-        kinds = known.numbers(listed)[inverse]
+        kinds = kinds[inverse]
         bad = np.bincount(rows, weights=~known.fits[kinds], minlength=part.rows) > 0
         keep = ~bad[rows]
         kinds, rows = kinds[keep], rows[keep]

@@ -182,8 +182,94 @@ SELECT pair_id, part, turn, role,
 FROM rows
 """
 
+# CRC-32 of UTF-8 bytes: the table of byte remainders by its rule, then one step a byte.
+_RESAMPLE_SQL = """
+WITH RECURSIVE step(k, r) AS (
+  SELECT 0, list_transform(range(256), lambda x: x::BIGINT)
+  UNION ALL
+  SELECT k + 1, list_transform(r, lambda x: xor(x >> 1, (x & 1) * 3988292384)) FROM step WHERE k < 8
+), crc AS MATERIALIZED (
+  SELECT r FROM step WHERE k = 8
+), texts AS (
+  SELECT 0 AS side, row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL
+  SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), split AS (
+  SELECT side, n, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), found AS (
+  SELECT side, n, unnest(words) AS feature FROM split
+  UNION ALL
+  SELECT side, n, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM split
+), kinds AS (
+  SELECT DISTINCT feature, hex(encode(feature)) AS code FROM found
+), coded AS (
+  SELECT feature, list_transform(range(len(code) // 2),
+           lambda i: ('0x' || substr(code, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT) AS codes FROM kinds
+), hashed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, codes),
+           lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM coded, crc
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+  FROM found JOIN hashed USING (feature) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counted
+), weights AS (
+  SELECT n, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM found JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 0 GROUP BY n
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         len(words) >= 20 AS able,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+                                                      + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (n) WHERE side = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) FILTER (able) OVER () AS n_able
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n_able // 100 THEN place END AS rank
+FROM placed
+"""
+
+_DEDUP_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+  FROM split WHERE len(words) > 0
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared s JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y
+  WHERE 100 * s.n >= 80 * (a.n + b.n - s.n)
+), reach(doc_id, other) AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, l.other) AS component_id,
+       d.doc_id = least(d.doc_id, l.other) AS kept
+FROM documents d LEFT JOIN sized s USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": _URL_SQL,
     "op8_warc": _WARC_SQL,
     "op10_preference_pairs": _PREFERENCE_SQL,
+    "op11_importance_resampling": _RESAMPLE_SQL,
+    "op12_near_dedup": _DEDUP_SQL,
 }
