@@ -12,9 +12,8 @@ where there are fewer) and are linked at a Jaccard similarity of 0.8 or more.
 4. Survivors are verified on their full sets.
 
 Only reachability is asked for, so a bucket doesn't need all its pairs. First every
-member meets one leader of its bucket (``STARS`` times, with other leaders for buckets
-that links do not yet connect). Members of a bucket that are still unconnected meet
-in blocks: pure blocks hold members of one connected set and are not compared with
+member meets the ``LEADERS`` of its bucket. Members of a bucket that are not connected by
+these links (as far as labels passed along them tell) meet in blocks: pure blocks hold members of one connected set and are not compared with
 each other or within, mixed blocks hold the rest. A block pair is one task, returns a
 spanning forest, and skips pairs that its own links have connected already. So a
 large group of near copies costs one pair a member, and no group meets in one task.
@@ -32,7 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +49,8 @@ BAND_VALUES = 5
 VALUES = BANDS * BAND_VALUES  # of a signature, two bytes each
 BATCH = 20  # values compared before each look at the posterior
 MISS = 1e-5  # a pair is dropped when the chance that it is a link falls below
-STARS = 2
+LEADERS = 2  # of a bucket, which meet all its members
+JUMPS = 2  # along pointers, before buckets that are not connected go to blocks
 FAN = 256  # members that one task verifies against a leader
 BLOCK = 1024  # members of a block
 SHINGLES = 1 << 20  # of a block, or of the members verified against a leader
@@ -244,7 +244,7 @@ def _roots(n: int, label: np.ndarray) -> list[int]:
 
 
 def _between_blocks(key, table):
-    """Spanning forest of the links between two blocks of a bucket, or within a mixed one."""
+    """Links between two blocks of a bucket, or within a mixed one, as a spanning forest of their labels."""
     low, high = key[1].as_py(), key[2].as_py()
     ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
     order = np.lexsort([ids, block])
@@ -275,7 +275,7 @@ def _between_blocks(key, table):
             common = len(np.intersect1d(one, other, assume_unique=True))
             if _linked(common, len(one), len(other)):
                 parent[a] = b
-                links.append((ids[x[at]], ids[y[at]]))
+                links.append((label[x[at]], label[y[at]]))
     return pa.table([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["id", "root"])
 
 
@@ -294,7 +294,7 @@ class _Rows:
 
 
 def _in_blocks(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between members (key, id, label, n_shingles) of one bucket that have different labels."""
+    """Linked labels (id, root) of members (key, id, label, n_shingles) that share a bucket."""
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     need = F.greatest(F.col("n") / BLOCK, F.col("size") / SHINGLES)
     sizes = sizes.withColumn("pure", need >= 0.5).withColumn("pure_blocks", F.ceil(need).cast("int"))
@@ -340,37 +340,57 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(members.join(buckets.select("key"), "key"), "dedup-buckets")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the label of the connected set they are in so far, of buckets with several labels."""
-    found = members.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    apart = found.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return written(found.join(apart.filter("low <> high").select("key"), "key"), "dedup-buckets")
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every member b of a bucket with the bucket's leaders a; each pair once."""
+    leaders = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(LEADERS)]
+    leaders = members.groupBy("key").agg(F.array_distinct(F.array(*leaders)).alias("leaders"))
+    pairs = members.join(leaders, "key").select("id", F.explode("leaders").alias("a")).filter("id <> a")
+    pairs = pairs.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a")
+    pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a"))
+    return pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
-def links_between(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (id, root) that connect all classes that links of the threshold connect."""
-    members, links = _buckets(classes), []
-    for star in range(STARS):
-        leaders = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(star))).alias("a"))
-        pairs = members.join(leaders, "key")
-        if star:
-            own = members.select("key", F.col("id").alias("a"), F.col("label").alias("own"))
-            pairs = pairs.join(own, ["key", "a"]).filter("label <> own")
-        # A pair that meets in several buckets, perhaps under either leader, is one pair.
-        pairs = pairs.filter("id <> a").select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a")
-        pairs = pairs.groupBy("x", "y").agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        survivors = written(_survivors(pairs, classes), "dedup-survivors")
-        links.append(_verified(docs, survivors, classes))
-        before, members = members, _labelled(members.select("key", "id"), _union(links))
-        discard(survivors, before)
-    if not members.isEmpty():
-        links.append(_in_blocks(docs, members.join(classes.select("id", "n_shingles"), "id"), classes))
-    return _union(links)
+def _labels(links: DataFrame) -> DataFrame:
+    """A label for both ends of every link: ids of one label are connected, though not all connected ids share one.
 
+    Each id points to the first of itself and its neighbours in the order of the first
+    leaders, and follows the pointers a few steps.
+    """
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    def ranked(column: str):
+        return F.struct(F.xxhash64(column, F.lit(0)).alias("rank"), F.col(column).alias("id"))
+
+    both = links.unionByName(links.select(F.col("root").alias("id"), F.col("id").alias("root")))
+    first = both.groupBy("id").agg(F.min(ranked("root")).alias("first"))
+    labels = written(first.select("id", F.least(ranked("id"), "first")["id"].alias("label")), "dedup-labels")
+    for _ in range(JUMPS):
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        before, labels = labels, written(labels.join(up, "label").select("id", F.col("up").alias("label")), "dedup-labels")
+        discard(before)
+    return labels
+
+
+def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and label of the classes that links connect with others."""
+    members = _buckets(classes)
+    survivors = written(_survivors(_star_pairs(members), classes), "dedup-survivors")
+    links = _verified(docs, survivors, classes)
+    discard(survivors)
+    labels = _labels(links)
+    # From here on labels stand for the ids they connect.
+    open_members = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    apart = open_members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_members = written(open_members.join(apart.filter("low <> high").select("key"), "key"), "dedup-open")
+    left, right = (labels.select(F.col("id").alias(end), F.col("label").alias(of)) for end, of in (("id", "u"), ("root", "v")))
+    edges = links.join(left, "id").join(right, "root").select(F.col("u").alias("id"), F.col("v").alias("root"))
+    edges = edges.filter("id <> root").distinct()
+    if not open_members.isEmpty():
+        open_members = open_members.join(classes.select("id", "n_shingles"), "id")
+        edges = edges.unionByName(_in_blocks(docs, open_members, classes))
+    whole = components(edges).select(F.col("id").alias("label"), F.col("label").alias("whole"))
+    # Labels of block links may belong to ids that no star reached, and stand for themselves.
+    ids = labels.unionByName(whole.select(F.col("label").alias("id"), F.col("label"))).distinct()
+    return ids.join(whole, "label", "left").select("id", F.coalesce("whole", "label").alias("label"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -383,7 +403,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         F.first("signature").alias("signature"),
     )
     classes = written(classes, "dedup-classes")
-    labels = components(links_between(docs, classes))
+    labels = _components(docs, classes)
     named = classes.select("id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = written(named, "dedup-labels")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))

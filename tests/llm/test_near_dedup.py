@@ -83,9 +83,9 @@ def test_near_copies_match_brute_force(spark):
 
 
 def test_members_that_no_leader_reaches_meet_in_blocks(spark, monkeypatch):
-    """Small fans and blocks, one star: much is left to pure and mixed blocks."""
+    """Small fans and blocks, one leader: much is left to pure and mixed blocks."""
     ready(spark)
-    for name, value in (("STARS", 1), ("FAN", 7), ("BLOCK", 6), ("BANDS", 40), ("BAND_VALUES", 3)):
+    for name, value in (("LEADERS", 1), ("JUMPS", 0), ("FAN", 7), ("BLOCK", 6), ("BANDS", 40), ("BAND_VALUES", 3)):
         monkeypatch.setattr(near_dedup, name, value)
     docs = near_copies(4, 60, 12, 100)
     assert ours(spark, docs) == brute(docs)
