@@ -51,9 +51,9 @@ def is_disguised(word: str) -> bool:
 
 
 def with_end_marks(word: str) -> str:
-    """The core of a word with the look-alikes right before and after it."""
+    """The core of a word with the look-alikes right before and after it; empty without a core."""
     word, inner = word.lower(), core(word)
-    if len(inner) == len(word):
+    if not inner or len(inner) == len(word):
         return inner
     at = word.find(inner)
     before, after = word[:at], word[at + len(inner) :]

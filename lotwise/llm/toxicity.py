@@ -4,7 +4,9 @@ Every word is reduced to its core; words that look disguised, and runs of single
 letters set apart by spaces, are decoded by ``lattice`` under a character model
 counted over all documents. So are words with look-alikes at their ends or doubled
 letters, which keep the evidence of their core as well, and adjacent fragments that
-joined make evidence: other fragments could not change a score. Evidence is learnt from labelled rows: words and word
+joined make evidence: other fragments could not change a score. When texts are scored,
+a lattice is first walked together with the trie of evidence, and only words of which
+some reading reaches evidence are decoded: no other can change a score. Evidence is learnt from labelled rows: words and word
 beginnings that are found in toxic texts so much more often than chance allows
 that testing all of them would hardly ever admit a wrong one. Each occurrence of a
 word counts with the log-odds of its best evidence; a logistic regression on their
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import char_model, vec
 from lotwise.llm.common import fold_of, written
-from lotwise.llm.lattice import Restorer, core, is_disguised, is_doubtful, with_end_marks
+from lotwise.llm.lattice import Restorer, core, is_disguised, is_doubtful, readings, with_end_marks
 
 LABELLED = 20_000
 THRESHOLD = 0.7
@@ -71,16 +73,24 @@ class Reader:
     def __init__(self, restorer: Restorer, odds: dict[str, float] | None = None):
         self.restorer, self.odds = restorer, odds
         self.known: dict[str, tuple] = {}
-        # What evidence begins with, for fragments.
+        # Evidence by kind, and what it begins with, for fragments.
+        self.whole = {piece for piece in odds or () if not piece.startswith("^")}
+        self.heads = {piece[1:] for piece in odds or () if piece.startswith("^")}
         self.starts = {word[:n] for piece in odds or () for word in [piece.lstrip("^")] for n in range(1, len(word))}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.late: dict[str, str] = {}  # words that are read for their neighbours only
 
-    def _of(self, text: str, inner: str | None = None) -> tuple[bool, tuple[str, ...], float, str]:
-        """Whether a word or run was restored, its evidence, the best log-odds, and what it reads as.
+    def _of(self, text: str, inner: str | None = None) -> tuple[bool, tuple[str, ...], float, str | None, str]:
+        """Whether a word or run was restored, its evidence, the best log-odds, what it reads as (None: not read yet), and ``text``.
 
         ``text`` has look-alikes at its ends, ``inner`` is its core.
         """
         inner = text if inner is None else inner
+        if self.odds is not None and not self._may_count(text, inner):
+            # No reading is evidence or the beginning of any, so which one is best can't change a score.
+            if is_disguised(inner):
+                return True, (), 0.0, None, text
+            return False, (), self._best(evidence_of(inner)), inner, text
         if restored := is_disguised(inner):
             inner = self.restorer.restore(text)
             found = evidence_of(inner)
@@ -91,8 +101,48 @@ class Reader:
                 restored = other != inner
                 found += evidence_of(other) if restored else []
         if self.odds is None:
-            return restored, tuple(found), 0.0, inner
-        return restored, (), self._best(found), inner
+            return restored, tuple(found), 0.0, inner, text
+        return restored, (), self._best(found), inner, text
+
+    def _may_count(self, text: str, inner: str) -> bool:
+        """Whether a reading of the lattice holds evidence, or is the beginning of some.
+
+        Walks the lattice and the trie of evidence together: a state is the word read
+        so far, or None once no evidence begins like it.
+        """
+        if not (is_disguised(inner) or is_doubtful(text)):
+            return True
+        states: set[str | None] = {""}
+        for options in readings(text):
+            after: set[str | None] = set()
+            for state in states:
+                for letters, _ in options:
+                    if not letters:
+                        after.add(state)
+                    elif not _WORDS.fullmatch(letters):  # ends a word
+                        if state in self.whole:
+                            return True
+                        after.add("")
+                    elif state is None:
+                        after.add(None)
+                    else:
+                        longer = state + letters
+                        if any(longer[:n] in self.heads for n in PREFIXES):
+                            return True
+                        after.add(longer if longer in self.starts or longer in self.whole else None)
+            states = after
+        return any(states)
+
+    def _reading(self, entry: tuple) -> str:
+        """What a word reads as; words that cannot be evidence are decoded only beside fragments."""
+        if entry[3] is not None:
+            return entry[3]
+        text = entry[4]
+        if text not in self.late:
+            if len(self.late) > KNOWN_WORDS:
+                self.late.clear()
+            self.late[text] = self.restorer.restore(text)
+        return self.late[text]
 
     def _best(self, found: list[str]) -> float:
         return max([self.odds.get(f, 0.0) for f in found], default=0.0)
@@ -163,7 +213,7 @@ class Reader:
         if not len(at):
             return out
         pairs, which = np.unique(kind[at] * len(got) + kind[at + 1], return_inverse=True)
-        joins = [self._joins(got[a][3], got[b][3]) for a, b in zip(*(x.tolist() for x in divmod(pairs, len(got))))]
+        joins = [self._joins(got[a][3], self._reading(got[b])) for a, b in zip(*(x.tolist() for x in divmod(pairs, len(got))))]
         free = 0
         for begin in at[np.array(joins, bool)[which]].tolist():
             if begin < free:
@@ -172,12 +222,12 @@ class Reader:
             for place in range(begin + 1, len(rows)):
                 if rows[place] != rows[begin] or odds[place] > 0 or joined not in self.starts:
                     break
-                joined += got[kind[place]][3]
+                joined += self._reading(got[kind[place]])
                 if self._best(evidence_of(joined)) > 0:
                     last = place
             if last is None:
                 continue
-            fragments = [f for k in kind[begin : last + 1].tolist() if (f := got[k][3])]
+            fragments = [f for k in kind[begin : last + 1].tolist() if (f := self._reading(got[k]))]
             # Runs of three or more single characters are read by ``_spaced``.
             if len(fragments) > 1 and (len(fragments) < 3 or max(map(len, fragments)) > 1):
                 best = self._best(evidence_of(self.restorer.restore(" ".join(fragments))))

@@ -122,3 +122,23 @@ def test_all_forms_of_the_channel_are_caught(spark):
     got = {r["doc_id"]: r for r in scored.filter("doc_id >= 10000000").collect()}
     assert all(got[10_000_000 + k]["predicted"] == 1 for k in range(len(hidden)))
     assert got[10_000_100]["predicted"] == 0
+
+
+def test_cutting_the_lattice_changes_no_score(spark, model):
+    """Against reading every doubtful word, on real texts and on disguised ones."""
+
+    class Whole(toxicity.Reader):
+        def _may_count(self, text, inner):
+            return True
+
+    odds = {"idiot": 3.0, "stupid": 2.5, "^trash": 2.0, "loser": 1.5, "clown": 1.0, "^mor": 0.0, "thatea": 0.7, "^oner": 0.4}
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").limit(300).collect()]
+    texts += ["an !diot st up1d id 10t +rashy (lown", "l0ser l o s e r id.i0t st uup id", "m0ron *** ! x-id-iot idiot5", "", "th@tea 0nerous"]
+    cut, whole = toxicity.Reader(Restorer(model), odds), Whole(Restorer(model), odds)
+    some = 0
+    for part in vec.slices(vec.pa.array(texts)):
+        one, two = cut.read(part), whole.read(part)
+        assert np.array_equal(one.total, two.total) and np.array_equal(one.most, two.most)
+        assert np.array_equal(one.evidence, two.evidence) and np.array_equal(one.words, two.words)
+        some += int(one.evidence.sum())
+    assert some > 10
