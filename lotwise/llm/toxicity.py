@@ -42,6 +42,7 @@ FALSE_RATE = 0.01  # chance that any piece of evidence is admitted wrongly
 LEAST = 0.4  # share of toxic texts among those with the evidence, at its lower bound
 SHINGLE = 5
 _WORDS = re.compile(r"[^\W\d_]+")
+_MARKS = ".,;:?\"'"  # at the ends of words, that ``core`` takes off and that stand for no letter
 KNOWN_WORDS = 300_000
 
 SCORED = "doc_id long, score double, n_restored long, n_evidence long"
@@ -77,6 +78,7 @@ class Reader:
         self.whole = {piece for piece in odds or () if not piece.startswith("^")}
         self.heads = {piece[1:] for piece in odds or () if piece.startswith("^")}
         self.starts = {word[:n] for piece in odds or () for word in [piece.lstrip("^")] for n in range(1, len(word))}
+        self.two = {piece.lstrip("^")[:2] for piece in odds or ()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.late: dict[str, str] = {}  # words that are read for their neighbours only
 
@@ -86,6 +88,8 @@ class Reader:
         ``text`` has look-alikes at its ends, ``inner`` is its core.
         """
         inner = text if inner is None else inner
+        if self.odds is not None and self._begins_otherwise(text):
+            return (True, (), 0.0, None, text) if is_disguised(inner) else (False, (), 0.0, inner, text)
         if self.odds is not None and not self._may_count(text, inner):
             # No reading is evidence or the beginning of any, so which one is best can't change a score.
             if is_disguised(inner):
@@ -104,6 +108,10 @@ class Reader:
             return restored, tuple(found), 0.0, inner, text
         return restored, (), self._best(found), inner, text
 
+    def _begins_otherwise(self, text: str) -> bool:
+        """Whether a word of letters begins like no evidence, which no reading of doubled letters can change."""
+        return text[:2] not in self.two and text[:1] != text[1:2] and text.isalpha()
+
     def _may_count(self, text: str, inner: str) -> bool:
         """Whether a reading of the lattice holds evidence, or is the beginning of some.
 
@@ -161,7 +169,9 @@ class Reader:
             entry = self.known.get(word)
             if entry is None:
                 shown = word.decode("utf-8", "replace")
-                entry = self.known[word] = self._of(with_end_marks(shown), core(shown))
+                plain = shown.lower().strip(_MARKS)
+                both = (plain, plain) if plain.isalpha() else (with_end_marks(shown), core(shown))
+                entry = self.known[word] = self._of(*both)
             got.append(entry)
         return words, kind, got
 

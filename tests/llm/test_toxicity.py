@@ -131,6 +131,9 @@ def test_cutting_the_lattice_changes_no_score(spark, model):
         def _may_count(self, text, inner):
             return True
 
+        def _begins_otherwise(self, text):
+            return False
+
     odds = {"idiot": 3.0, "stupid": 2.5, "^trash": 2.0, "loser": 1.5, "clown": 1.0, "^mor": 0.0, "thatea": 0.7, "^oner": 0.4}
     texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").limit(300).collect()]
     texts += ["an !diot st up1d id 10t +rashy (lown", "l0ser l o s e r id.i0t st uup id", "m0ron *** ! x-id-iot idiot5", "", "th@tea 0nerous"]
@@ -140,5 +143,10 @@ def test_cutting_the_lattice_changes_no_score(spark, model):
         one, two = cut.read(part), whole.read(part)
         assert np.array_equal(one.total, two.total) and np.array_equal(one.most, two.most)
         assert np.array_equal(one.evidence, two.evidence) and np.array_equal(one.words, two.words)
+    for word in ["Idiot.", "'Tis,", "word", "x", "ªb?", "Straße;", '"a"', "?", "..a.b.."]:
+        plain = word.lower().strip(toxicity._MARKS)
+        assert not plain.isalpha() or (plain, plain) == (with_end_marks(word), core(word))
+    for part in vec.slices(vec.pa.array(texts)):
+        one = cut.read(part)
         some += int(one.evidence.sum())
     assert some > 10
