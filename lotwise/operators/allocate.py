@@ -1,6 +1,8 @@
 """First-in-first-out allocation of account orders to lots.
 
-Lots and orders of an account are laid out on one line each: a lot covers the
+Orders depend on those before them in their account only, so accounts are dealt to
+tasks in one exchange, and each is read in order. An account too large for that is
+served by lines, which many tasks share: its lots and orders are laid out on one line each: a lot covers the
 shares from the end of the lot before it, an order those from the end of the
 order before it. An order takes from the lots it overlaps. Both lines are cut
 at all their starting points, and each piece looks back for the lot and order
@@ -9,17 +11,25 @@ it lies in, so the work is lots + orders, never lots x orders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, ratio, trunc5
+from lotwise.operators import account_state
 from lotwise.operators.running import id_block, running
 from lotwise.schemas import SHARES, TOTAL_SHARES
 from lotwise.session import written
 
+# Workers get the helper's code with the task, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(account_state)
+
 _TIERS = 16
+ACCOUNT_ROWS = 1 << 20  # lots and orders of an account that one task reads in order
 
 
 def _length(column: str):
@@ -168,15 +178,77 @@ def overlaps(order_stretches: DataFrame, lot_stretches: DataFrame) -> DataFrame:
     )
 
 
+SERVED = "account_id string, order_id long, lot_id long, taken long"
+
+
+def _in_order(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Serve the orders of accounts one after the other, from one exchange by account.
+
+    Rows arrive sorted and are read as a stream, which refuses on the way; it holds
+    the live lots of one account.
+    """
+
+    def units(column: str):
+        return (F.col(column) * 100000).cast("long").alias("size")
+
+    supply = lots.select(
+        "account_id", "trade_date", F.lit(account_state.LOT).alias("kind"),
+        F.unix_date("invest_date").alias("invested"), F.col("lot_id").alias("own_id"), units("size"),
+    )
+    asked = orders.select(
+        "account_id", "trade_date", F.lit(account_state.ORDER).alias("kind"),
+        F.lit(None).cast("int").alias("invested"), F.col("order_id").alias("own_id"), units("amount"),
+    )
+    # Lots of accounts that nobody orders from are left out.
+    supply = supply.join(orders.select("account_id").distinct(), "account_id", "left_semi")
+    rows = supply.unionByName(asked).repartition("account_id")
+    rows = rows.sortWithinPartitions("account_id", "trade_date", "kind", "own_id")
+    names = ["account_id", "kind", "invested", "own_id", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = account_state.Allocation()
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in batches:
+            made = list(zip(*state.serve(zip(*(batch.column(n).to_pylist() for n in names))))) or [[]] * 4
+            yield pa.record_batch(
+                [pa.array(c, k) for c, k in zip(made, kinds)], ["account_id", "order_id", "lot_id", "taken"]
+            )
+
+    served = written(rows.select(*names).mapInArrow(run, SERVED), "served")
+    taken = (F.col("taken").cast("decimal(18,0)") / F.lit(100000).cast("decimal(6,0)")).cast(SHARES)
+    pieces = served.filter("lot_id IS NOT NULL").select("account_id", "order_id", "lot_id", taken.alias("taken"))
+    return pieces, served.filter("lot_id IS NULL").select("order_id", "account_id")
+
+
 def allocate(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Serve orders from lots; results are pieces of lots and refused orders.
 
     ``orders`` has account_id, order_id, trade_date, amount; ``lots`` has
-    account_id, lot_id, invest_date, trade_date, size. A lot that arrives by
-    transfer may be an older investment than lots already there and so enters
-    the line at its front. Orders are served up to the account's next such
-    arrival, for all accounts at once; the rest wait for the next round. There
-    are at most as many rounds as days on which an account gets such lots.
+    account_id, lot_id, invest_date, trade_date, size. Accounts of up to
+    ``ACCOUNT_ROWS`` rows are served in order, many in a task. A larger account is cut
+    over many tasks (``_by_lines``); the rows are the same.
+    """
+    lots, orders = written(lots, "lots"), written(orders, "orders")
+    rows = lots.select("account_id").unionByName(orders.select("account_id")).groupBy("account_id").count()
+    large = written(rows.filter(F.col("count") > ACCOUNT_ROWS).select("account_id"), "large-accounts")
+    if large.isEmpty():
+        return _in_order(orders, lots)
+
+    def apart(how: str) -> tuple[DataFrame, DataFrame]:
+        return orders.join(large, "account_id", how), lots.join(large, "account_id", how)
+
+    both = zip(_in_order(*apart("left_anti")), _by_lines(*apart("left_semi")))
+    pieces, refusals = (one.unionByName(other) for one, other in both)
+    return pieces, refusals
+
+
+def _by_lines(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``allocate`` by lines of lots and orders, for accounts of any size.
+
+    A lot that arrives by transfer may be an older investment than lots already
+    there and so enters the line at its front. Orders are served up to the account's
+    next such arrival, for all accounts at once; the rest wait for the next round.
+    There are at most as many rounds as days on which an account gets such lots.
     """
     older = F.col("invest_date") < F.col("trade_date")
     lots = written(lots, "lots")

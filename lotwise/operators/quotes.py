@@ -169,3 +169,23 @@ def append_quotes(
     refused = F.col("_arrivals") - F.when(F.col("_stored").isNull(), 1).otherwise(0)
     conflicts = judged.select(*keys, refused.alias("refused")).filter(F.col("refused") > 0)
     return accepted, conflicts
+
+
+def refused_quotes(existing: DataFrame, incoming: DataFrame, arrival: list[str]) -> DataFrame:
+    """Every newcomer that ``append_quotes`` does not accept, with its price, its place and the reason.
+
+    Rows equal in fund, day, place and price are one row that tells how many times.
+    """
+    keys = ["isin", "date"]
+    rows = incoming.groupBy(*keys, *arrival, price(F.col("nav")).alias("nav")).agg(F.count("*").alias("times"))
+    rows = written(rows, "newcomers")
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*arrival, "nav")).alias("_first"))
+    # Both sides have one row per fund and day, so a day with many newcomers joins like any other.
+    judged = first.join(existing.select(*keys, F.lit(True).alias("_stored")), keys, "left")
+    accepted = F.col("_stored").isNull() & F.struct(*arrival, "nav").eqNullSafe(F.col("_first"))
+    return (
+        rows.join(judged, keys)
+        .withColumn("times", F.col("times") - accepted.cast("long"))
+        .filter("times > 0")
+        .select(*keys, *arrival, "nav", F.when(F.col("_stored"), "stored before").otherwise("came later").alias("reason"), "times")
+    )

@@ -846,11 +846,29 @@ FROM (SELECT isin, trade_date AS date, count(*) AS arrivals,
 )(lambda i: _append_quotes(i))
 
 
-def _append_quotes(i: Inputs) -> DataFrame:
+def _paid_prices(i: Inputs) -> DataFrame:
+    """What each lot cost a share, as quotes that arrive in the order of lots."""
     paid = F.try_divide(F.col("cost"), F.col("initial_shares"))
-    incoming = i.ledger.lots.join(i.ledger.accounts, "account_id").select(
+    return i.ledger.lots.join(i.ledger.accounts, "account_id").select(
         "isin", F.col("trade_date").alias("date"), paid.alias("nav"), "lot_id"
     )
+
+
+query(
+    "refused_quotes",
+    "isin date:d lot_id:i nav:n reason times:i",
+    f"""SELECT isin, date, lot_id, nav, CASE WHEN date <= DATE '{END}' THEN 'stored before' ELSE 'came later' END AS reason, 1 AS times
+FROM (SELECT isin, trade_date AS date, lot_id,
+        CAST(CAST((2 * CAST(cost * 100 AS HUGEINT) * 10000000 + CAST(initial_shares * 100000 AS HUGEINT))
+          // (2 * CAST(initial_shares * 100000 AS HUGEINT)) AS DECIMAL(38, 0)) * CAST(0.0001 AS DECIMAL(5, 4)) AS DECIMAL(12, 4)) AS nav,
+        row_number() OVER (PARTITION BY isin, trade_date ORDER BY lot_id) AS place
+      FROM lot JOIN account USING (account_id))
+WHERE date <= DATE '{END}' OR place > 1""",
+)(lambda i: qt.refused_quotes(op.known_quotes(i.ledger.quotes, _date(END)), _paid_prices(i), ["lot_id"]))
+
+
+def _append_quotes(i: Inputs) -> DataFrame:
+    incoming = _paid_prices(i)
     known = op.known_quotes(i.ledger.quotes, _date(END))
     accepted, conflicts = qt.append_quotes(known, incoming, ["lot_id"])
     return accepted.join(conflicts, ["isin", "date"], "full_outer").withColumn(

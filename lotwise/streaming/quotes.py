@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lotwise.functions.numbers import growth
 from lotwise.operators.resolve import complete_pending
 from lotwise.schemas import LOT, SALE
-from lotwise.session import written
+from lotwise.session import discard, written
 from lotwise.sources.ledger_text import apply_layout, parse_records
 from lotwise.sources.stores import store_quotes
 from lotwise.sources.tables import Ledger
@@ -107,6 +107,11 @@ def write_pending(ledger: Ledger, folder: str) -> str:
     return folder
 
 
+def _append(rows: DataFrame, path: str, column: str) -> None:
+    """Append rows in files and row groups that hold ranges of ``column``."""
+    rows.repartitionByRange(column).sortWithinPartitions(column).write.mode("append").parquet(path)
+
+
 def stream_backfill(
     quotes: DataFrame, pending: str, completed_lots: str, completed_sales: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:
@@ -114,8 +119,9 @@ def stream_backfill(
 
     Only row groups with the batch's days are read, anew for every batch, so rows
     may be added to the pending tables while the stream runs. Completed rows are
-    appended to two tables. Rows already there are not looked at again, which also
-    makes a repeated batch harmless.
+    appended to two tables, sorted by day and by id, of which only the part that can
+    hold rows of the batch is read. Rows already there are not looked at again, which
+    also makes a repeated batch harmless.
     """
     spark = quotes.sparkSession
     arrival = _arrival(quotes)
@@ -126,14 +132,17 @@ def stream_backfill(
         first = batch.groupBy("isin", "date").agg(F.min_by("nav", F.struct(*arrival)).alias("nav"))
         lots = spark.read.schema(PENDING_LOT).parquet(f"{pending}/lots").filter(days)
         sales = spark.read.schema(PENDING_SALE).parquet(f"{pending}/sales").filter(days)
-        done_lots = spark.read.schema(LOT).parquet(completed_lots)
-        done_sales = spark.read.schema(SALE).parquet(completed_sales)
-        lots, sales = complete_pending(first, lots, sales)
+        lots, sales = (written(rows, "completed") for rows in complete_pending(first, lots, sales))
+        done_lots = spark.read.schema(LOT).parquet(completed_lots).filter(days)
+        # Completed sales have no day; only files and row groups with ids of this batch are read.
+        low, high = sales.agg(F.min("sale_id"), F.max("sale_id")).first()
+        done_sales = spark.read.schema(SALE).parquet(completed_sales).filter(F.col("sale_id").between(low, high))
         new_lots = written(lots.join(done_lots.select("lot_id"), "lot_id", "left_anti"), "lots")
         new_sales = written(sales.join(done_sales.select("sale_id"), "sale_id", "left_anti"), "sales")
-        new_lots.select(*LOT.fieldNames()).write.mode("append").parquet(completed_lots)
-        new_sales.select(*SALE.fieldNames()).write.mode("append").parquet(completed_sales)
+        _append(new_lots.select(*LOT.fieldNames()), completed_lots, "trade_date")
+        _append(new_sales.select(*SALE.fieldNames()), completed_sales, "sale_id")
         batch.unpersist()
+        discard(lots, sales, new_lots, new_sales)
 
     return _run(quotes, checkpoint, complete, trigger)
 
@@ -142,9 +151,15 @@ def live_variation(quotes: DataFrame) -> DataFrame:
     """Percent change of each quote to the one before, as quotes arrive.
 
     The state of a fund is its newest quote. A quote older than that is ignored;
-    the batch view is the truth for late ones.
+    the batch view is the truth for late ones. Of several quotes of a day in a batch the
+    first that arrived counts, as in the store.
     """
-    pairs = quotes.groupBy("isin").applyInPandasWithState(
+    if "arrival" in quotes.columns:
+        arrived = quotes["arrival.file_modification_time"], quotes["arrival.file_path"]
+    else:
+        arrived = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    named = [column.alias(name) for column, name in zip(arrived, variation_state.ARRIVAL)]
+    pairs = quotes.select("isin", "date", "nav", *named).groupBy("isin").applyInPandasWithState(
         variation_state.variations,
         outputStructType="isin string, date date, nav decimal(12,4), previous decimal(12,4)",
         stateStructType="date date, nav decimal(12,4)",
@@ -158,7 +173,7 @@ def live_variation(quotes: DataFrame) -> DataFrame:
 def stream_variation(quotes: DataFrame, output: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Append live variations to the table at ``output``."""
     return (
-        live_variation(quotes.select("isin", "date", "nav"))
+        live_variation(quotes)
         .writeStream.format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint)

@@ -5,15 +5,20 @@ from __future__ import annotations
 import pandas as pd
 
 COLUMNS = ["isin", "date", "nav", "previous"]
+ARRIVAL = ["arrived", "file"]  # when and in which file a quote came, where that is known
 
 
 def first_of_days(batches) -> pd.DataFrame:
-    """One quote per day, the lowest where several came; never more rows than days and one batch."""
-    kept = pd.DataFrame(columns=["date", "nav"], dtype=object)
+    """One quote per day, the first that arrived, then the lowest; never more rows than days and one batch."""
+    columns = ["date", *ARRIVAL, "nav"]
+    kept = pd.DataFrame(columns=columns, dtype=object)
     for batch in batches:
-        both = pd.concat([kept, batch[["date", "nav"]].astype(object)], ignore_index=True)
-        kept = both.sort_values(["date", "nav"]).drop_duplicates("date")
-    return kept
+        own = batch.reindex(columns=columns)
+        own["arrived"] = pd.to_datetime(own["arrived"]).fillna(pd.Timestamp(0))
+        own["file"] = own["file"].fillna("")
+        both = pd.concat([kept, own.astype(object)], ignore_index=True)
+        kept = both.sort_values(columns).drop_duplicates("date")
+    return kept[["date", "nav"]]
 
 
 def advance(isin, batches, last):
