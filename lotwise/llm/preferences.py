@@ -17,7 +17,7 @@ throughout give a prompt and no completions; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import written
@@ -93,20 +93,38 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return _rendered(left.unionByName(right))
 
 
+def _with_next_reply(last: DataFrame) -> DataFrame:
+    """Conversations with a reply, and as ``other`` the reply of the next one by id; after the last comes the first.
+
+    Sorted by ranges of ids, so rows are numbered from the sizes of the ranges.
+    """
+    ordered = last.repartitionByRange("pair_id").sortWithinPartitions("pair_id")
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "replies")
+    # One row for each range: as many as there were tasks.
+    sizes = ordered.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    numbered = ordered.withColumn("range", F.shiftright("at", 33)).join(sizes.select("range", before.alias("before")), "range")
+    place = F.col("at").bitwiseAND((1 << 33) - 1)
+    numbered = numbered.select("pair_id", "last", "reply", (F.col("before") + place).alias("number"))
+    whole = F.lit(max(ordered.count(), 1)).cast("long")
+    donors = numbered.select(F.pmod(F.col("number") - 1, whole).alias("number"), F.col("reply").alias("other"))
+    return numbered.join(donors, "number").select("pair_id", "last", "other")
+
+
 def replaced_reply(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations (conv_id, turn, role, text).
 
-    Chosen is a conversation up to its last assistant turn; rejected ends with the
-    last assistant turn of the next conv_id instead. Conversations without either
-    are left out.
+    Chosen is a whole conversation; in rejected its last assistant turn has the text of
+    the last assistant turn of the next conversation by id that has one. Conversations
+    without an assistant turn have no sides.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
+    turns = turns.filter("pair_id IS NOT NULL")
     replies = turns.filter((F.col("role") == TRAINED) & F.col("turn").isNotNull())
     last = replies.groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    last = written(last.select("pair_id", F.col("last.turn").alias("last"), F.col("last.text").alias("reply")), "replies")
-    donors = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    known = last.select("pair_id", "last").join(donors, "pair_id")
-    chosen = turns.join(known, "pair_id").filter(F.coalesce("turn", F.col("last")) <= F.col("last"))
+    last = last.select("pair_id", F.col("last.turn").alias("last"), F.col("last.text").alias("reply"))
+    known = written(_with_next_reply(last), "replies")
+    chosen = turns.join(known, "pair_id")
     swapped = (F.col("turn") == F.col("last")) & (F.col("role") == TRAINED)
     rejected = chosen.withColumn("text", F.when(swapped, F.col("other")).otherwise(F.col("text")))
     return chosen.drop("last", "other"), rejected.drop("last", "other")

@@ -163,16 +163,16 @@ WITH last AS (
   SELECT conv_id AS pair_id, max(turn) AS last, arg_max(text, turn) AS reply
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id
 ), known AS (
-  SELECT a.pair_id, a.last, b.reply AS other FROM last a JOIN last b ON b.pair_id = a.pair_id + 1
+  SELECT pair_id, last, reply,
+         coalesce(lead(reply) OVER (ORDER BY pair_id), first_value(reply) OVER (ORDER BY pair_id)) AS other
+  FROM last
 ), chosen AS (
-  SELECT k.pair_id, c.turn, c.role, c.text, k.last, k.other
-  FROM conversations c JOIN known k ON c.conv_id = k.pair_id WHERE c.turn <= k.last
-), both_sides AS (
-  SELECT *, turn < last OR text = other AS common FROM chosen
+  SELECT k.pair_id, c.turn, c.role, c.text, k.last, k.other, c.turn < k.last OR k.reply = k.other AS common
+  FROM conversations c JOIN known k ON c.conv_id = k.pair_id
 ), rows AS (
-  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM both_sides
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM chosen
   UNION ALL
-  SELECT pair_id, 'rejected', turn, role, other FROM both_sides WHERE NOT common
+  SELECT pair_id, 'rejected', turn, role, CASE WHEN turn = last THEN other ELSE text END FROM chosen WHERE NOT common
 )
 SELECT pair_id, part, turn, role,
        '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,

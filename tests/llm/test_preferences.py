@@ -78,6 +78,19 @@ def test_real_conversations_match_brute_force(spark):
     assert got == brute(*rows) and len({r[0] for r in got}) > 50
 
 
+def test_sparse_ids_and_turns_after_the_last_reply_are_kept(spark):
+    ready(spark)
+    ids = [-(2**40), 10, 20, 31, 2**50]
+    rows = [r for k in ids for r in ((k, 0, "user", f"u{k}"), (k, 1, "assistant", f"a{k}"), (k, 2, "user", "bye"))]
+    talks = spark.createDataFrame([*rows, (15, 0, "user", "no reply"), (None, 0, "assistant", "x")], SCHEMA)
+    sides = preferences.replaced_reply(talks.withColumnRenamed("pair_id", "conv_id").repartition(4))
+    got = {(r["pair_id"], r["part"], r["turn"]): r["rendered"] for r in preferences.format_pairs(*sides).collect()}
+    assert len(got) == 5 * len(ids)
+    for k, donor in zip(ids, [*ids[1:], ids[0]]):
+        assert f"a{k}<" in got[k, "chosen", 1] and f"a{donor}<" in got[k, "rejected", 1]
+        assert got[k, "chosen", 2] == got[k, "rejected", 2] and f"u{k}<" in got[k, "prompt", 0]
+
+
 def test_empty_tables(spark):
     ready(spark)
     none = spark.createDataFrame([], SCHEMA)
