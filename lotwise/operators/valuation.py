@@ -14,6 +14,8 @@ from lotwise.schemas import TOTAL_MONEY, TOTAL_SHARES, VALUE
 from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
+SALTS = 32  # parts that the hops of one fund and day are cut into
+
 PORTFOLIO = [
     "isin",
     "distributor",
@@ -100,15 +102,19 @@ def chain_value(
         switched = switched.filter(F.col("buy_date") >= begin)
     switched = switched.select("lot_id", F.lit(True).alias("switch"))
 
+    # All live hops of a fund ask for the price of one day, and many for that of ``start``:
+    # hops are spread over salts, and each of the few prices is there for every salt.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     progress = (
-        hops.join(
-            first.select("isin", F.col("date").alias("lo"), F.col("quote_date").alias("first_date"), F.col("nav").alias("first_nav")),
-            ["isin", "lo"],
+        hops.withColumn("_salt", F.pmod(F.xxhash64("terminal_lot", "lot_id"), F.lit(SALTS)).cast("int"))
+        .join(
+            first.select("isin", F.col("date").alias("lo"), F.col("quote_date").alias("first_date"), F.col("nav").alias("first_nav"), salts),
+            ["isin", "lo", "_salt"],
         )
         .filter(F.col("first_date") <= F.col("hi"))
         .join(
-            last.select("isin", F.col("date").alias("hi"), F.col("quote_date").alias("last_date"), F.col("nav").alias("last_nav")),
-            ["isin", "hi"],
+            last.select("isin", F.col("date").alias("hi"), F.col("quote_date").alias("last_date"), F.col("nav").alias("last_nav"), salts),
+            ["isin", "hi", "_salt"],
         )
         .join(switched, "lot_id", "left")
     )
