@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are compared in lower case with white space as single blanks.
-An item of m characters allows ``k = max(1, m * BUDGET)`` edits. It is cut into
+An item of m characters allows ``k = int(m * BUDGET)`` edits. It is cut into
 k + 1 pieces: a passage within k edits of the item holds at least one piece
-unchanged. An automaton of all pieces finds every exact hit in a text; around each
+unchanged. An item too short for any edit is its only piece, and must stand in the
+text as it is, from word boundary to word boundary. An automaton of all pieces finds every exact hit in a text; around each
 hit the item is verified with Myers' bit-parallel edit distance. The result is
 exact: every place where an item occurs within its budget is found.
 
@@ -40,7 +41,20 @@ def normal(text: str) -> str:
 
 
 def budget_of(length: int, share: float = BUDGET) -> int:
-    return max(1, int(length * share))
+    return int(length * share)
+
+
+def whole_words(pattern: str, text: str, begin: int, end: int) -> int:
+    """Where a pattern first stands in ``text[begin:end]`` without a letter or digit going on at its ends; else -1."""
+    at = text.find(pattern, begin, end)
+    while at >= 0:
+        stop = at + len(pattern)
+        before = at > 0 and text[at - 1].isalnum() and pattern[0].isalnum()
+        after = stop < len(text) and text[stop].isalnum() and pattern[-1].isalnum()
+        if not before and not after:
+            return at
+        at = text.find(pattern, at + 1, end)
+    return -1
 
 
 def cuts(length: int, pieces: int) -> list[int]:
@@ -132,7 +146,12 @@ class Matcher:
             item, pattern = self.items[index]
             best = None
             for begin, end in stretches:
-                if text.find(pattern, begin, end) >= 0:
+                if not self.budget[index]:
+                    at = whole_words(pattern, text, begin, end)
+                    if at < 0:
+                        continue
+                    distance, stop = 0, at + len(pattern) - begin
+                elif text.find(pattern, begin, end) >= 0:
                     distance, stop = 0, text.find(pattern, begin, end) + len(pattern) - begin
                 else:
                     distance, stop = myers(self.masks[index], len(pattern), text[begin:end])

@@ -1,4 +1,5 @@
 import random
+import re
 
 import cases
 
@@ -25,6 +26,11 @@ def brute(docs, items, share=dc.BUDGET):
             pattern = dc.normal(item or "")
             if not pattern:
                 continue
+            if not dc.budget_of(len(pattern), share):
+                edges = [r"(?<![^\W_])" if pattern[0].isalnum() else "", r"(?![^\W_])" if pattern[-1].isalnum() else ""]
+                if re.search(edges[0] + re.escape(pattern) + edges[1], dc.normal(text or "")):
+                    out.add((doc_id, item_id, 0))
+                continue
             distance = least_edits(pattern, dc.normal(text or ""))
             if distance <= dc.budget_of(len(pattern), share):
                 out.add((doc_id, item_id, distance))
@@ -92,3 +98,14 @@ def test_awkward_rows(spark):
     assert dc.clean(docs, items.limit(0)).count() == docs.count()
     assert dc.matches(cases.empty(spark), items).count() == 0
     assert dc.matches(docs, items.limit(0)).count() == 0
+
+
+def test_short_items_match_whole_words_only(spark):
+    ready(spark)
+    items = [(1, "a"), (2, "Yes"), (3, "42!"), (4, "no way"), (5, "longer answer"), (6, "!")]
+    texts = ["", "plain horse bees", "Well, YES.", "yesterday", "a", "it is 42!x", "142!", "no  way, no wayne", "wow!", "a longer anser", "x-a_"]
+    docs = list(enumerate(texts))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in dc.matches(*frames).collect()}
+    assert got == brute(docs, items) and (1, 2, 0) not in got and {(2, 2, 0), (9, 5, 1)} <= got
+    assert {r["doc_id"] for r in dc.clean(*frames).collect()} == {0, 1, 3}
