@@ -263,6 +263,13 @@ UNION ALL
 SELECT 'TOTAL', NULL, sum(capital), sum(valuation),
        round((CAST(sum(valuation) - sum(capital) AS DOUBLE) / CAST(sum(capital) AS DOUBLE)) * 100, 2) FROM portfolio""",
 )(lambda i: reports.report_with_totals(vl.portfolio(i.ledger)))
+query(
+    "totals_by_currency",
+    "currency positions:i capital:n valuation:n gain_percent:n",
+    """SELECT currency, count(*) AS positions, sum(capital) AS capital, sum(valuation) AS valuation,
+       round((CAST(sum(valuation) - sum(capital) AS DOUBLE) / CAST(sum(capital) AS DOUBLE)) * 100, 2) AS gain_percent
+FROM portfolio JOIN fund USING (isin) GROUP BY currency""",
+)(lambda i: reports.totals_by_currency(vl.portfolio(i.ledger), i.ledger.funds))
 
 LINEAGE = (
     "terminal_lot:i order_id:i hop:i lot_id:i account_id isin invest_date:d trade_date:d end_date:d fraction:n"
@@ -374,19 +381,37 @@ query(
 FROM evolution WHERE terminal_lot IS NOT NULL""",
     EVOLUTION_VIEWS,
 )(lambda i: ev.return_series(i.evolution("months")))
-query(
-    "axis_ticks",
-    "tick:d label",
-    """SELECT tick, CASE WHEN monthly AND month(tick) > 1 THEN strftime(tick, '%b') ELSE strftime(tick, '%Y') END AS label
+
+
+def _ticks_sql(rows: str) -> str:
+    return f"""SELECT tick, CASE WHEN monthly AND month(tick) > 1 THEN strftime(tick, '%b') ELSE strftime(tick, '%Y') END AS label
 FROM (
   SELECT monthly, CAST(unnest(CASE WHEN monthly
     THEN generate_series(CAST(date_trunc('month', low) AS TIMESTAMP) + INTERVAL 1 MONTH, CAST(high AS TIMESTAMP), INTERVAL 1 MONTH)
     ELSE generate_series(CAST(date_trunc('year', low) AS TIMESTAMP) + INTERVAL 1 YEAR, CAST(high AS TIMESTAMP), INTERVAL 1 YEAR)
     END) AS DATE) AS tick
   FROM (SELECT min(date) AS low, max(date) AS high, year(max(date)) - year(min(date)) <= 2 AS monthly
-        FROM evolution WHERE terminal_lot IS NOT NULL))""",
-    EVOLUTION_VIEWS,
+        FROM {rows}))"""
+
+
+query(
+    "axis_ticks", "tick:d label", _ticks_sql("evolution WHERE terminal_lot IS NOT NULL"), EVOLUTION_VIEWS
 )(lambda i: ev.axis_ticks(i.evolution("months")))
+query(
+    "axis_ticks_months",
+    "tick:d label",
+    _ticks_sql(
+        """evolution WHERE terminal_lot IS NOT NULL AND date >
+        (SELECT CAST(max(date) - INTERVAL 18 MONTH AS DATE) FROM evolution WHERE terminal_lot IS NOT NULL)"""
+    ),
+    EVOLUTION_VIEWS,
+)(lambda i: ev.axis_ticks(_newest_months(i.evolution("months"), 18)))
+
+
+def _newest_months(evolution: DataFrame, months: int) -> DataFrame:
+    """The end of a set of series: as many months before its newest day."""
+    series = evolution.filter(F.col("terminal_lot").isNotNull())
+    return series.filter(F.col("date") > F.add_months(F.lit(series.agg(F.max("date")).first()[0]), -months))
 
 
 def _filtered_evolution(i: Inputs) -> DataFrame:

@@ -39,6 +39,21 @@ def report_with_totals(portfolio: DataFrame) -> DataFrame:
     )
 
 
+def totals_by_currency(portfolio: DataFrame, funds: DataFrame) -> DataFrame:
+    """Positions, capital, value and gain of each currency; amounts of different currencies are not added."""
+    currency = funds.select("isin", "currency")
+    return (
+        portfolio.join(currency, "isin")
+        .groupBy("currency")
+        .agg(
+            F.count("*").alias("positions"),
+            F.sum("capital").cast(TOTAL_MONEY).alias("capital"),
+            F.sum("valuation").cast(TOTAL_MONEY).alias("valuation"),
+        )
+        .withColumn("gain_percent", F.round(_percent(F.col("valuation") - F.col("capital"), F.col("capital")), 2))
+    )
+
+
 def portfolio_report(positions: DataFrame, ledger: Ledger) -> DataFrame:
     """Live positions with fund names, risk, gain and trend, and a TOTAL line."""
     names = ledger.funds.select("isin", F.coalesce("alias", "name").alias("alias"), "risk")
