@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.schemas import LEDGER
+from lotwise.schemas import LEDGER, SHARES
+from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
 
@@ -17,36 +18,111 @@ def _broken(table: DataFrame, name: str, key: Column, condition: Column, reason:
     )
 
 
-def _rows(table: DataFrame, name: str, key: Column, rules: dict[str, Column]) -> DataFrame:
-    """Rows that break any of several rules, found in one pass over the table."""
-    broken = F.array_compact(F.array(*[F.when(rule, F.lit(reason)) for reason, rule in rules.items()]))
-    return table.select(
-        F.lit(name).alias("table_name"), key.cast("string").alias("key"), F.explode(broken).alias("reason")
-    )
+# Columns that identify a row, the first entry of each table being its key.
+KEYS = {
+    "feeds": [["feed"]],
+    "funds": [["isin"]],
+    "fund_feeds": [["feed", "isin"]],
+    "accounts": [["account_id"]],
+    "lots": [["lot_id"], ["origin_sale_id", "account_id", "trade_date"]],
+    "orders": [["order_id"]],
+    "sales": [["sale_id"], ["order_id", "lot_id"]],
+    "quotes": [["isin", "date"]],
+}
+REFERENCES = {
+    "feeds": {},
+    "funds": {"feed": "feeds"},
+    "fund_feeds": {"feed": "feeds", "isin": "funds"},
+    "accounts": {"isin": "funds"},
+    "lots": {"account_id": "accounts", "origin_sale_id": "sales"},
+    "orders": {},
+    "sales": {"lot_id": "lots", "order_id": "orders"},
+    "quotes": {"isin": "funds"},
+}
 
 
-def _repeated(table: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Key values used more than once; a NULL in a key never repeats."""
-    known = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
-    counted = table.filter(known).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return _broken(
-        counted, name, F.concat_ws("/", *keys), F.lit(True), f"repeated {'/'.join(keys)}"
-    )
+# Tables whose columns are checked for missing values.
+RULED = ["funds", "accounts", "lots", "orders", "sales", "quotes"]
+
+
+def _domain(name: str, columns: list[str]) -> str:
+    return f"{name} {'/'.join(columns)}"
+
+
+def _key(columns: list[str]) -> Column:
+    return F.concat_ws("/", *columns) if len(columns) > 1 else F.col(columns[0]).cast("string")
+
+
+def _known(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def _exploded(table: DataFrame, items: list[Column]) -> DataFrame:
+    return table.select(F.explode(F.array_compact(F.array(*items))).alias("_item")).select("_item.*")
 
 
-def _orphans(
-    table: DataFrame, name: str, key: Column, columns: list[str], parent: DataFrame, parent_keys: list[str]
-) -> DataFrame:
-    """Rows whose reference leads nowhere; distinct references are looked up once."""
-    keys = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_keys, columns)]).distinct()
-    given = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return _broken(
-        table.filter(given).join(keys, columns, "left_anti"),
-        name,
-        key,
-        F.lit(True),
-        f"unknown {'/'.join(columns)}",
+def _mentions(name: str, table: DataFrame) -> DataFrame:
+    """Every value that identifies a row or refers to one, in one pass: domain, value, own, sold, held."""
+
+    def mention(columns: list[str], domain: str, own: bool) -> Column:
+        amount = F.lit(None).cast(SHARES)
+        at_lot = domain == _domain("lots", ["lot_id"])
+        return F.when(
+            _known(columns),
+            F.struct(
+                F.lit(domain).alias("domain"),
+                _key(columns).alias("value"),
+                F.lit(own).alias("own"),
+                (F.col("shares").cast(SHARES) if at_lot and not own else amount).alias("sold"),
+                (F.col("initial_shares").cast(SHARES) if at_lot and own else amount).alias("held"),
+            ),
+        )
+
+    items = [mention(columns, _domain(name, columns), True) for columns in KEYS[name]]
+    items += [mention([c], _domain(parent, KEYS[parent][0]), False) for c, parent in REFERENCES[name].items()]
+    return _exploded(table, items)
+
+
+def _suspects(tables: dict[str, DataFrame]) -> DataFrame:
+    """Values used by several rows, by none though referred to, and lots that may be sold too far.
+
+    One aggregation, combined before its exchange, answers all of them.
+    """
+    mentions = reduce(DataFrame.unionByName, [_mentions(name, table) for name, table in tables.items()])
+    values = mentions.groupBy("domain", "value").agg(
+        F.count_if("own").alias("rows"),
+        F.count_if(~F.col("own")).alias("references"),
+        F.sum("sold").alias("sold"),
+        F.min("held").alias("least"),
+        F.count_if(F.col("own") & F.col("held").isNull()).alias("unknown"),
     )
+    lot = F.col("domain") == _domain("lots", ["lot_id"])
+    oversold = lot & (F.col("references") > 0) & ((F.col("sold") > F.col("least")) | (F.col("unknown") > 0))
+    return values.filter((F.col("rows") != 1) | oversold).drop("least", "unknown")
+
+
+def _findings(name: str, table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Broken row rules, and what must be looked up among the suspects, in one pass over the table."""
+
+    def item(reason: str | None, domain: str | None, value: Column, column: str | None) -> Column:
+        held = F.col("initial_shares") if name == "lots" else F.lit(None)
+        return F.struct(
+            F.lit(name).alias("table_name"),
+            _key(KEYS[name][0]).alias("key"),
+            F.lit(reason).cast("string").alias("broken"),
+            F.lit(domain).cast("string").alias("domain"),
+            value.cast("string").alias("value"),
+            F.lit(column).cast("string").alias("column"),
+            held.cast(SHARES).alias("held"),
+        )
+
+    items = [F.when(rule, item(reason, None, F.lit(None), None)) for reason, rule in rules.items()]
+    for column, parent in REFERENCES[name].items():
+        found = item(None, _domain(parent, KEYS[parent][0]), F.col(column), column)
+        items.append(F.when(F.col(column).isNotNull(), found))
+    if name == "lots":
+        items.append(F.when(_known(["lot_id"]), item(None, _domain("lots", ["lot_id"]), F.col("lot_id"), None)))
+    return _exploded(table, items) if items else None
 
 
 def _missing(name: str, keys: list[str]) -> dict[str, Column]:
@@ -58,79 +134,49 @@ def _missing(name: str, keys: list[str]) -> dict[str, Column]:
 def validate_ledger(ledger: Ledger) -> DataFrame:
     """Missing values, broken value rules, repeated keys, dangling references and excess sales.
 
-    Row rules take one pass over a table; sales are summed per lot once, for all
-    rules that compare both.
+    Two passes: the first gathers all keys and references in one aggregation, whose
+    few suspects are written; the second checks row rules and looks the suspects up.
     """
-    lots, sales, orders, quotes = ledger.lots, ledger.sales, ledger.orders, ledger.quotes
-    lot, sale = F.col("lot_id"), F.col("sale_id")
-    quote = F.concat_ws("/", "isin", "date")
-    feed = F.concat_ws("/", "feed", "isin")
+    lots, sales, orders = ledger.lots, ledger.sales, ledger.orders
     shares, proceeds = F.col("shares"), F.col("proceeds")
+    tables = {name: getattr(ledger, name) for name in KEYS}
+    rules = {name: _missing(name, KEYS[name][0]) if name in RULED else {} for name in KEYS}
+    rules["lots"] |= {
+        "shares not positive": F.col("initial_shares") <= 0,
+        "neither shares nor cost": F.col("initial_shares").isNull() & F.col("cost").isNull(),
+    }
+    rules["sales"] |= {
+        "shares not positive": shares <= 0,
+        "proceeds negative": proceeds < 0,
+        "neither shares nor proceeds": shares.isNull() & proceeds.isNull(),
+    }
+    suspects = written(_suspects(tables), "ledger-suspects")
+    place = F.split("domain", " ")
+    repeated = suspects.filter("rows > 1").select(
+        place[0].alias("table_name"), F.col("value").alias("key"), F.concat(F.lit("repeated "), place[1]).alias("reason")
+    )
+    found = [_findings(name, table, rules[name]) for name, table in tables.items()]
+    own_lot = F.col("column").isNull() & (F.col("references") > 0)
+    reason = (
+        F.when(F.col("broken").isNotNull(), F.col("broken"))
+        .when(F.col("rows") == 0, F.concat(F.lit("unknown "), "column"))
+        .when(own_lot & F.col("held").isNull(), "sold with unknown shares")
+        .when(own_lot & (F.col("sold") > F.col("held")), "too many shares sold")
+    )
+    rows = (
+        reduce(DataFrame.unionByName, [f for f in found if f is not None])
+        .join(suspects, ["domain", "value"], "left")
+        .select("table_name", "key", reason.alias("reason"))
+        .filter("reason IS NOT NULL")
+    )
     sold_after = (
         lots.filter(F.col("origin_sale_id").isNotNull())
         .select("lot_id", "trade_date", F.col("origin_sale_id").alias("sale_id"))
         .join(sales.select("sale_id", "order_id"), "sale_id")
         .join(orders.select("order_id", F.col("trade_date").alias("sell_date")), "order_id")
     )
-    sold = sales.groupBy("lot_id").agg(F.sum("shares").alias("_sold"), F.count("*").alias("_sales"))
-    with_sales = lots.select("lot_id", "initial_shares").join(sold, "lot_id")
-    checks = [
-        _rows(ledger.funds, "funds", F.col("isin"), _missing("funds", ["isin"])),
-        _rows(ledger.accounts, "accounts", F.col("account_id"), _missing("accounts", ["account_id"])),
-        _rows(
-            lots,
-            "lots",
-            lot,
-            {
-                "shares not positive": F.col("initial_shares") <= 0,
-                "neither shares nor cost": F.col("initial_shares").isNull() & F.col("cost").isNull(),
-                **_missing("lots", ["lot_id"]),
-            },
-        ),
-        _rows(orders, "orders", F.col("order_id"), _missing("orders", ["order_id"])),
-        _rows(
-            sales,
-            "sales",
-            sale,
-            {
-                "shares not positive": shares <= 0,
-                "proceeds negative": proceeds < 0,
-                "neither shares nor proceeds": shares.isNull() & proceeds.isNull(),
-                **_missing("sales", ["sale_id"]),
-            },
-        ),
-        _rows(quotes, "quotes", quote, _missing("quotes", ["isin", "date"])),
-        _repeated(ledger.feeds, "feeds", ["feed"]),
-        _repeated(ledger.funds, "funds", ["isin"]),
-        _repeated(ledger.fund_feeds, "fund_feeds", ["feed", "isin"]),
-        _repeated(ledger.accounts, "accounts", ["account_id"]),
-        _repeated(lots, "lots", ["lot_id"]),
-        _repeated(lots, "lots", ["origin_sale_id", "account_id", "trade_date"]),
-        _repeated(orders, "orders", ["order_id"]),
-        _repeated(sales, "sales", ["sale_id"]),
-        _repeated(sales, "sales", ["order_id", "lot_id"]),
-        _repeated(quotes, "quotes", ["isin", "date"]),
-        _orphans(ledger.funds, "funds", F.col("isin"), ["feed"], ledger.feeds, ["feed"]),
-        _orphans(ledger.fund_feeds, "fund_feeds", feed, ["feed"], ledger.feeds, ["feed"]),
-        _orphans(ledger.fund_feeds, "fund_feeds", feed, ["isin"], ledger.funds, ["isin"]),
-        _orphans(ledger.accounts, "accounts", F.col("account_id"), ["isin"], ledger.funds, ["isin"]),
-        _orphans(lots, "lots", lot, ["account_id"], ledger.accounts, ["account_id"]),
-        _orphans(lots, "lots", lot, ["origin_sale_id"], sales, ["sale_id"]),
-        _orphans(sales, "sales", sale, ["lot_id"], lots, ["lot_id"]),
-        _orphans(sales, "sales", sale, ["order_id"], orders, ["order_id"]),
-        _orphans(quotes, "quotes", quote, ["isin"], ledger.funds, ["isin"]),
-        _broken(sold_after, "lots", lot, F.col("trade_date") < F.col("sell_date"), "bought before sold"),
-        _rows(
-            with_sales,
-            "lots",
-            lot,
-            {
-                "too many shares sold": F.col("_sold") > F.col("initial_shares"),
-                "sold with unknown shares": F.col("initial_shares").isNull(),
-            },
-        ),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    early = _broken(sold_after, "lots", F.col("lot_id"), F.col("trade_date") < F.col("sell_date"), "bought before sold")
+    return rows.unionByName(repeated).unionByName(early)
 
 
 def validate_orders(orders: DataFrame) -> DataFrame:
