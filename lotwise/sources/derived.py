@@ -7,7 +7,7 @@ prices are the quotes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numbers import money, price
@@ -29,6 +29,8 @@ LINE_ORDER = [
 
 # Lot ids hold the order and the line's number; a longer order stops the job.
 LINES_PER_ORDER = 10_000_000
+ORDER_ROWS = 1 << 20  # lines of an order that one task reads in order
+ORDER_HASHES = 1 << 16
 
 _stored: dict[tuple, Ledger] = {}
 
@@ -37,20 +39,47 @@ def _isin(number):
     return F.concat(F.lit("FX"), F.lpad((number % 10).cast("string"), 10, "0"))
 
 
-def numbered_lines(lineitem: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with owner, fund, price and their number within the order."""
-    spark = lineitem.sparkSession
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
-    seq = row_numbers(
-        lineitem, ["l_orderkey"], [["l_shipdate", "l_linenumber"]], LINE_ORDER[2:], "seq"
+def _priced(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Lines with the price of their part; a line keeps its place in the order without one.
+
+    A key that stands for several parts has them all in ``_more``.
+    """
+    prices = part.groupBy(F.col("p_partkey").alias("l_partkey")).agg(
+        F.collect_list(F.struct(F.col("p_retailprice").cast(NAV).alias("price"))).alias("_all")
+    )
+    prices = prices.select(
+        "l_partkey", F.col("_all")[0]["price"].alias("retail"), F.when(F.size("_all") > 1, F.col("_all")).alias("_more"), F.lit(True).alias("_part")
     )
+    # Written, so that the join sees its true size and can split a part that many lines name.
+    return lineitem.join(written(prices, "prices"), "l_partkey", "left")
+
+
+def _long_orders(lineitem: DataFrame) -> DataFrame | None:
+    """Orders with more lines than one task should read, if any: counted by hash first, then exactly."""
+    line = lineitem.select("l_orderkey", F.pmod(F.xxhash64("l_orderkey"), F.lit(ORDER_HASHES)).alias("_hash"))
+    full = written(line.groupBy("_hash").count().filter(F.col("count") > ORDER_ROWS).select("_hash"), "full")
+    if full.isEmpty():
+        return None
+    counts = line.join(full, "_hash", "left_semi").groupBy("l_orderkey").count()
+    long = written(counts.filter(F.col("count") > ORDER_ROWS).select("l_orderkey"), "long-orders")
+    return None if long.isEmpty() else long
+
+
+def numbered_lines(lineitem: DataFrame, orders: DataFrame, long: bool) -> DataFrame:
+    """Priced lines with owner, fund and their number within the order."""
+    if long:
+        seq = row_numbers(lineitem, ["l_orderkey"], [LINE_ORDER[:2]], LINE_ORDER[2:], "seq")
+    else:
+        in_order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+        seq = lineitem.withColumn("seq", F.row_number().over(in_order).cast("long"))
     distributor = F.when(F.col("l_suppkey") % 20 >= 10, "B1").otherwise("B0")
     too_long = F.raise_error("an order has more lines than lot ids have room for").cast("long")
     checked = F.when(F.col("seq") < LINES_PER_ORDER, F.col("seq")).otherwise(too_long)
+    one = F.array(F.struct(F.col("retail").alias("price")))
     return (
         seq.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .filter("_part")
+        .withColumn("_price", F.explode(F.coalesce("_more", one)))
         .select(
             "l_orderkey",
             "seq",
@@ -61,34 +90,56 @@ def numbered_lines(lineitem: DataFrame, sf_dir: str) -> DataFrame:
             F.to_date("l_shipdate").alias("trade_date"),
             F.col("l_quantity").cast(SHARES).alias("quantity"),
             F.col("l_extendedprice").cast(MONEY).alias("cost"),
-            F.col("p_retailprice").cast(NAV).alias("retail"),
+            F.col("_price.price").alias("retail"),
             F.col("l_returnflag").alias("flag"),
             F.col("l_linestatus").alias("status"),
         )
     )
 
 
-def chained_lines(lines: DataFrame) -> DataFrame:
+def chained_lines(lines: DataFrame, long: bool) -> DataFrame:
     """Add the neighbours of each line and the first date of its chain."""
-    linked = with_neighbours(
-        lines,
-        "l_orderkey",
-        "seq",
-        previous={"previous_flag": "flag"},
-        following={"next_date": "trade_date", "next_account": "account_id"},
-    )
+    previous = {"previous_flag": "flag"}
+    following = {"next_date": "trade_date", "next_account": "account_id"}
+    by_number = Window.partitionBy("l_orderkey").orderBy("seq")
+    if long:
+        linked = with_neighbours(lines, "l_orderkey", "seq", previous, following)
+    else:
+        linked = lines.withColumns(
+            {
+                **{name: F.lag(source).over(by_number) for name, source in previous.items()},
+                **{name: F.lead(source).over(by_number) for name, source in following.items()},
+            }
+        )
     moved_in = F.coalesce(F.col("previous_flag") == "A", F.lit(False))
     # Lines are in date order, so the latest chain start is the greatest one.
-    started = linked.withColumns(
-        {
-            "_start": F.when(~moved_in, F.col("trade_date")),
-            "_block": id_block("seq"),
-            "moved_in": moved_in,
-        }
-    )
-    return running(
-        started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")}
-    ).drop("_start", "_block")
+    started = linked.withColumns({"_start": F.when(~moved_in, F.col("trade_date")), "moved_in": moved_in})
+    if long:
+        started = started.withColumn("_block", id_block("seq"))
+        chained = running(started, ["l_orderkey"], [["_block"]], ["seq"], {"invest_date": ("max", "_start")})
+        return chained.drop("_start", "_block")
+    until_now = by_number.rowsBetween(Window.unboundedPreceding, 0)
+    return started.withColumn("invest_date", F.max("_start").over(until_now)).drop("_start")
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all orders in their chains.
+
+    They are dealt to tasks by part for the price and then once by order, for all that
+    depends on the lines of an order. Orders too long for a task are cut into tiers.
+    """
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
+    lineitem = lineitem.filter(F.col("l_orderkey").isNotNull())  # no order has them
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
+    long = _long_orders(lineitem)
+    priced = _priced(lineitem, part)
+    if long is None:
+        return chained_lines(numbered_lines(priced, orders, False), False)
+    rest = priced.join(long, "l_orderkey", "left_anti")
+    tiered = priced.join(long, "l_orderkey", "left_semi")
+    lines = chained_lines(numbered_lines(rest, orders, False), False)
+    return lines.unionByName(chained_lines(numbered_lines(tiered, orders, True), True))
 
 
 def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +164,7 @@ def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     """All ledger tables of the given folder, computed by Spark."""
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
-    lines = written(chained_lines(numbered_lines(lineitem, sf_dir)), "lines")
+    lines = written(order_lines(spark, sf_dir), "lines")
     col = F.col
 
     sold = lines.filter(col("flag").isin("A", "R"))
@@ -131,6 +181,10 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     # Sales of one account on one day to one destination form an order.
     grouping = ["account_id", "trade_date", "destination"]
     orders = sold.groupBy(*grouping).agg(F.min("sale_id").alias("order_id"))
+    # One exchange for the groups and their sales; a sale without a date belongs to no order.
+    numbered = sold.filter(col("trade_date").isNotNull()).withColumn(
+        "order_id", F.min("sale_id").over(Window.partitionBy(*grouping))
+    )
     funds = _funds(spark, sf_dir)
     return Ledger(
         feeds=funds.filter(col("feed").isNotNull()).select("feed").distinct(),
@@ -153,7 +207,7 @@ def derive_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
             "trade_date",
             F.when(col("destination") == "", "redemption").otherwise("transfer").alias("comment"),
         ),
-        sales=sold.join(orders, grouping).select("sale_id", "order_id", "lot_id", "shares", "proceeds"),
+        sales=numbered.select("sale_id", "order_id", "lot_id", "shares", "proceeds"),
         quotes=lines.groupBy("isin", col("trade_date").alias("date")).agg(
             price(F.max("retail")).alias("nav")
         ),

@@ -50,7 +50,7 @@ def write_ledger(ledger: Ledger, folder: str) -> None:
         typed = table.select(
             *[F.col(field.name).cast(field.dataType).alias(field.name) for field in LEDGER[name]]
         )
-        typed.write.parquet(f"{folder}/{name}.parquet")
+        typed.write.parquet(f"{folder}/{name}.parquet", compression="zstd")
 
 
 def scan_tables(ledger: Ledger) -> DataFrame:
