@@ -43,3 +43,9 @@ def test_neighbours_across_block_edges(spark, monkeypatch):
     found = linked.orderBy("n").collect()
     assert [r["before"] for r in found] == [None, *range(1, 19)]
     assert [r["after"] for r in found] == [*range(2, 20), None]
+
+
+def test_numbers_of_a_whole_table_are_written_and_read_without_an_exchange(skewed):
+    numbered = rn.row_numbers(skewed, [], [["day"]], ["id"], "n")
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert rn.row_numbers(skewed.limit(0), [], [["day"]], ["id"], "n").collect() == []
