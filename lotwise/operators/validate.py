@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.schemas import LEDGER, SHARES
-from lotwise.session import written
 from lotwise.sources.tables import Ledger
 
 
@@ -45,10 +44,6 @@ REFERENCES = {
 RULED = ["funds", "accounts", "lots", "orders", "sales", "quotes"]
 
 
-def _domain(name: str, columns: list[str]) -> str:
-    return f"{name} {'/'.join(columns)}"
-
-
 def _key(columns: list[str]) -> Column:
     return F.concat_ws("/", *columns) if len(columns) > 1 else F.col(columns[0]).cast("string")
 
@@ -57,72 +52,45 @@ def _known(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
-def _exploded(table: DataFrame, items: list[Column]) -> DataFrame:
-    return table.select(F.explode(F.array_compact(F.array(*items))).alias("_item")).select("_item.*")
-
+def _broken_rules(name: str, table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule that a row breaks; the many rows that break none are set apart before."""
+    reasons = F.array(*[F.when(rule, F.lit(reason)) for reason, rule in rules.items()])
+    broken = table.filter(reduce(lambda a, b: a | b, rules.values()))
+    reason = F.explode(F.array_compact(reasons)).alias("reason")
+    return broken.select(F.lit(name).alias("table_name"), _key(KEYS[name][0]).alias("key"), reason)
 
-def _mentions(name: str, table: DataFrame) -> DataFrame:
-    """Every value that identifies a row or refers to one, in one pass: domain, value, own, sold, held."""
 
-    def mention(columns: list[str], domain: str, own: bool) -> Column:
-        amount = F.lit(None).cast(SHARES)
-        at_lot = domain == _domain("lots", ["lot_id"])
-        return F.when(
-            _known(columns),
-            F.struct(
-                F.lit(domain).alias("domain"),
-                _key(columns).alias("value"),
-                F.lit(own).alias("own"),
-                (F.col("shares").cast(SHARES) if at_lot and not own else amount).alias("sold"),
-                (F.col("initial_shares").cast(SHARES) if at_lot and own else amount).alias("held"),
-            ),
-        )
+def _repeated(name: str, table: DataFrame, columns: list[str]) -> DataFrame:
+    counts = table.filter(_known(columns)).groupBy(*columns).agg(F.count("*").alias("_rows"))
+    return _broken(counts, name, _key(columns), F.col("_rows") > 1, f"repeated {'/'.join(columns)}")
 
-    items = [mention(columns, _domain(name, columns), True) for columns in KEYS[name]]
-    items += [mention([c], _domain(parent, KEYS[parent][0]), False) for c, parent in REFERENCES[name].items()]
-    return _exploded(table, items)
 
+def _unknown(name: str, table: DataFrame, column: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """Rows that refer to a key no row of ``parents`` has.
 
-def _suspects(tables: dict[str, DataFrame]) -> DataFrame:
-    """Values used by several rows, by none though referred to, and lots that may be sold too far.
-
-    One aggregation, combined before its exchange, answers all of them.
+    Both sides are plain rows under their own types, so that a value many rows refer to can be split.
     """
-    mentions = reduce(DataFrame.unionByName, [_mentions(name, table) for name, table in tables.items()])
-    values = mentions.groupBy("domain", "value").agg(
-        F.count_if("own").alias("rows"),
-        F.count_if(~F.col("own")).alias("references"),
-        F.sum("sold").alias("sold"),
-        F.min("held").alias("least"),
-        F.count_if(F.col("own") & F.col("held").isNull()).alias("unknown"),
+    known = F.col(column).isNotNull()
+    child = table.filter(known).select(_key(KEYS[name][0]).alias("key"), F.col(column).alias("_value"))
+    dangling = child.join(parents.select(F.col(parent_key).alias("_value")), "_value", "left_anti")
+    return _broken(dangling, name, F.col("key"), F.lit(True), f"unknown {column}")
+
+
+def _sold_too_far(lots: DataFrame, sales: DataFrame) -> DataFrame:
+    """Lots that sales name although their shares are unknown or fewer than those sold."""
+    sold = (
+        sales.filter(F.col("lot_id").isNotNull())
+        .groupBy("lot_id")
+        .agg(F.sum(F.col("shares").cast(SHARES)).alias("_sold"))
+    )
+    held = F.col("initial_shares").cast(SHARES)
+    reason = F.when(held.isNull(), "sold with unknown shares").when(F.col("_sold") > held, "too many shares sold")
+    return (
+        lots.select("lot_id", "initial_shares")
+        .join(sold, "lot_id")
+        .select(F.lit("lots").alias("table_name"), F.col("lot_id").cast("string").alias("key"), reason.alias("reason"))
+        .filter("reason IS NOT NULL")
     )
-    lot = F.col("domain") == _domain("lots", ["lot_id"])
-    oversold = lot & (F.col("references") > 0) & ((F.col("sold") > F.col("least")) | (F.col("unknown") > 0))
-    return values.filter((F.col("rows") != 1) | oversold).drop("least", "unknown")
-
-
-def _findings(name: str, table: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Broken row rules, and what must be looked up among the suspects, in one pass over the table."""
-
-    def item(reason: str | None, domain: str | None, value: Column, column: str | None) -> Column:
-        held = F.col("initial_shares") if name == "lots" else F.lit(None)
-        return F.struct(
-            F.lit(name).alias("table_name"),
-            _key(KEYS[name][0]).alias("key"),
-            F.lit(reason).cast("string").alias("broken"),
-            F.lit(domain).cast("string").alias("domain"),
-            value.cast("string").alias("value"),
-            F.lit(column).cast("string").alias("column"),
-            held.cast(SHARES).alias("held"),
-        )
-
-    items = [F.when(rule, item(reason, None, F.lit(None), None)) for reason, rule in rules.items()]
-    for column, parent in REFERENCES[name].items():
-        found = item(None, _domain(parent, KEYS[parent][0]), F.col(column), column)
-        items.append(F.when(F.col(column).isNotNull(), found))
-    if name == "lots":
-        items.append(F.when(_known(["lot_id"]), item(None, _domain("lots", ["lot_id"]), F.col("lot_id"), None)))
-    return _exploded(table, items) if items else None
 
 
 def _missing(name: str, keys: list[str]) -> dict[str, Column]:
@@ -134,8 +102,8 @@ def _missing(name: str, keys: list[str]) -> dict[str, Column]:
 def validate_ledger(ledger: Ledger) -> DataFrame:
     """Missing values, broken value rules, repeated keys, dangling references and excess sales.
 
-    Two passes: the first gathers all keys and references in one aggregation, whose
-    few suspects are written; the second checks row rules and looks the suspects up.
+    Rules of single rows need no exchange. Keys and references are dealt out by their own
+    values, each with nothing but the key of its row.
     """
     lots, sales, orders = ledger.lots, ledger.sales, ledger.orders
     shares, proceeds = F.col("shares"), F.col("proceeds")
@@ -150,25 +118,14 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         "proceeds negative": proceeds < 0,
         "neither shares nor proceeds": shares.isNull() & proceeds.isNull(),
     }
-    suspects = written(_suspects(tables), "ledger-suspects")
-    place = F.split("domain", " ")
-    repeated = suspects.filter("rows > 1").select(
-        place[0].alias("table_name"), F.col("value").alias("key"), F.concat(F.lit("repeated "), place[1]).alias("reason")
-    )
-    found = [_findings(name, table, rules[name]) for name, table in tables.items()]
-    own_lot = F.col("column").isNull() & (F.col("references") > 0)
-    reason = (
-        F.when(F.col("broken").isNotNull(), F.col("broken"))
-        .when(F.col("rows") == 0, F.concat(F.lit("unknown "), "column"))
-        .when(own_lot & F.col("held").isNull(), "sold with unknown shares")
-        .when(own_lot & (F.col("sold") > F.col("held")), "too many shares sold")
-    )
-    rows = (
-        reduce(DataFrame.unionByName, [f for f in found if f is not None])
-        .join(suspects, ["domain", "value"], "left")
-        .select("table_name", "key", reason.alias("reason"))
-        .filter("reason IS NOT NULL")
-    )
+    found = [_broken_rules(name, table, rules[name]) for name, table in tables.items() if rules[name]]
+    found += [_repeated(name, tables[name], columns) for name, keys in KEYS.items() for columns in keys]
+    found += [
+        _unknown(name, tables[name], column, tables[parent], KEYS[parent][0][0])
+        for name, parents in REFERENCES.items()
+        for column, parent in parents.items()
+    ]
+    found.append(_sold_too_far(lots, sales))
     sold_after = (
         lots.filter(F.col("origin_sale_id").isNotNull())
         .select("lot_id", "trade_date", F.col("origin_sale_id").alias("sale_id"))
@@ -176,7 +133,7 @@ def validate_ledger(ledger: Ledger) -> DataFrame:
         .join(orders.select("order_id", F.col("trade_date").alias("sell_date")), "order_id")
     )
     early = _broken(sold_after, "lots", F.col("lot_id"), F.col("trade_date") < F.col("sell_date"), "bought before sold")
-    return rows.unionByName(repeated).unionByName(early)
+    return reduce(DataFrame.unionByName, [*found, early])
 
 
 def validate_orders(orders: DataFrame) -> DataFrame:

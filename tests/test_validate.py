@@ -4,6 +4,7 @@ from builders import accounts, ledger, lots, orders, quotes, rows, sales
 from pyspark.sql import functions as F
 
 from lotwise.operators.validate import validate_ledger
+from lotwise.schemas import FUND_FEED
 
 
 def found(it):
@@ -56,3 +57,16 @@ def test_missing_keys_neither_repeat_nor_lead_anywhere(spark):
     it = ledger(spark, lots=spark.createDataFrame(nameless.collect(), nameless.schema))
     got = [tuple(r) for r in validate_ledger(it).collect()]
     assert sorted(got, key=str) == [("lots", None, "missing account_id")] * 2 + [("lots", None, "shares not positive")] * 2
+
+
+def test_keys_of_several_columns_are_compared_column_by_column(spark):
+    # Joined to one text, both keys read a/b/c.
+    it = ledger(spark, fund_feeds=spark.createDataFrame([("a/b", "c", None), ("a", "b/c", None)], FUND_FEED))
+    assert not [row for row in found(it) if "repeated" in row[2]]
+
+
+def test_keys_are_dealt_out_by_their_own_values_and_broken_rows_not_at_all(spark):
+    it = ledger(spark, lots=lots(spark, (1, "a", "2020-01-01", "2020-01-01", 0, 10, None)))
+    plan = validate_ledger(it)._jdf.queryExecution().sparkPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert exploded and not [line for line in exploded if "domain" in line]
