@@ -226,9 +226,9 @@ def allocate(orders: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``orders`` has account_id, order_id, trade_date, amount; ``lots`` has
     account_id, lot_id, invest_date, trade_date, size. Accounts of up to
     ``ACCOUNT_ROWS`` rows are served in order, many in a task. A larger account is cut
-    over many tasks (``_by_lines``); the rows are the same.
+    over many tasks (``_by_lines``); the rows are the same. Both tables are read several
+    times, so callers write them.
     """
-    lots, orders = written(lots, "lots"), written(orders, "orders")
     rows = lots.select("account_id").unionByName(orders.select("account_id")).groupBy("account_id").count()
     large = written(rows.filter(F.col("count") > ACCOUNT_ROWS).select("account_id"), "large-accounts")
     if large.isEmpty():
@@ -298,6 +298,13 @@ def _shared(pieces: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def _asked(orders: DataFrame, amount: str) -> DataFrame:
+    """Orders as a table: what they ask for, and the terms that are shared afterwards."""
+    return written(
+        orders.select("account_id", "order_id", "trade_date", amount, "proceeds", "bought_shares"), "orders"
+    )
+
+
 def fifo_allocate_shares(orders: DataFrame, open_lots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spread orders for a number of shares over an account's lots.
 
@@ -308,6 +315,7 @@ def fifo_allocate_shares(orders: DataFrame, open_lots: DataFrame) -> tuple[DataF
     lots = open_lots.filter(F.col("shares") > 0).select(
         "account_id", "lot_id", "invest_date", "trade_date", _length("shares").alias("size")
     )
+    lots, orders = written(lots, "lots"), _asked(orders, "shares")
     pieces, refused = allocate(
         orders.select("account_id", "order_id", "trade_date", _length("shares").alias("amount")), lots
     )
@@ -323,6 +331,8 @@ def fifo_allocate_lots(orders: DataFrame, open_lots: DataFrame) -> tuple[DataFra
     bought_shares. Results: sales per lot, and refused orders.
     """
     live = open_lots.filter(F.col("shares") > 0)
+    live = written(live.select("account_id", "lot_id", "invest_date", "trade_date", "shares"), "lots")
+    orders = _asked(orders, "lots")
     lots = live.select(
         "account_id", "lot_id", "invest_date", "trade_date", F.lit(1).cast(TOTAL_SHARES).alias("size")
     )
