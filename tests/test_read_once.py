@@ -1,8 +1,9 @@
 """Tables that a step reads several times are written before, so that what made them runs once."""
 
-from builders import dec, day, rows
+from builders import accounts, dec, day, quotes, rows
 
 from lotwise.operators.allocate import fifo_allocate_lots, fifo_allocate_shares
+from lotwise.operators.resolve import resolve_sales, resolve_transfers
 
 OPEN = "lot_id long, account_id string, invest_date date, trade_date date, shares decimal(18,5)"
 ORDER = "order_id long, account_id string, trade_date date, {} , proceeds decimal(18,2), bought_shares decimal(18,5)"
@@ -34,3 +35,18 @@ def test_allocation_reads_lots_and_orders_once(spark, tmp_path):
     sold, refused = fifo_allocate_lots(by_lots, lots)
     assert raw_inputs(sold, refused) == set()
     assert rows(sold, "lot_id", "shares", "proceeds") == [(1, 5.0, 50.0)]
+
+
+def test_resolving_reads_operations_once(spark, tmp_path):
+    lots = open_lots(spark, tmp_path)
+    owner, prices = accounts(spark, ("a", "F", "X"), ("b", "F", "X")), quotes(spark, ("F", "2020-02-01", 2))
+    schema = "sale_id long, order_id long, lot_id long, trade_date date, shares decimal(18,5), proceeds decimal(18,2)"
+    asked = [(1, 10, 1, day("2020-02-01"), dec(2), None), (2, 10, 1, day("2020-02-01"), None, None)]
+    sales = resolve_sales(stored(spark, tmp_path, asked, schema, "ops"), lots, owner, prices)
+    assert raw_inputs(sales) == set()
+    assert rows(sales, "sale_id", "shares", "proceeds") == [(1, 2.0, 4.0), (2, 3.0, 6.0)]
+    schema = schema.replace("trade_date", "sell_date") + ", destination string, buy_date date, bought_shares decimal(18,5)"
+    moved = [(*asked[0], "b", None, None)]
+    sales, bought = resolve_transfers(stored(spark, tmp_path, moved, schema, "moves"), lots, lots, owner, prices)
+    assert raw_inputs(sales, bought) <= {"lots"}
+    assert rows(bought, "account_id", "initial_shares", "origin_sale_id") == [("b", 2.0, 1)]
