@@ -12,7 +12,8 @@ from lotwise.session import new_path
 
 
 def append_lines(lines: DataFrame, folder: str) -> str:
-    lines.select("value").write.mode("append").text(folder)
+    """Add the lines as gzipped files, one a task, which text readers open by their name."""
+    lines.select("value").write.mode("append").text(folder, compression="gzip")
     return folder
 
 

@@ -4,7 +4,9 @@ import datetime as dt
 import os
 
 import builders as b
+from pyspark.sql import functions as F
 
+from lotwise.plans import files
 from lotwise.schemas import LOT, QUOTE, SALE
 from lotwise.session import new_path
 from lotwise.sources import ledger_text as tx
@@ -183,3 +185,11 @@ def test_release_empties_the_shared_folder(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "shared").rglob("*.parquet"))
     session.release(spark)
     assert not (tmp_path / "shared").exists()
+
+
+def test_text_files_are_written_compressed_and_read_back_whole(spark):
+    lines = spark.range(2000).select(F.concat_ws(" | ", F.lit("acc"), F.col("id")).alias("value"))
+    folder = files.append_lines(lines, new_path(spark, "text"))
+    back = spark.read.text(folder)
+    assert all(name.endswith(".gz") for name in back.inputFiles())
+    assert sorted(r.value for r in back.collect()) == sorted(r.value for r in lines.collect())
