@@ -70,7 +70,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     inputs = Inputs(configure(spark), folder)
     spark.range(1).collect()
-    seconds = {"ledger_build": timed(lambda: inputs.ledger)}
+    seconds = {"ledger_build": timed(lambda: inputs.ledger.tables())}
     names = sys.argv[1:] or HEADLINE
     for name in names:
         if name == "gain_report":

@@ -4,7 +4,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lotwise.plans.catalogue import QUERIES
 from lotwise.sources import derived
 
 LINE = (
@@ -52,3 +54,50 @@ def test_lines_are_dealt_by_order_once(spark, folder):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
     assert plan.count("Exchange") == 4
+
+
+@pytest.fixture
+def sold(spark, folder, tmp_path_factory):
+    """Two owners who sell and move lots on the same days, one of them without a date, and a line that comes twice."""
+    path = str(tmp_path_factory.mktemp("sold"))
+    day = dt.datetime(1998, 1, 1)
+    kinds = [(flag, day + dt.timedelta(gap)) for gap in (0, 0, 1, 30) for flag in "ARN"] + [("R", None), ("A", None), ("R", None)]
+    lines = [(order, 1 + n % 3, n % 2, n, 4.0, 100.0, flag, "FO"[n % 2], date) for order in (1, 2, 3) for n, (flag, date) in enumerate(kinds)]
+    spark.createDataFrame([*lines, lines[1]], LINE).write.parquet(f"{path}/lineitem.parquet")
+    for name in ("orders", "part"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    spark.createDataFrame([(0,), (1,)], "s_suppkey long").write.parquet(f"{path}/supplier.parquet")
+    return path
+
+
+def test_a_query_derives_only_the_tables_that_it_reads(spark, sold):
+    found = QUERIES["account_sales"].run(spark, sold)
+    ledger = derived.stored_ledger(spark, sold)
+    assert not {"accounts", "quotes", "funds", "feeds", "fund_feeds"} & set(vars(ledger))
+    assert ledger.sales.inputFiles() == ledger.orders.inputFiles()
+    assert {name.rsplit("/", 2)[1].split("-")[0] for name in found.inputFiles()} == {"lines", "sold"}
+
+
+def test_sales_and_orders_of_one_exchange_are_those_of_the_groups(spark, sold):
+    ledger = derived.DerivedLedger(spark, sold)
+    move = "flag = 'A' AND next_date IS NOT NULL"
+    lines = ledger._lines.filter("flag IN ('A', 'R')").selectExpr(
+        "lot_id",
+        "account_id",
+        f"CASE WHEN {move} THEN next_date ELSE date_add(trade_date, 30) END AS day",
+        f"CASE WHEN {move} THEN next_account ELSE '' END AS destination",
+    )
+    groups = lines.groupBy("account_id", "day", "destination").agg(F.min("lot_id").alias("order_id"))
+    assert groups.filter("day IS NULL").count() and groups.filter("destination <> ''").count()
+    orders = groups.selectExpr("order_id", "day", "CASE WHEN destination = '' THEN 'redemption' ELSE 'transfer' END")
+    assert sorted(map(tuple, ledger.orders.collect()), key=str) == sorted(map(tuple, orders.collect()), key=str)
+    sales = lines.join(groups, ["account_id", "day", "destination"]).select("lot_id", "order_id", "lot_id")
+    assert ledger.sales.count() < lines.count()
+    found = ledger.sales.select("sale_id", "order_id", "lot_id").collect()
+    assert len(found) > 10 and sorted(map(tuple, found)) == sorted(map(tuple, sales.collect()))
+
+
+def test_accounts_are_distinct_after_one_exchange(spark, sold):
+    ledger = derived.DerivedLedger(spark, sold)
+    expected = ledger._lines.select("account_id", "isin", "distributor").distinct().collect()
+    assert sorted(map(tuple, ledger.accounts.collect())) == sorted(map(tuple, expected))
