@@ -409,9 +409,13 @@ query(
 
 
 def _newest_months(evolution: DataFrame, months: int) -> DataFrame:
-    """The end of a set of series: as many months before its newest day."""
+    """The days of the end of a set of series: as many months before its newest day.
+
+    Written, so that the series are sampled once for the newest day and the days before it.
+    """
     series = evolution.filter(F.col("terminal_lot").isNotNull())
-    return series.filter(F.col("date") > F.add_months(F.lit(series.agg(F.max("date")).first()[0]), -months))
+    days = written(series.groupBy("date").agg(F.max("terminal_lot").alias("terminal_lot")), "days")
+    return days.filter(F.col("date") > F.add_months(F.lit(days.agg(F.max("date")).first()[0]), -months))
 
 
 def _filtered_evolution(i: Inputs) -> DataFrame:

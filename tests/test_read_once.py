@@ -3,7 +3,9 @@
 from builders import accounts, dec, day, quotes, rows
 
 from lotwise.operators.allocate import fifo_allocate_lots, fifo_allocate_shares
+from lotwise.operators.evolution import axis_ticks
 from lotwise.operators.resolve import resolve_sales, resolve_transfers
+from lotwise.plans import catalogue
 
 OPEN = "lot_id long, account_id string, invest_date date, trade_date date, shares decimal(18,5)"
 ORDER = "order_id long, account_id string, trade_date date, {} , proceeds decimal(18,2), bought_shares decimal(18,5)"
@@ -50,3 +52,13 @@ def test_resolving_reads_operations_once(spark, tmp_path):
     sales, bought = resolve_transfers(stored(spark, tmp_path, moved, schema, "moves"), lots, lots, owner, prices)
     assert raw_inputs(sales, bought) <= {"lots"}
     assert rows(bought, "account_id", "initial_shares", "origin_sale_id") == [("b", 2.0, 1)]
+
+
+def test_newest_months_sample_the_series_once(spark, tmp_path):
+    points = [(1, "2020-01-31"), (1, "2020-02-29"), (2, "2020-02-29"), (2, "2020-03-31"), (None, "2020-05-31")]
+    series = stored(spark, tmp_path, [(lot, day(date)) for lot, date in points], "terminal_lot long, date date", "series")
+    newest = catalogue._newest_months(series, 1)
+    assert raw_inputs(newest) == set()
+    assert {found["date"] for found in newest.collect()} == {day("2020-03-31")}
+    assert rows(axis_ticks(catalogue._newest_months(series, 2)), "tick", "label") == [("2020-03-01", "Mar")]
+    assert axis_ticks(catalogue._newest_months(series.filter("terminal_lot IS NULL"), 1)).isEmpty()
