@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from lotwise.operators.filters import _where, lineage_condition
 from lotwise.operators.lots import open_lots, sale_view
 from lotwise.operators.quotes import last_quote
 from lotwise.schemas import MONEY, NAV, RATIO, SHARES
-from lotwise.session import written
+from lotwise.session import discard, written
 from lotwise.sources.tables import Ledger
 
 # Workers get the helper's code with the task, so nothing has to be installed there.
@@ -138,25 +141,27 @@ def _transfer_edges(sold: DataFrame) -> DataFrame:
     )
 
 
-def _jumps(edges: DataFrame) -> list[DataFrame]:
-    """From each sale to the one that funded its lot, over 1, 2, 4, … transfers.
+def _jumps(edges: DataFrame) -> Iterator[DataFrame]:
+    """From each sale to the one that funded its lot, over 1, 2, 4, … transfers; each is there until the next is.
 
     A walk that is longer than there are sales goes round in a circle.
     """
     sales = edges.count()
     jump = edges.filter(F.col("origin_sale_id").isNotNull()).select("_sale", F.col("origin_sale_id").alias("_to"))
-    jumps, jump = [], written(jump, "jumps")
+    reach, jump = 1, written(jump, "jumps")
     while not jump.isEmpty():
-        if 2 ** len(jumps) > sales:
+        if reach > sales:
             raise ValueError("transfers form a circle")
-        jumps.append(jump)
+        yield jump
         following = jump.select(F.col("_sale").alias("_to"), F.col("_to").alias("_next"))
+        before, reach = jump, 2 * reach
         jump = written(jump.join(following, "_to").select("_sale", F.col("_next").alias("_to")), "jumps")
-    return jumps
+        discard(before)
+    discard(jump)
 
 
-def _ancestors(anchor: DataFrame, edges: DataFrame) -> DataFrame:
-    """All older hops of every chain: the walk doubles its reach each round."""
+def _walk(anchor: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Chains and the sales they go back to, in parts: the walk doubles its reach each round, which is written once."""
     found = anchor.filter(F.col("origin_sale_id").isNotNull()).select(
         "terminal_lot",
         "order_id",
@@ -164,13 +169,17 @@ def _ancestors(anchor: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("fraction").alias("_last"),
         F.col("origin_sale_id").alias("_sale"),
     )
-    found = written(found, "walk")
+    parts = [written(found, "walk")]
     for reach, jump in enumerate(_jumps(edges)):
-        further = found.join(jump, "_sale").select(
+        further = _together(parts).join(jump, "_sale").select(
             "terminal_lot", "order_id", (F.col("hop") + 2**reach).alias("hop"), "_last", F.col("_to").alias("_sale")
         )
-        found = written(found.unionByName(further), "walk")
-    return found.join(edges, "_sale").drop("_sale")
+        parts.append(written(further, "walk"))
+    return parts
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_fractions(hops: DataFrame) -> DataFrame:
@@ -220,15 +229,22 @@ def lineage(
     anchor = _where(_held(ledger, owned), *condition).unionByName(_where(_redeemed(sold), *condition))
     untouched = F.col("origin_sale_id").isNull()
     anchor = written(anchor.select(*_HOP), "lineage")
+    discard(owned)
     single = anchor.filter(untouched).select(
         *_HOP, F.col("lot_id").alias("origin_lot"), F.col("cost").alias("capital")
     )
     chains = anchor.filter(~untouched)
+    made_of = [anchor, sold]
     if chains.isEmpty():
-        return single
-    edges = _transfer_edges(sold)
-    older = _parents(_with_fractions(_ancestors(anchor, edges)))
-    return single.unionByName(_with_chain_start(chains.unionByName(older)))
+        result = single
+    else:
+        edges = _transfer_edges(sold)
+        walk = _walk(anchor, edges)
+        older = _parents(_with_fractions(_together(walk).join(edges, "_sale").drop("_sale")))
+        result = single.unionByName(_with_chain_start(chains.unionByName(older)))
+        made_of += walk
+    result._made_of = made_of
+    return result
 
 
 def _with_chain_start(chains: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from lotwise.plans import oracle, reports
 from lotwise.plans import files
 from lotwise.schemas import LOT, SALE
 from lotwise.schemas import QUOTE as QUOTE_TABLE
-from lotwise.session import configure, new_path, written
+from lotwise.session import configure, new_path, settled, written
 from lotwise.sources import ledger_text as tx
 from lotwise.sources import quote_feeds, stores
 from lotwise.sources.derived import input_stamp, stored_ledger
@@ -56,7 +56,7 @@ class Inputs:
         """Lineage as a table, written once per application."""
         key = input_stamp(self.spark, self.sf_dir)
         if key not in _stored_lineage:
-            _stored_lineage[key] = written(ln.lineage(self.ledger), "lineage-all")
+            _stored_lineage[key] = settled(ln.lineage(self.ledger), "lineage-all")
         return _stored_lineage[key]
 
     @cached_property

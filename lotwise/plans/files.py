@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.session import new_path
+from lotwise.session import new_path, shuffles_dropped
 
 
 def append_lines(lines: DataFrame, folder: str) -> str:
     """Add the lines as gzipped files, one a task, which text readers open by their name."""
-    lines.select("value").write.mode("append").text(folder, compression="gzip")
+    with shuffles_dropped(lines.sparkSession):
+        lines.select("value").write.mode("append").text(folder, compression="gzip")
     return folder
 
 
