@@ -100,7 +100,9 @@ def chain_value(
     switched = distributor_switches(ledger.lots, ledger.sales, ledger.accounts)
     if start is not None:
         switched = switched.filter(F.col("buy_date") >= begin)
-    switched = switched.select("lot_id", F.lit(True).alias("switch"))
+    # Few hops are of switched lots. They are found by narrow rows and go to the rest of their chain.
+    marked = hops.select("terminal_lot", "lot_id").join(switched, "lot_id", "left_semi")
+    marks = written(marked.groupBy("terminal_lot").agg(F.collect_set("lot_id").alias("switches")), "switches")
 
     # All live hops of a fund ask for the price of one day, and many for that of ``start``:
     # hops are spread over salts, and each of the few prices is there for every salt.
@@ -116,14 +118,23 @@ def chain_value(
             last.select("isin", F.col("date").alias("hi"), F.col("quote_date").alias("last_date"), F.col("nav").alias("last_nav"), salts),
             ["isin", "hi", "_salt"],
         )
-        .join(switched, "lot_id", "left")
+        .select(
+            "terminal_lot", "lot_id", "account_id", "trade_date", "shares", "cost", "first_date", "first_nav", "last_date", "last_nav"
+        )
     )
+    # Written, so that hops lie on disk only as dealt out by price or by chain, never both.
+    progress = written(progress, "progress")
     earliest = F.struct("first_date", "trade_date", "lot_id")
     latest = F.struct("last_date", "trade_date", "lot_id")
-    chains = progress.groupBy("terminal_lot").agg(
-        F.min_by(F.struct("shares", "first_nav", "trade_date", "cost"), earliest).alias("opening"),
-        F.max_by(F.struct("account_id", "last_date", "last_nav", "shares"), latest).alias("current"),
-        F.max_by(F.struct("trade_date", "cost"), F.when(F.col("switch").isNull(), latest)).alias("bought"),
+    is_switch = F.coalesce(F.array_contains("switches", F.col("lot_id")), F.lit(False))
+    chains = (
+        progress.join(marks, "terminal_lot", "left")
+        .groupBy("terminal_lot")
+        .agg(
+            F.min_by(F.struct("shares", "first_nav", "trade_date", "cost"), earliest).alias("opening"),
+            F.max_by(F.struct("account_id", "last_date", "last_nav", "shares"), latest).alias("current"),
+            F.max_by(F.struct("trade_date", "cost"), F.when(~is_switch, latest)).alias("bought"),
+        )
     )
     at_start = value_of(F.col("opening.shares"), F.col("opening.first_nav")).cast(VALUE)
 

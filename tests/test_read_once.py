@@ -1,10 +1,13 @@
 """Tables that a step reads several times are written before, so that what made them runs once."""
 
+import builders
 from builders import accounts, dec, day, quotes, rows
 
 from lotwise.operators.allocate import fifo_allocate_lots, fifo_allocate_shares
 from lotwise.operators.evolution import axis_ticks
+from lotwise.operators.lineage import lineage
 from lotwise.operators.resolve import resolve_sales, resolve_transfers
+from lotwise.operators.valuation import chain_value
 from lotwise.plans import catalogue
 
 OPEN = "lot_id long, account_id string, invest_date date, trade_date date, shares decimal(18,5)"
@@ -62,3 +65,28 @@ def test_newest_months_sample_the_series_once(spark, tmp_path):
     assert {found["date"] for found in newest.collect()} == {day("2020-03-31")}
     assert rows(axis_ticks(catalogue._newest_months(series, 2)), "tick", "label") == [("2020-03-01", "Mar")]
     assert axis_ticks(catalogue._newest_months(series.filter("terminal_lot IS NULL"), 1)).isEmpty()
+
+
+def test_chain_value_deals_hops_out_by_price_and_by_chain_one_after_the_other(spark, tmp_path):
+    """Lot 2 was switched to another account of its fund on 1 March, lot 4 bought for money of another fund."""
+    held = builders.ledger(
+        spark,
+        accounts=accounts(spark, ("a", "F", "X"), ("b", "F", "Y"), ("g", "G", "X")),
+        quotes=quotes(spark, *[(fund, day, nav) for day, nav in (("2020-01-01", 1), ("2020-03-01", 2), ("2020-05-01", 3)) for fund in "FG"]),
+        lots=builders.lots(
+            spark,
+            (1, "a", "2020-01-01", "2020-01-01", 10, 10, None),
+            (2, "b", "2020-01-01", "2020-03-01", 10, 20, 1),
+            (3, "g", "2020-01-01", "2020-01-01", 6, 6, None),
+            (4, "a", "2020-01-01", "2020-03-01", 6, 12, 3),
+        ),
+        orders=builders.orders(spark, (1, "2020-03-01"), (3, "2020-03-01")),
+        sales=builders.sales(spark, (1, 1, 1, 10, 20), (3, 3, 3, 6, 12)),
+    )
+    lineage(held).write.parquet(f"{tmp_path}/raw-lineage")
+    walked = spark.read.parquet(f"{tmp_path}/raw-lineage")
+    value = chain_value(walked, held)
+    assert raw_inputs(value) == set()
+    assert rows(value, "terminal_lot", "account_id", "initial", "capital") == [(2, "b", 10.0, 10.0), (4, "a", 6.0, 12.0)]
+    later = chain_value(walked, held, start=day("2020-04-01"))
+    assert rows(later, "terminal_lot", "initial", "capital") == [(2, 30.0, 30.0), (4, 18.0, 18.0)]
