@@ -183,3 +183,13 @@ def test_bands_reject_junk_and_keep_clean_texts_of_the_held_out_fold(spark):
     assert sum(not r["kept"] for r in clean) <= 0.005 * len(clean)
     for r in rows:
         assert (r["upper"] - r["lower"]) / 2 > quality.LEAST_WIDTH
+
+
+def test_every_character_and_word_end_is_counted_and_scored(judged, spark):
+    """Occurrences in the model are the events of all documents, and no text with words is left without a value."""
+    _, rows = judged
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    assert len(rows) == docs.count()
+    counted = point_model.counts(docs.select("text")).agg(F.sum("n")).first()[0]
+    assert counted == sum(r["word_chars"] + r["n_words"] for r in rows)
+    assert all((r["log_perplexity"] is None) == (r["n_words"] == 0) for r in rows)
